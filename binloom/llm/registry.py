@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from .mixing import op3_mixing
 from .secrets import op10_secret_scan
+from .winnowing import op1_winnowing
 
 
 def queries() -> dict:
-    return {"op3_mixing": op3_mixing, "op10_secret_scan": op10_secret_scan}
+    return {"op1_winnowing": op1_winnowing, "op3_mixing": op3_mixing, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
