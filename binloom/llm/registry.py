@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from .jaccard import op8_jaccard_join
 from .mixing import op3_mixing
+from .packing import op7_packing
 from .secrets import op10_secret_scan
 from .winnowing import op1_winnowing
 
 
 def queries() -> dict:
-    return {"op1_winnowing": op1_winnowing, "op3_mixing": op3_mixing, "op8_jaccard_join": op8_jaccard_join, "op10_secret_scan": op10_secret_scan}
+    return {"op1_winnowing": op1_winnowing, "op3_mixing": op3_mixing, "op8_jaccard_join": op8_jaccard_join, "op7_packing": op7_packing, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
