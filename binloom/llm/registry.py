@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .jaccard import op8_jaccard_join
+from .langid import op4_byte_cnn
 from .lattice import op2_lattice_likelihood
 from .mixing import op3_mixing
 from .packing import op7_packing
@@ -12,7 +13,7 @@ from .winnowing import op1_winnowing
 
 
 def queries() -> dict:
-    return {"op1_winnowing": op1_winnowing, "op2_lattice_likelihood": op2_lattice_likelihood, "op3_mixing": op3_mixing, "op8_jaccard_join": op8_jaccard_join, "op6_product_quantisation": op6_product_quantisation, "op7_packing": op7_packing, "op10_secret_scan": op10_secret_scan}
+    return {"op1_winnowing": op1_winnowing, "op2_lattice_likelihood": op2_lattice_likelihood, "op3_mixing": op3_mixing, "op8_jaccard_join": op8_jaccard_join, "op4_byte_cnn": op4_byte_cnn, "op6_product_quantisation": op6_product_quantisation, "op7_packing": op7_packing, "op10_secret_scan": op10_secret_scan}
 
 
 def oracle_sql() -> dict[str, str]:
