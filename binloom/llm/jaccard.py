@@ -5,7 +5,7 @@ count found frequent last, the most frequent at the very end, the others by hash
 more share a shingle among the first n - ceil(t n) + 1 of each (the prefix).
 
 1. Documents with equal sets are one class; classes with equal size and prefix are one group.
-2. A first look links neighbours in the lists of the first few shingles. It need not be complete; what it verifies
+2. A first look links neighbours in the lists of the few shingles of lowest hash. It need not be complete; what it verifies
    becomes components, so that thousands of near copies are one component before any list is paired.
 3. The prefixes of all groups are listed by shingle. Lists within one component are done with. In the others every pair of
    groups of different components is a candidate, with its number of common prefix shingles; the bound on the overlap
@@ -34,7 +34,9 @@ from .common import components, drop_settled, read, settle
 
 #: Frequent shingles that are placed by frequency; the order of the others is as good for exactness.
 FREQUENT = 65536
-SHORT = 6
+#: Shingles that the first look lists: the lowest hashes, be they frequent or not, so that near copies meet there.
+SHORT = 8
+TURNS = 4
 HASH = np.uint64(2**62 - 1)
 
 
@@ -71,9 +73,8 @@ def _frequent(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for i in range(0, len(texts), 2000):
-                part = texts[i : i + 2000]
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.column(0).slice(i, 2000).to_pylist()
                 keys, n = np.unique(np.concatenate([shingles(t, known, width) for t in part]), return_counts=True)
                 often = n >= max(4, len(part) // 200)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["key", "n"])
@@ -101,21 +102,22 @@ def _sketches(width: int, percent: int, frequent: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 1000):
+            ids = batch.column(0)
+            for i in range(0, batch.num_rows, 1000):
                 n, sig, pfx, prefix, short = [], [], [], [], []
-                for t in texts[i : i + 1000]:
+                for t in batch.column(1).slice(i, 1000).to_pylist():
                     s = shingles(t, known, width)
                     sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     n.append(len(s))
+                    low = s[:SHORT].copy()
                     if len(at) and len(s):
                         j = np.searchsorted(at, s)
                         j[j == len(at)] = 0
                         s = np.sort(np.where(at[j] == s, rank[j], s))
                     s = s[: prefix_length(len(s), percent)].copy()
+                    short.append(low)
                     pfx.append(hashlib.blake2b(s.tobytes() + n[-1].to_bytes(8), digest_size=16).digest())
                     prefix.append(s)
-                    short.append(s[:SHORT])
                 cols = [ids[i : i + 1000], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(pfx, pa.binary()), _lists(short), _lists(prefix)]
                 yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sig", "pfx", "short", "prefix"])
 
@@ -126,27 +128,43 @@ def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHashes()
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for i in range(0, len(texts), 500):
-                sets = [shingles(t, known, width) for t in texts[i : i + 500]]
+            ids = batch.column(0)
+            for i in range(0, batch.num_rows, 500):
+                sets = [shingles(t, known, width) for t in batch.column(1).slice(i, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([ids[i : i + 500], _lists(sets)], ["id", "set"])
 
     return run
 
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole sets are similar enough. docs: (id, text)."""
-    pairs = settle(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = docs.join(wanted, "id", "left_semi").select("id", "text").mapInArrow(_sets(width), "id bigint, set array<bigint>")
-    sets = settle(sets, "sets")
+def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(id, set) of the documents (id, text) that wanted has, settled."""
+    found = docs.join(wanted.distinct(), "id", "left_semi").select("id", "text")
+    return settle(found.mapInArrow(_sets(width), "id bigint, set array<bigint>"), "sets")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of document ids whose whole sets are similar enough, settled."""
     left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a")
     both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
     shared = F.size(F.array_intersect("s", "t"))
     near = 100 * shared >= percent * (F.size("s") + F.size("t") - shared)
-    links = settle(both.where(near & (shared > 0)).select("a", "b").distinct(), "links")
-    drop_settled(pairs, sets)
-    return links
+    return settle(both.where(near & (shared > 0)).select("a", "b").distinct(), "links")
+
+
+def _neighbours(lists: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Pairs of neighbours, in a random order of the turn, in the salted lists (key, id, n, short, comp); a first turn takes two for each id, later ones more."""
+    by = Window.partitionBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(32))).orderBy(F.xxhash64(F.lit(turn), "id"))
+    row = F.struct("id", "n", "short", "comp")
+    pair = lists.select(row.alias("x"), F.lag(row).over(by).alias("y"))
+    least = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(row, F.xxhash64(F.lit(turn), "id")).alias("y"))
+    star = lists.join(least.where("low != high").select("key", "y"), "key").select(row.alias("x"), "y")
+    shared = F.size(F.array_intersect("x.short", "y.short"))
+    pair = pair.union(star).where(f"x.comp != y.comp and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n")
+    # a document has few neighbours here, as many as its short list has keys
+    pair = pair.withColumn("shared", shared).where(F.col("shared") >= F.least("x.n", "y.n", F.lit(3))).select("x.id", F.col("y.id").alias("other"), "shared").distinct()
+    best = Window.partitionBy("id").orderBy(F.desc("shared"), F.xxhash64(F.lit(turn), "other"))
+    pair = pair.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 2 * 4**turn)
+    return pair.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
@@ -163,17 +181,19 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     classes = settle(classes.join(by_pfx, "pfx").select("id", "n", "sig", "pfx", "gid"), "classes")
     groups = classes.where("id = gid").select("id", "pfx").distinct()
 
-    # a first look
-    lists = named.select("id", "n", "pfx", "short").join(groups, ["id", "pfx"], "left_semi").select("id", "n", F.explode("short").alias("key"))
-    lists = settle(lists, "short")
-    salted = Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(32))).orderBy("n", "id")
-    beside = lists.withColumn("b", F.lag("id").over(salted)).select(F.col("id").alias("a"), "b")
-    least = lists.groupBy("key").agg(F.min(F.struct("n", "id")).alias("least"), F.count("*").alias("many")).where("many > 1")
-    first = lists.join(least, "key").where("4 * least.n >= 3 * n").select(F.col("id").alias("a"), F.col("least.id").alias("b"))
-    ordered = lambda df: df.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    likely = ordered(beside).union(ordered(first)).groupBy("a", "b").count().where("count > 1").select("a", "b")
-    likely = likely.union(classes.where("id > gid").select(F.col("gid").alias("a"), F.col("id").alias("b")))
-    links = verified(likely, docs, width, percent)
+    # a first look, in turns: each links what it finds between the components so far
+    held = named.select("id", "n", "pfx", "short").join(groups, ["id", "pfx"], "left_semi").dropDuplicates(["id", "pfx"])
+    lists = held.select("id", F.col("n").cast("int").alias("n"), "short", F.explode("short").alias("key"))
+    shared_keys = lists.groupBy("key").count().where("count > 1").select("key")
+    lists = settle(lists.join(shared_keys, "key"), "short")
+    same_prefix = classes.where("id > gid")
+    sets = sets_of(docs, lists.select("id").union(same_prefix.select("id")).union(same_prefix.select("gid")), width)
+    links = verified(same_prefix.select(F.col("gid").alias("a"), F.col("id").alias("b")), sets, percent)
+    for turn in range(TURNS):
+        comps = components(links).withColumnRenamed("node", "id")
+        now = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
+        found = verified(_neighbours(settle(now, "lists"), turn, percent), sets, percent)
+        links = settle(links.union(found), "links")
     drop_settled(lists)
 
     # what lies between the components so far
@@ -203,7 +223,10 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     inner_groups = spread.where("lo != hi").select(F.col("id").alias("a"))
     inside = left.join(inner_groups, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("x < y and cx != cy").select("x", "y")
     pairs = across.union(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    more = verified(pairs, docs, width, percent)
+    pairs = settle(pairs.distinct(), "pairs")
+    rest = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).join(sets, "id", "left_anti")
+    sets = sets.union(sets_of(docs, rest, width))
+    more = verified(pairs, sets, percent)
     drop_settled(mixed)
     last = settle(components(links.union(more)), "components")
 
