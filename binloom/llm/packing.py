@@ -244,7 +244,7 @@ def _places(plan: list[tuple[dict[int, int], int]], limit: int) -> list[np.ndarr
 
 
 def pack(cut: DataFrame, limit: int = LIMIT, rounds: int = ROUNDS) -> DataFrame:
-    """Pieces (length and any other columns) with sequence_id and offset. cut is read twice: give a settled table.
+    """Pieces (length and any other columns) with sequence_id and offset. cut is read twice, for its lengths and to be placed.
 
     The plan that goes to the executors has at most a few numbers for each configuration and length, whatever the input.
     """
@@ -279,11 +279,12 @@ def pack(cut: DataFrame, limit: int = LIMIT, rounds: int = ROUNDS) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, derived: dict[str, Column] | None = None, limit: int = LIMIT) -> DataFrame:
     """docs (doc_id, text) to one row per piece, with its place; derived: columns made from the ids before these are dropped.
 
-    None keeps the ids themselves.
+    None keeps the ids themselves; texts are then tokenized twice rather than their ids stored in between.
     """
     cut = pieces(docs, tokenizer, limit=limit)
-    if derived is not None:
-        cut = cut.select("doc_id", "piece", "start", "length", *[c.alias(name) for name, c in derived.items()])
+    if derived is None:
+        return pack(cut, limit)
+    cut = cut.select("doc_id", "piece", "start", "length", *[c.alias(name) for name, c in derived.items()])
     return pack(settle(cut, "pieces"), limit)
 
 
