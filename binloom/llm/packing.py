@@ -31,7 +31,9 @@ END = 1
 SALTS = 64
 ROUNDS = 45
 #: Words whose ids an executor's Python process keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 800_000
+PUNCTUATION = frozenset(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")
+TAILED = re.compile(rb"(.*[a-z0-9])([!-/:-@\[-`{-~]+)", re.DOTALL).fullmatch
 
 
 def _kept(name: str, make: Callable):
@@ -42,7 +44,7 @@ def _kept(name: str, make: Callable):
     return getattr(at, name)
 
 
-class WordIds(dict):
+class WordIds:
     """Ids, little-endian 32 bits each, of words between ASCII white space, for a tokenizer that lower-cases and drops white space.
 
     No token and no rule of such a tokenizer reaches over white space, so a text's ids are its words' ids in turn.
@@ -51,7 +53,9 @@ class WordIds(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
+        self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.tails: dict[bytes, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -62,39 +66,48 @@ class WordIds(dict):
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
-        """Add the words that aren't known."""
-        new = words - self.keys()
-        if len(self) + len(new) > KEPT_WORDS:
-            self.clear()
-            new = words
-        # a full stop or comma after an ASCII letter or digit is a token of its own
-        tailed = {w for w in new if len(w) > 1 and w[-1] in b".," and re.match(rb"[a-z0-9]", w[-2:-1])}
-        stems = (new - tailed) | ({w[:-1] for w in tailed} - self.keys())
-        plain, other = [], []
-        for w in stems:
-            (plain if (s := w.decode()).isalpha() else other).append(s)
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+        """Add the words that aren't known. Of those known for long, the ones that still occur stay."""
+        known = self.known
+        # difference() looks the words up: the operator would run through all that is known
+        new = words.difference(known)
+        if len(known) + len(new) > KEPT_WORDS // 2:
+            self.old, self.known = known, {}
+            known, new = self.known, words
+        old = self.old
+        known.update((w, old[w]) for w in new if w in old)
+        # ASCII punctuation at the end, after an ASCII letter or digit, is a token of its own
+        tailed, stems = [], set()
+        for w in new.difference(known):
+            if w[-1] in PUNCTUATION and (m := TAILED(w)):
+                tailed.append((w, *m.groups()))
+                stems.add(m[1])
+            else:
+                stems.add(w)
+        raw = [*stems.difference(known)]
+        text = b"\n".join(raw).decode().split("\n") if raw else []
+        plain = [i for i, s in enumerate(text) if s.isalpha()]
+        other = [i for i, s in enumerate(text) if not s.isalpha()]
+        for k in range(0, len(plain), 1000):
+            part = plain[k : k + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([text[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) != len(part):  # a letter that isn't one to the tokenizer
                 other += part
                 continue
-            raw, at = ids.tobytes(), 0
-            for w, cut in zip(part, (cuts * 4).tolist(), strict=True):
-                self[w.encode()] = raw[at:cut]
+            at, data = 0, ids.tobytes()
+            for i, cut in zip(part, (cuts * 4).tolist(), strict=True):
+                known[raw[i]] = data[at:cut]
                 at = cut
-        for w, ids in zip(other, self.encode(other), strict=True):
-            self[w.encode()] = ids
-        if tailed:
-            tail = {c: ids for c, ids in zip(b".,", self.encode([".", ","]), strict=True)}
-            for w in tailed:
-                self[w] = self[w[:-1]] + tail[w[-1]]
+        known.update(zip([raw[i] for i in other], self.encode([text[i] for i in other]), strict=True))
+        for w, stem, tail in tailed:
+            if tail not in self.tails:
+                self.tails[tail] = self.encode([tail.decode()])[0]
+            known[w] = known[stem] + self.tails[tail]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
         self.learn(set().union(*words))
-        return [b"".join(map(self.__getitem__, w)) for w in words]
+        return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
 def _cut(path: str, limit: int, end: int):
@@ -107,7 +120,7 @@ def _cut(path: str, limit: int, end: int):
             at, size = 0, 0
             for i in range(len(texts)):
                 size += len(texts[i] or "")
-                if size < 2_000_000 and i + 1 < len(texts):
+                if size < 500_000 and i + 1 < len(texts):
                     continue
                 row, piece, start, length, parts = [], [], [], [], []
                 for j, ids in enumerate(known.ids(texts[at : i + 1]), at):
