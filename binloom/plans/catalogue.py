@@ -1,9 +1,303 @@
-"""Query catalogue over the driver tables: each key pairs a Spark plan with the SQL that checks it."""
+"""Query catalogue over the driver tables: each key pairs a Spark plan with the SQL that checks it.
 
+Prices and values become whole cents first. The geometry is 1 upwards, three digits, unless a query says otherwise.
+"""
 
-def queries() -> dict:
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import bins as B
+from ..geometry import Geometry
+from ..operators import hist as H
+from ..operators import iterate as I
+from ..operators import stats as S
+from ..sources import codec, interval_log
+from ..streaming import windows
+
+G = Geometry(1, 2**62, 3)
+SMALL = Geometry(1, 5_000_000, 2)
+QS = [0.0, 0.5, 0.9, 0.99, 0.999, 1.0]
+PS = [0.0, 25.0, 50.0, 75.0, 99.0, 100.0]
+INTERVAL = 100
+
+
+def cents(c: str):
+    return F.floor(F.col(c) * 100 + 0.5).cast("bigint")
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def events(spark: SparkSession, sf_dir: str, geometry: Geometry = G, **how) -> H.Histograms:
+    rows = table(spark, sf_dir, "events").select("event_type", cents("value").alias("v"))
+    return H.record(rows, "v", geometry, ["event_type"], **how)
+
+
+def orders(spark: SparkSession, sf_dir: str, geometry: Geometry = G, **how) -> H.Histograms:
+    rows = table(spark, sf_dir, "orders").select("o_orderpriority", cents("o_totalprice").alias("v"))
+    return H.record(rows, "v", geometry, ["o_orderpriority"], **how)
+
+
+def lineitem(spark: SparkSession, sf_dir: str, *keys, weighted: bool = False, geometry: Geometry = G, **how) -> H.Histograms:
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", cents("l_extendedprice").alias("v"), F.col("l_quantity").cast("bigint").alias("w"))
+    return H.record(rows, "v", geometry, keys, weight="w" if weighted else None, **how)
+
+
+def part_sizes(spark: SparkSession, sf_dir: str) -> H.Histograms:
+    return H.record(table(spark, sf_dir, "part").select(F.col("p_size").cast("bigint").alias("v")), "v", Geometry(1, 64, 1))
+
+
+# -- SQL pieces --
+
+U = {3: (2047, 11, 1024), 2: (255, 8, 128), 1: (31, 5, 16)}
+CENTS = "cast(floor({} * 100 + 0.5) as bigint)"
+EV = f"select event_type, {CENTS.format('value')} as v from events"
+OR = f"select o_orderpriority, {CENTS.format('o_totalprice')} as v from orders"
+LI = f"select l_returnflag, l_linestatus, {CENTS.format('l_extendedprice')} as v, cast(l_quantity as bigint) as w from lineitem"
+
+
+def bin_sql(v: str, sigfig: int = 3) -> str:
+    mask, bits, half = U[sigfig]
+    b = f"(length(bin(({v}) | {mask})) - {bits})"
+    return f"cast(({b} + 1) * {half} + (({v}) >> {b}) - {half} as integer)"
+
+
+def low_sql(i: str, sigfig: int = 3) -> str:
+    half = U[sigfig][2]
+    return f"(case when ({i}) < {half} then cast({i} as bigint) else cast(({i}) % {half} + {half} as bigint) << cast(({i}) // {half} - 1 as integer) end)"
+
+
+def high_sql(i: str, sigfig: int = 3) -> str:
+    half = U[sigfig][2]
+    return f"({low_sql(i, sigfig)} + (case when ({i}) < {half} then 1 else cast(1 as bigint) << cast(({i}) // {half} - 1 as integer) end) - 1)"
+
+
+def median_sql(i: str, sigfig: int = 3) -> str:
+    half = U[sigfig][2]
+    return f"({low_sql(i, sigfig)} + (case when ({i}) < {2 * half} then 0 else cast(1 as bigint) << cast(({i}) // {half} - 2 as integer) end))"
+
+
+def bins_sql(rows: str, key: str, weight: str = "1", sigfig: int = 3) -> str:
+    """Common table expression b of bins."""
+    k = f"{key}, " if key else ""
+    return f"b as (select {k}{bin_sql('v', sigfig)} as bin, cast(sum({weight}) as bigint) as cnt from ({rows}) group by {k}2)" if key else f"b as (select {bin_sql('v', sigfig)} as bin, cast(sum({weight}) as bigint) as cnt from ({rows}) group by 1)"
+
+
+def cum_sql(key: str) -> str:
+    part = f"partition by {key}" if key else ""
+    return f"c as (select *, cast(sum(cnt) over ({part} order by bin) as bigint) as cum, cast(sum(cnt) over ({part}) as bigint) as total from b)"
+
+
+def quantiles_sql(rows: str, key: str, asked: list[float], column: str, scale: float = 1.0, weight: str = "1") -> str:
+    values = ", ".join(f"(cast({q!r} as double), cast({q / scale!r} as double))" for q in asked)
+    return f"""with {bins_sql(rows, key, weight)}, {cum_sql(key)}, q(a, q) as (values {values}),
+    f as (select {key}, a, q, min(bin) as bin from c, q where cum >= greatest(1, ceil(q * cast(total as double))) group by 1, 2, 3)
+    select {key}, a as {column}, case when q = 0 then {low_sql('bin')} else {high_sql('bin')} end as value from f"""
+
+
+def steps_sql(rows: str, key: str, levels: str) -> str:
+    """Levels (key, k, level, pos) to iteration rows."""
+    return f"""with {bins_sql(rows, key)}, {cum_sql(key)}, m as (select {key}, max(bin) as top from b group by 1), lv as ({levels}),
+    j as (select lv.{key}, k, level, max(total) as total, cast(coalesce(sum(cnt) filter (where bin <= pos), 0) as bigint) as cum, cast(coalesce(sum(cnt) filter (where bin = pos), 0) as bigint) as here
+      from lv join c on c.{key} = lv.{key} group by 1, 2, 3)
+    select {key}, level as value, cast(cum as double) / cast(total as double) as quantile, cast(cum as double) / cast(total as double) as quantile_iterated_to,
+      here as count_at_value, cast(cum - coalesce(lag(cum) over (partition by {key} order by k), 0) as bigint) as count_since_last from j"""
+
+
+def omission_sql(rows: str, key: str) -> str:
+    i = INTERVAL
+    return f"select {key}, unnest(case when v > {i} then generate_series({i} + v % {i}, v, {i}) else [v] end) as v from ({rows})"
+
+
+def encoded_bins(h: H.Histograms, compress: bool) -> H.Histograms:
+    return codec.decoded_histograms(codec.encoded(h, compress), h.geometry, keys=h.keys)
+
+
+def ilog_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode as log lines, parse them, decode the payloads: the bins of each event type come back."""
+    h = events(spark, sf_dir)
+    both = codec.encoded(h, True).join(S.summary(h).select("event_type", "max"), "event_type")
+    lines = interval_log.interval_lines(both.select(F.col("event_type").alias("tag"), F.lit(1).alias("start_sec"), F.lit(1).alias("duration_sec"), "max", "payload"))
+    entries = interval_log.parsed(lines.select("value")).where("kind = 'interval'").select(F.col("tag").alias("event_type"), F.unbase64("payload").alias("payload"))
+    return codec.decoded_histograms(entries, h.geometry, keys=["event_type"]).bins
+
+
+def interval_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("ts", cents("value").alias("v"))
+    h = windows.windowed(rows, "v", G, "ts", "1 day")
+    out = S.value_at_quantiles(h, [0.99]).join(S.summary(h).select("start", "end", "total"), ["start", "end"])
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "total", F.col("value").alias("p99"))
+
+
+def equivalents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "events").select(cents("value").alias("v")).distinct()
+    return v.select(
+        "v", B.bin_index("v", G).alias("bin"), B.lowest_equivalent("v", G).alias("lowest"), B.highest_equivalent("v", G).alias("highest"), B.median_equivalent("v", G).alias("median"),
+        B.next_non_equivalent("v", G).alias("next"), B.equivalent_range("v", G).alias("width"), B.equivalent("v", F.col("v") + 1, G).alias("same_as_next"),
+    )
+
+
+def split(spark: SparkSession, sf_dir: str, geometry: Geometry = G) -> tuple[H.Histograms, H.Histograms]:
+    """Line items returned and those not, keyed by line status."""
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", cents("l_extendedprice").alias("v"))
+    of = lambda keep, g: H.record(rows.where(keep), "v", g, ["l_linestatus"])
+    return of("l_returnflag = 'R'", G), of("l_returnflag <> 'R'", geometry)
+
+
+def subtract_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = lineitem(spark, sf_dir, "l_linestatus")
+    return H.subtract(both, split(spark, sf_dir)[0]).bins
+
+
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..report import quantile_lines
+
+    return quantile_lines(events(spark, sf_dir), 2, 6)
+
+
+def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = lineitem(spark, sf_dir, "l_returnflag", weighted=True, geometry=SMALL, saturate=True, counter="u8")
+    return h.bins.select("l_returnflag", "bin", F.col("cnt").cast("bigint").alias("cnt"), F.col("n").cast("bigint").alias("n"))
+
+
+def restated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics that a decoded histogram has."""
+    return S.summary(encoded_bins(orders(spark, sf_dir), False)).select("o_orderpriority", "total", "min", "max", "min_nz")
+
+
+def summary_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.summary(orders(spark, sf_dir))
+
+
+LOG_LEVELS = I.logarithmic_levels(100, 2.0, 2**62)
+TICKS = [t for t in I.quantile_ticks(5)]
+
+Query = Callable[[SparkSession, str], DataFrame]
+CATALOGUE: dict[str, tuple[Query, str | None]] = {
+    "record_bins_events": (lambda s, d: events(s, d).bins, f"with {bins_sql(EV, 'event_type')} select * from b"),
+    "record_n_lineitem": (lambda s, d: lineitem(s, d, "l_returnflag", weighted=True).bins, f"with {bins_sql(LI, 'l_returnflag', 'w')} select * from b"),
+    "saturating_record_orders": (
+        lambda s, d: orders(s, d, Geometry(1, 10_000_000, 3), saturate=True).bins,
+        f"with {bins_sql(f'select o_orderpriority, case when {bin_sql("v")} >= {Geometry(1, 10_000_000, 3).bins} then 10000000 else v end as v from ({OR})', 'o_orderpriority')} select * from b",
+    ),
+    "capped_counters": (
+        capped,
+        f"with r as (select l_returnflag, case when {bin_sql('v', 2)} >= {SMALL.bins} then {SMALL.high} else v end as v, w from ({LI})), {bins_sql('select * from r', 'l_returnflag', 'w', 2)} select l_returnflag, bin, least(cnt, 255) as cnt, cnt as n from b",
+    ),
+    "len_min_max": (
+        lambda s, d: summary_of_orders(s, d).select("o_orderpriority", "total", "min", "max", "min_nz"),
+        f"with {bins_sql(OR, 'o_orderpriority')} select o_orderpriority, cast(sum(cnt) as bigint) as total, {low_sql('min(bin)')} as min, {high_sql('max(bin)')} as max, {low_sql('min(bin) filter (where bin > 0)')} as min_nz from b group by 1",
+    ),
+    "mean_stdev": (
+        lambda s, d: summary_of_orders(s, d).select("o_orderpriority", F.round("mean", 3).alias("mean"), F.round("stdev", 3).alias("stdev")),
+        f"""with {bins_sql(OR, 'o_orderpriority')}, m as (select o_orderpriority, cast(sum({median_sql('bin')} * cast(cnt as hugeint)) as double) / cast(sum(cnt) as double) as mean, cast(sum(cnt) as double) as n from b group by 1)
+        select o_orderpriority, round(max(mean), 3) as mean, round(sqrt(sum((cast({median_sql('bin')} as double) - mean) ** 2 * cnt) / max(n)), 3) as stdev from b join m using (o_orderpriority) group by 1""",
+    ),
+    "value_at_quantiles": (lambda s, d: S.value_at_quantiles(events(s, d), QS), quantiles_sql(EV, "event_type", QS, "quantile")),
+    "value_at_quantile": (lambda s, d: S.value_at_quantile(orders(s, d), 0.95), quantiles_sql(OR, "o_orderpriority", [0.95], "quantile")),
+    "value_at_percentiles": (
+        lambda s, d: S.value_at_percentiles(lineitem(s, d, "l_returnflag"), PS),
+        quantiles_sql(LI, "l_returnflag", PS, "percentile", 100.0),
+    ),
+    "quantile_below": (
+        lambda s, d: S.shares_below(events(s, d), [100, 5000, 40000]).select("event_type", "value", "quantile_below"),
+        f"with {bins_sql(EV, 'event_type')}, x(value) as (values (cast(100 as bigint)), (5000), (40000)) select event_type, value, cast(coalesce(sum(cnt) filter (where bin <= {bin_sql('value')}), 0) as double) / cast(sum(cnt) as double) as quantile_below from b, x group by 1, 2",
+    ),
+    "percentile_below": (
+        lambda s, d: S.shares_below(events(s, d), [2500]).select("event_type", "value", "percentile_below"),
+        f"with {bins_sql(EV, 'event_type')} select event_type, cast(2500 as bigint) as value, cast(coalesce(sum(cnt) filter (where bin <= {bin_sql('cast(2500 as bigint)')}), 0) as double) / cast(sum(cnt) as double) * 100 as percentile_below from b group by 1",
+    ),
+    "count_between": (
+        lambda s, d: S.counts_between(events(s, d), [(100, 5000), (5000, 100), (30000, 10**9)]),
+        f"with {bins_sql(EV, 'event_type')}, x(low, high) as (values (cast(100 as bigint), cast(5000 as bigint)), (5000, 100), (30000, 1000000000)) select event_type, low, high, cast(coalesce(sum(cnt) filter (where bin between {bin_sql('low')} and {bin_sql('high')}), 0) as bigint) as count from b, x group by 1, 2, 3",
+    ),
+    "count_at": (
+        lambda s, d: S.counts_at(events(s, d), [1000, 10007]),
+        f"with {bins_sql(EV, 'event_type')}, x(value) as (values (cast(1000 as bigint)), (10007)) select event_type, value, cast(coalesce(sum(cnt) filter (where bin = {bin_sql('value')}), 0) as bigint) as count from b, x group by 1, 2",
+    ),
+    "equivalents": (
+        equivalents,
+        f"""with x as (select distinct v, {bin_sql('v')} as bin from ({EV})) select v, bin, {low_sql('bin')} as lowest, {high_sql('bin')} as highest, {median_sql('bin')} as median, {high_sql('bin')} + 1 as next,
+        {high_sql('bin')} + 1 - {low_sql('bin')} as width, bin = {bin_sql('v + 1')} as same_as_next from x""",
+    ),
+    "iter_recorded": (
+        lambda s, d: I.recorded(events(s, d)),
+        f"with {bins_sql(EV, 'event_type')}, {cum_sql('event_type')} select event_type, {high_sql('bin')} as value, cast(cum as double) / cast(total as double) as quantile, cast(cum as double) / cast(total as double) as quantile_iterated_to, cnt as count_at_value, cnt as count_since_last from c",
+    ),
+    "iter_all": (
+        lambda s, d: I.every_bin(part_sizes(s, d)),
+        f"""with {bins_sql('select cast(p_size as bigint) as v from part', '', '1', 1)}, a as (select cast(range as integer) as i from range({Geometry(1, 64, 1).bins}))
+        select {high_sql('i', 1)} as value, cast(coalesce(sum(cnt) filter (where bin <= i), 0) as double) / cast(sum(cnt) as double) as quantile, cast(coalesce(sum(cnt) filter (where bin <= i), 0) as double) / cast(sum(cnt) as double) as quantile_iterated_to,
+        cast(coalesce(sum(cnt) filter (where bin = i), 0) as bigint) as count_at_value, cast(coalesce(sum(cnt) filter (where bin = i), 0) as bigint) as count_since_last from b, a group by i""",
+    ),
+    "iter_linear": (
+        lambda s, d: I.linear(events(s, d), 1000),
+        steps_sql(EV, "event_type", f"""select event_type, k, k * 1000 - 1 as level, {bin_sql('k * 1000 - 1')} as pos from (select event_type, unnest(generate_series(1, greatest(k0, {low_sql(f"{bin_sql('k0 * 1000 - 1')} + 1")} // 1000))) as k
+        from (select event_type, greatest(1, ({low_sql('top')} + 1000) // 1000) as k0 from m))"""),
+    ),
+    "iter_log": (
+        lambda s, d: I.logarithmic(events(s, d), 100, 2.0),
+        steps_sql(EV, "event_type", f"""select event_type, k, level, pos from m, (select k, level, {bin_sql('level')} as pos, coalesce({bin_sql('prev')}, -1) as before from (values {', '.join(f'({k}, cast({x} as bigint), cast({LOG_LEVELS[k - 1] if k else 'null'} as bigint))' for k, x in enumerate(LOG_LEVELS[:40]))}) l(k, level, prev)) where before < top"""),
+    ),
+    "iter_quantiles": (
+        lambda s, d: I.quantile_steps(events(s, d), 5),
+        f"""with {bins_sql(EV, 'event_type')}, {cum_sql('event_type')}, t(t) as (values {', '.join(f'(cast({t!r} as double))' for t in TICKS)}),
+        p as (select event_type, t, min(bin) as bin from c, t where cast(cum as double) / cast(total as double) >= t group by 1, 2), m as (select event_type, max(bin) as top from b group by 1),
+        f as (select event_type, min(t) as first from p join m using (event_type) where bin = top group by 1),
+        r as (select p.event_type, t, bin from p join f using (event_type) where t <= first union all select event_type, 1.0, top from f join m using (event_type) where first < 1.0)
+        select r.event_type, {high_sql('r.bin')} as value, cast(cum as double) / cast(total as double) as quantile, t as quantile_iterated_to, cnt as count_at_value,
+        cast(cum - coalesce(lag(cum) over (partition by r.event_type order by t), 0) as bigint) as count_since_last from r join c on c.event_type = r.event_type and c.bin = r.bin""",
+    ),
+    "record_correct": (
+        lambda s, d: H.record_correct(table(s, d, "events").select("event_type", cents("value").alias("v")), "v", G, INTERVAL, ["event_type"]).bins,
+        f"with {bins_sql(omission_sql(EV, 'event_type'), 'event_type')} select * from b",
+    ),
+    "clone_correct": (
+        lambda s, d: H.corrected(events(s, d), INTERVAL).bins,
+        f"with {bins_sql(omission_sql(f'select event_type, {high_sql("bin")} as v from (select event_type, {bin_sql("v")} as bin from ({EV}))', 'event_type'), 'event_type')} select * from b",
+    ),
+    "add_correct": (
+        lambda s, d: H.add_correct(events(s, d), events(s, d), INTERVAL).bins,
+        f"with {bins_sql(f'{EV} union all {omission_sql(f'select event_type, {high_sql("bin")} as v from (select event_type, {bin_sql("v")} as bin from ({EV}))', 'event_type')}', 'event_type')} select * from b",
+    ),
+    "add_hist": (lambda s, d: H.add(*split(s, d)).bins, f"with {bins_sql(LI, 'l_linestatus')} select * from b"),
+    "rebin_add": (
+        lambda s, d: H.add(*split(s, d, Geometry(1, 2**40, 2))).bins,
+        f"""with {bins_sql(f"select l_linestatus, v from ({LI}) where l_returnflag = 'R' union all select l_linestatus, {low_sql('bin', 2)} as v from (select l_linestatus, {bin_sql('v', 2)} as bin from ({LI}) where l_returnflag <> 'R')", 'l_linestatus')} select * from b""",
+    ),
+    "subtract_hist": (subtract_hist, f"""with {bins_sql(f"select * from ({LI}) where l_returnflag <> 'R'", 'l_linestatus')} select * from b"""),
+    "sum_rollup": (
+        lambda s, d: H.rollup(lineitem(s, d, "l_returnflag", "l_linestatus")).bins.select("l_returnflag", "l_linestatus", "level", "bin", "cnt"),
+        f"select l_returnflag, l_linestatus, cast(2 - grouping(l_returnflag) - grouping(l_linestatus) as integer) as level, {bin_sql('v')} as bin, count(*) as cnt from ({LI}) group by grouping sets ((l_returnflag, l_linestatus, 4), (l_returnflag, 4), (4))",
+    ),
+    "sum_hist": (lambda s, d: H.merge(events(s, d)).bins, f"with {bins_sql(EV, '')} select * from b"),
+    "equality": (
+        lambda s, d: s.createDataFrame([(H.same(events(s, d), encoded_bins(events(s, d), True)), H.same(events(s, d), H.corrected(events(s, d), INTERVAL)))], "same boolean, other boolean"),
+        "select true as same, false as other",
+    ),
+    "interval_windows": (
+        interval_windows,
+        f"""with {bins_sql(f"select strftime(ts, '%Y-%m-%d') as day, {CENTS.format('value')} as v from events", 'day')}, {cum_sql('day')} select day, max(total) as total, {high_sql('min(bin) filter (where cum >= greatest(1, ceil(cast(0.99 as double) * cast(total as double))))')} as p99 from c group by 1""",
+    ),
+    "v2_roundtrip": (lambda s, d: encoded_bins(events(s, d), False).bins, f"with {bins_sql(EV, 'event_type')} select * from b"),
+    "v2_deflate_roundtrip": (lambda s, d: encoded_bins(orders(s, d), True).bins, f"with {bins_sql(OR, 'o_orderpriority')} select * from b"),
+    "decoded_summary": (
+        restated,
+        f"with {bins_sql(OR, 'o_orderpriority')} select o_orderpriority, cast(sum(cnt) as bigint) as total, {low_sql('min(bin)')} as min, {high_sql('max(bin)')} as max, {low_sql('min(bin) filter (where bin > 0)')} as min_nz from b group by 1",
+    ),
+    "ilog_roundtrip": (ilog_roundtrip, f"with {bins_sql(EV, 'event_type')} select * from b"),
+    "report": (report_lines, None),
+}
+
+
+def queries() -> dict[str, Query]:
+    return {name: query for name, (query, _) in CATALOGUE.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in CATALOGUE.items() if sql}
