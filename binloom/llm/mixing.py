@@ -5,7 +5,9 @@ fractions of a source are rounded by the pivotal method: two fractions meet, mas
 the other until one of them is 0 or 1, and the other meets the next. Mass is counted in words, so a source's words are
 kept but for its last fraction, and each document keeps its expectation. Fractions of like size meet, large ones first:
 a block holds about BLOCK documents of one source and one size class, what each block leaves over (one fraction at most)
-goes up a tree of such blocks, and the last fraction of a source, mostly a short document, is rounded by itself. All draws are hashes of the two documents,
+goes up a tree of such blocks, and the last fraction of a source, mostly a short document, is rounded by itself. Giants,
+documents with more than 1 / GIANTS of their source's words, would be left over too often: each in turn meets the rest of
+its source as one partner, is rounded, and the rest's common fraction takes up the difference. All draws are hashes of the two documents,
 so reruns agree however rows are dealt.
 
 Defined results: a null text has 0 words and takes 0; a null source is a source, the last; repeated rows are documents of
@@ -24,6 +26,7 @@ from .common import WORD, read, settle
 BLOCK = 256
 #: Size classes per factor e.
 CLASSES = 24
+GIANTS = 32
 
 
 def n_words(text: Column) -> Column:
@@ -116,6 +119,31 @@ def rounded(units: DataFrame, seed: int = 17) -> DataFrame:
     return result
 
 
+def _giants(units: DataFrame, seed: int, most: float) -> DataFrame:
+    """Giants (source, source_size, target, size, key, row), fewer than GIANTS a source, largest first: their copies, and what is left.
+
+    One row per source: rest (words and target of all other documents) and done (key, copies).
+    """
+    state = "struct<words:double,target:double,done:array<struct<key:bigint,copies:bigint>>>"
+
+    def step(s: Column, x: Column) -> Column:
+        size = (-x["order"]).cast("double")
+        share = s["target"] / s["words"]
+        rest = s["words"] - size
+        copies = F.floor(share) + (_draw(x["key"], x["row"], seed) < share - F.floor(share)).cast("bigint")
+        # what the rest can't take or give up stays with the giant
+        copies = F.greatest(copies, F.ceil((s["target"] - most * rest) / size - 1e-9))
+        copies = F.least(copies, F.greatest(F.floor(s["target"] / size + 0.5), F.lit(0)), F.lit(int(most))).cast("bigint")
+        left = F.greatest(F.lit(0.0), F.least(s["target"] - copies * size, most * rest))
+        one = F.array(F.struct(x["key"].alias("key"), copies.alias("copies")))
+        return F.struct(rest.alias("words"), left.alias("target"), F.concat(s["done"], one).alias("done")).cast(state)
+
+    each = F.array_sort(F.collect_list(F.struct((-F.col("size")).alias("order"), "key", "row")))
+    by = units.groupBy("source").agg(F.first("source_size").cast("double").alias("words"), F.first("target").alias("target"), each.alias("giants"))
+    start = F.struct("words", "target", F.array().cast("array<struct<key:bigint,copies:bigint>>").alias("done")).cast(state)
+    return by.select("source", F.aggregate("giants", start, step).alias("s"))
+
+
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
     """Rows of docs (needed: doc_id, source, text) with size, source_size, target and copies, a bigint, appended.
 
@@ -129,15 +157,27 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: f
     rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
     small = settle(rows.select(F.col("_source").alias("source"), "size", "_key", "_row"), "sizes")
     goal = settle(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
-    copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = goal.select(F.col("source").alias("_goal"), "source_size", "target")
+    known = small.join(goal, small["source"].eqNullSafe(F.col("_goal"))).drop("_goal")
+    giant = F.col("size") * GIANTS > F.col("source_size")
+    large = settle(_giants(known.where(giant).select("source", "source_size", "target", "size", F.col("_key").alias("key"), F.col("_row").alias("row")), seed, most), "giants")
+    fixed = large.select(F.explode("s.done").alias("d")).groupBy(F.col("d.key").alias("_key")).agg(F.sum("d.copies").alias("_sum"), F.count("*").alias("_of"))
+    left = large.select(F.col("source").alias("_left"), "s.words", F.col("s.target").alias("rest"))
+    goal = goal.join(left, F.col("_goal").eqNullSafe(F.col("_left")), "left")
+    words, rest = F.coalesce("words", "source_size"), F.coalesce("rest", "target")
+    copies = F.when(words > 0, F.least(rest / words, F.lit(float(most)))).otherwise(F.lit(0.0))
     # a hair below a whole number is that number
-    goal = goal.select(F.col("source").alias("_goal"), "source_size", "target", F.floor(copies + 1e-12).alias("whole"), copies.alias("exact"))
-    units = small.join(goal, small["source"].eqNullSafe(F.col("_goal"))).withColumn("p", F.col("exact") - F.col("whole")).where("p > 1e-12 and size > 0")
+    goal = settle(goal.select("_goal", "source_size", "target", F.floor(copies + 1e-12).alias("whole"), copies.alias("exact")), "goals")
+    units = small.join(goal, small["source"].eqNullSafe(F.col("_goal"))).where(~giant).withColumn("p", F.col("exact") - F.col("whole")).where("p > 1e-12 and size > 0")
     unit_key = F.when(F.col("_row") == 1, F.col("_key")).otherwise(F.xxhash64("_key", "_row"))
     taken = rounded(units.select("source", "size", unit_key.alias("key"), F.col("_key").alias("base"), "p"), seed)
     more = taken.where("taken").groupBy(F.col("base").alias("_key")).agg(F.count("*").alias("_more"))
+    more = more.select("_key", "_more", F.lit(None).cast("bigint").alias("_sum"), F.lit(None).cast("bigint").alias("_of"))
+    more = more.union(fixed.select("_key", F.lit(None).cast("bigint").alias("_more"), "_sum", "_of"))
     out = rows.join(more, "_key", "left").join(goal, F.col("_source").eqNullSafe(F.col("_goal")))
-    n = F.col("whole") + (F.col("_row") <= F.coalesce("_more", F.lit(0))).cast("bigint")
+    # repeated giants share what they take
+    big = F.expr("_sum div _of") + (F.col("_row") <= F.col("_sum") % F.col("_of")).cast("bigint")
+    n = F.coalesce(big, F.col("whole") + (F.col("_row") <= F.coalesce("_more", F.lit(0))).cast("bigint"))
     return out.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", n.cast("bigint").alias("copies"))
 
 
