@@ -30,19 +30,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_settled, read, settle
+from .common import components, drop_settled, read, settle, tidied
 
 #: Frequent shingles that are placed by frequency; the order of the others is as good for exactness.
-FREQUENT = 65536
+FREQUENT = 200_000
 #: Shingles that the first look lists: the lowest hashes, be they frequent or not, so that near copies meet there.
 SHORT = 8
-TURNS = 4
+#: Of these, as many that two must have in common to be tried in the first look, and its turns.
+ALIKE, TURNS = 4, 3
+#: Groups from which on a component is large, members in an array, parts of those that meet it.
+LARGE, MEMBERS, SALTS = 24, 2048, 8
 HASH = np.uint64(2**62 - 1)
 
 
 class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -76,7 +79,7 @@ def _frequent(width: int):
             for i in range(0, batch.num_rows, 2000):
                 part = batch.column(0).slice(i, 2000).to_pylist()
                 keys, n = np.unique(np.concatenate([shingles(t, known, width) for t in part]), return_counts=True)
-                often = n >= max(4, len(part) // 200)
+                often = n >= max(3, len(part) // 500)
                 yield pa.RecordBatch.from_arrays([pa.array(keys[often].astype(np.int64)), pa.array(n[often].astype(np.int64))], ["key", "n"])
 
     return run
@@ -139,41 +142,122 @@ def _sets(width: int):
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(id, set) of the documents (id, text) that wanted has, settled."""
     found = docs.join(wanted.distinct(), "id", "left_semi").select("id", "text")
-    return settle(found.mapInArrow(_sets(width), "id bigint, set array<bigint>"), "sets")
+    return settle(found.mapInArrow(tidied(_sets(width)), "id bigint, set array<bigint>"), "sets")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids whose whole sets are similar enough, settled."""
-    left = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("s")), "a")
-    both = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("t")), "b")
-    shared = F.size(F.array_intersect("s", "t"))
-    near = 100 * shared >= percent * (F.size("s") + F.size("t") - shared)
-    return settle(both.where(near & (shared > 0)).select("a", "b").distinct(), "links")
+    """The pairs (a, b) of document ids, settled, whose whole sets are similar enough, settled.
+
+    Only the sets that a pair asks for move, each to its pair; few pairs are broadcast to the sets (the session's limit
+    decides, as the pairs' size is known by then).
+    """
+    asked = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("id"), F.lit(False).alias("left")))).alias("x"))
+    found = sets.join(asked.select("a", "b", "x.id", "x.left"), "id")
+    # an id has several sets if rows with different texts share it
+    both = found.groupBy("a", "b").agg(*[F.collect_list(F.when(on, F.col("set"))).alias(c) for c, on in (("s", F.col("left")), ("t", ~F.col("left")))])
+    shared = lambda s, t: F.size(F.array_intersect(s, t))
+    near = lambda s, t: (shared(s, t) > 0) & (100 * shared(s, t) >= percent * (F.size(s) + F.size(t) - shared(s, t)))
+    return settle(both.where(F.exists("s", lambda s: F.exists("t", lambda t: near(s, t)))).select("a", "b"), "links")
 
 
 def _neighbours(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of neighbours, in a random order of the turn, in the salted lists (key, id, n, short, comp); a first turn takes two for each id, later ones more."""
+    """Pairs of neighbours, in a random order of the turn, in the salted lists (key, id, n, short, comp).
+
+    A first turn looks at one neighbour in each list and takes two for each id; later ones, with few components left to
+    link, look at more and take more.
+    """
     by = Window.partitionBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(32))).orderBy(F.xxhash64(F.lit(turn), "id"))
     row = F.struct("id", "n", "short", "comp")
-    pair = lists.select(row.alias("x"), F.lag(row).over(by).alias("y"))
+    reach = [F.when(F.lag("comp", k).over(by) != F.col("comp"), F.lag(row, k).over(by)) for k in range(1, min(4**turn, 16) + 1)]
+    alike = lambda y: F.size(F.array_intersect(F.col("x.short"), y["short"])) >= F.least(F.col("x.n"), y["n"], F.lit(ALIKE))
+    seen = lists.select(row.alias("x"), F.array(*reach).alias("ys"))
+    pair = seen.select("x", F.explode(F.filter("ys", lambda y: y.isNotNull() & alike(y))).alias("y"))
     least = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(row, F.xxhash64(F.lit(turn), "id")).alias("y"))
     star = lists.join(least.where("low != high").select("key", "y"), "key").select(row.alias("x"), "y")
     shared = F.size(F.array_intersect("x.short", "y.short"))
     pair = pair.union(star).where(f"x.comp != y.comp and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n")
     # a document has few neighbours here, as many as its short list has keys
-    pair = pair.withColumn("shared", shared).where(F.col("shared") >= F.least("x.n", "y.n", F.lit(3))).select("x.id", F.col("y.id").alias("other"), "shared").distinct()
+    pair = pair.withColumn("shared", shared).where(F.col("shared") >= F.least("x.n", "y.n", F.lit(ALIKE))).select("x.id", F.col("y.id").alias("other"), "shared").distinct()
     best = Window.partitionBy("id").orderBy(F.desc("shared"), F.xxhash64(F.lit(turn), "other"))
-    pair = pair.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 2 * 4**turn)
+    pair = pair.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 2 * (1 + turn))
     return pair.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
+def _enough(c, m, k, percent: int):
+    """Whether c common shingles in the prefixes leave sets of m and k a chance, whichever prefix ends first."""
+    larger = F.greatest(m, k) if not isinstance(m, np.ndarray) else np.maximum(m, k)
+    beyond = F.ceil(F.lit(percent) * larger / 100) - 1 if not isinstance(m, np.ndarray) else -(-percent * larger // 100) - 1
+    return (100 + percent) * (c + beyond) >= percent * (m + k)
+
+
+def _against_large(percent: int):
+    """Common prefix shingles of a large component's members with others: the lists that both are in are counted up."""
+
+    def run(key, members, others):
+        import pandas as pd
+
+        none = pd.DataFrame({x: pd.Series(dtype="int64") for x in "abc"})
+        if not len(members) or not len(others):
+            return none
+        ids = np.unique(np.concatenate(members["ids"].to_list()))
+        size = np.zeros(len(ids), np.int64)
+        lists = {}
+        for k, i, n in zip(members["key"], members["ids"], members["ns"], strict=True):
+            at = np.searchsorted(ids, i)
+            size[at] = n
+            lists[k] = at
+        out, others = [], others.sort_values("id", kind="stable")
+        for z, rows in others.groupby("id", sort=False):
+            c = np.zeros(len(ids), np.int64)
+            for k in rows["key"]:
+                c[lists[k]] += 1
+            n = int(rows["n"].iloc[0])
+            least, most = np.minimum(size, n), np.maximum(size, n)
+            hit = np.flatnonzero((c > 0) & (100 * least >= percent * most) & _enough(c, size, np.full(len(ids), n), percent))
+            if len(hit):
+                out.append(pd.DataFrame({"a": np.minimum(ids[hit], z), "b": np.maximum(ids[hit], z), "c": c[hit]}))
+        return pd.concat(out) if out else none
+
+    return run
+
+
+def _met(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in the lists (key, id, n, comp), with c, their common lists, where c is enough.
+
+    Small components are paired by a join. Of large ones the members stand as arrays, at most about MEMBERS of them, so
+    that a document which shares many lists with a large component costs a row a list, not one for each member.
+    """
+    sizes = mixed.groupBy("comp").agg(F.approx_count_distinct("id").alias("size")).where(F.col("size") >= LARGE)
+    sizes = settle(sizes.select(F.col("comp").alias("large"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("parts")), "large")
+    rows = mixed.join(sizes, F.col("comp") == F.col("large"), "left")
+    x, y = rows.where("large is null").alias("x"), rows.where("large is null").alias("y")
+    sized = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
+    small = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {sized} and x.comp != y.comp"))
+    small = small.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("k"))
+    small = small.where(_enough(F.col("c"), F.col("m"), F.col("k"), percent)).select("a", "b", "c")
+
+    part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    lists = rows.where("large is not null").select("large", part.alias("part"), "key", "id", F.col("n").cast("bigint").alias("n"))
+    lists = lists.groupBy("large", "part", "key").agg(F.collect_list("id").alias("ids"), F.collect_list("n").alias("ns"))
+    lists = settle(lists, "members")
+    places = lists.select("large", "part", F.col("key").alias("of"))
+    others = rows.select("key", "id", F.col("n").cast("bigint").alias("n"), "comp", F.col("large").alias("own"))
+    others = others.join(places, F.col("key") == F.col("of")).where("comp != large and (own is null or own > large)")
+    salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
+    others = others.select(F.col("large").alias("l"), F.col("part").alias("p"), salt.alias("s"), "key", "id", "n")
+    spread = lists.join(settle(others.select("l", "p", "s").distinct(), "asked"), (F.col("large") == F.col("l")) & (F.col("part") == F.col("p")))
+    spread = spread.select("large", "part", F.col("s").alias("salt"), "key", "ids", "ns")
+    met = spread.groupBy("large", "part", "salt").cogroup(others.groupBy("l", "p", "s")).applyInPandas(_against_large(percent), "a bigint, b bigint, c bigint")
+    return small.union(met)
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id (the smallest key that links reach, itself included)."""
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    counted = docs.select("text").mapInArrow(_frequent(width), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+    counted = docs.select("text").mapInArrow(tidied(_frequent(width)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     frequent = np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.uint64)
     schema = "id bigint, n bigint, sig binary, pfx binary, short array<bigint>, prefix array<bigint>"
-    sketches = settle(docs.mapInArrow(_sketches(width, percent, frequent), schema), "sketches")
+    sketches = settle(docs.mapInArrow(tidied(_sketches(width, percent, frequent)), schema), "sketches")
 
     named = sketches.where("id is not null and n > 0")
     classes = named.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pfx").alias("pfx"))
@@ -188,12 +272,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     lists = settle(lists.join(shared_keys, "key"), "short")
     same_prefix = classes.where("id > gid")
     sets = sets_of(docs, lists.select("id").union(same_prefix.select("id")).union(same_prefix.select("gid")), width)
-    links = verified(same_prefix.select(F.col("gid").alias("a"), F.col("id").alias("b")), sets, percent)
+    tried = settle(same_prefix.select(F.col("gid").alias("a"), F.col("id").alias("b")), "pairs")
+    links = verified(tried, sets, percent)
     for turn in range(TURNS):
         comps = components(links).withColumnRenamed("node", "id")
         now = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        found = verified(_neighbours(settle(now, "lists"), turn, percent), sets, percent)
-        links = settle(links.union(found), "links")
+        pairs = settle(_neighbours(settle(now, "lists"), turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
+        links = settle(links.union(verified(pairs, sets, percent)), "links")
+        tried = tried.union(pairs)
     drop_settled(lists)
 
     # what lies between the components so far
@@ -204,13 +290,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     held = named.select("id", "n", "pfx", "prefix").join(spread, ["id", "pfx"]).dropDuplicates(["id", "pfx"])
     listed = held.select("id", F.col("n").cast("int").alias("n"), "lo", "hi", F.explode("prefix").alias("key"))
     by_key = Window.partitionBy("key")
-    mixed = listed.withColumn("l", F.min("lo").over(by_key)).withColumn("h", F.max("hi").over(by_key)).where("l != h").select("key", "id", "n", "lo", "hi")
+    mixed = listed.withColumn("l", F.min("lo").over(by_key)).withColumn("h", F.max("hi").over(by_key)).where("l != h")
+    # a group with classes of several components stands alone
+    mixed = mixed.select("key", "id", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("id")).alias("comp"))
     mixed = settle(mixed, "mixed")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    apart = "not (x.lo = x.hi and y.lo = y.hi and x.lo = y.lo)"
-    sized = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
-    met = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {sized} and {apart}"))
-    met = met.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"))
+    met = _met(mixed, percent)
     ends = named.select("id", "n", "pfx", F.element_at("prefix", -1).alias("end"), F.size("prefix").alias("p")).join(groups, ["id", "pfx"], "left_semi")
     ends = ends.dropDuplicates(["id", "pfx"])
     of_a = ends.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("end").alias("ea"))
@@ -223,7 +307,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     inner_groups = spread.where("lo != hi").select(F.col("id").alias("a"))
     inside = left.join(inner_groups, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("x < y and cx != cy").select("x", "y")
     pairs = across.union(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    pairs = settle(pairs.distinct(), "pairs")
+    pairs = settle(pairs.distinct(), "candidates")
     rest = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).join(sets, "id", "left_anti")
     sets = sets.union(sets_of(docs, rest, width))
     more = verified(pairs, sets, percent)

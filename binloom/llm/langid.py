@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, tidied
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -181,15 +181,15 @@ def identify(docs: DataFrame, net: ByteConv | None, text: str = "text", keep: li
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(0, whole.num_rows, 2000):
-                batch = whole.slice(i, 2000)
+            for i in range(0, whole.num_rows, 500):
+                batch = whole.slice(i, 500)
                 label, score = predict(held.value, batch.column(len(names)).to_pylist())
                 out = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(label, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
                 yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in zip(label, score, strict=True)]))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "lang_pred string", "score double"])
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text")).mapInArrow(tidied(run), schema)
 
 
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

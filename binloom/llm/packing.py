@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, settle
+from .common import read, settle, tidied
 
 LIMIT = 4096
 END = 1
@@ -142,7 +142,7 @@ def _cut(path: str, limit: int, end: int):
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end: int = END) -> DataFrame:
     """(key, piece, start, length, ids): the token ids of every text and the end token, cut every `limit`. ids: little-endian 32-bit."""
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    out = docs.mapInArrow(_cut(tokenizer, limit, end), "key bigint, piece int, start bigint, length bigint, ids binary")
+    out = docs.mapInArrow(tidied(_cut(tokenizer, limit, end)), "key bigint, piece int, start bigint, length bigint, ids binary")
     return out.withColumnRenamed("key", key)
 
 
