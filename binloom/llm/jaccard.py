@@ -270,6 +270,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     lists = held.select("id", F.col("n").cast("int").alias("n"), "short", F.explode("short").alias("key"))
     shared_keys = lists.groupBy("key").count().where("count > 1").select("key")
     lists = settle(lists.join(shared_keys, "key"), "short")
+    # who shares too few of its keys with anybody has no neighbour here
+    able = lists.groupBy("id").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= F.least("n", F.lit(ALIKE))).select("id")
+    lists = settle(lists.join(able, "id", "left_semi").select(*lists.columns), "short")
     same_prefix = classes.where("id > gid")
     sets = sets_of(docs, lists.select("id").union(same_prefix.select("id")).union(same_prefix.select("gid")), width)
     tried = settle(same_prefix.select(F.col("gid").alias("a"), F.col("id").alias("b")), "pairs")
