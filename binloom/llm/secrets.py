@@ -1,8 +1,11 @@
 """Secret scans: pattern kinds plus strings that a character Markov model finds random.
 
-Two first-order character models are trained from labelled samples (random strings, ordinary identifiers). A candidate,
-a long run of key characters with letters and digits, becomes a span if the log-likelihood ratio of the two models is
-high enough. Everything is DataFrame expressions: the trained table has 65 * 65 entries whatever the corpus.
+Two first-order character models are trained from labelled samples (random strings, ordinary identifiers). A candidate is
+a run of key characters. The log-likelihood ratio of the two models is summed along it, floored at 0, so that ordinary
+words before or after a key take nothing from it; what rises high enough, more so in long runs, becomes a span if it has
+letters and digits side by side. The sum stands no higher than it must rise, so ordinary words between two keys part them. A span
+reaches to the next '/', '_' or '-' on both sides; a run that is as random as a whole is one span. Everything is DataFrame expressions: the trained table has 65 * 65
+entries whatever the corpus.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get their own row; an empty table
 gives an empty table; columns other than the text are carried along (one named as the output column is replaced).
@@ -24,7 +27,14 @@ BASE = {
 }
 #: A cheap test that any text with a match of the kind passes.
 HINT = {"assign": r"(?i:passw|secret|token|api_?key)", "access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}={0,2}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{12,}={0,2}"
+#: Characters of a run up to which the least ratio holds as it is; beyond, its logarithm is added.
+RUN = 20
+#: Characters of a neighbouring word that a stretch may reach into without taking it.
+TOUCH = 2
+#: A letter and a digit with no separator between them; words and numbers that separators part aren't one string.
+MIXED = r"[A-Za-z]\+*[0-9]|[0-9]\+*[A-Za-z]"
+STRETCH = "array<struct<from:int,to:int,score:double>>"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 KINDS = [*BASE, "markov"]
 MASK = "[SECRET]"
@@ -85,12 +95,59 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     return [math.log(counts[True][i] / total[True][i // k]) - math.log(counts[False][i] / total[False][i // k]) for i in range(k * k)]
 
 
-def log_ratio(string: Column, model: list[float]) -> Column:
+def pair_ratios(string: Column, model: list[float]) -> Column:
+    """The log-likelihood ratio of each two neighbours."""
     k = len(ALPHABET) + 1
     at = F.transform(F.split(string, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     table = F.array(*[F.lit(x) for x in model])
-    pairs = F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda x, y: F.element_at(table, x * k + y + 1))
-    return F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x)
+    return F.zip_with(F.slice(at, 1, F.size(at) - 1), F.slice(at, 2, F.size(at) - 1), lambda x, y: F.element_at(table, x * k + y + 1))
+
+
+def log_ratio(string: Column, model: list[float]) -> Column:
+    return F.aggregate(pair_ratios(string, model), F.lit(0.0), lambda s, x: s + x)
+
+
+def stretches(string: Column, model: list[float], least_ratio: float) -> Column:
+    """Array of (from, to, score): the parts of a run that are random enough, widened to separators, none overlapping."""
+    least = F.lit(least_ratio) + F.log(F.greatest(F.length(string), F.lit(RUN)) / F.lit(float(RUN)))
+    none = F.array().cast(STRETCH)
+    state = lambda i, s, top, total, score, start, end, done: F.struct(
+        i.alias("i"), s.alias("s"), top.alias("top"), total.alias("total"), score.alias("score"), start.alias("from"), end.alias("to"), done.alias("done")
+    )
+    zero, nought = F.lit(0.0), F.lit(0)
+    stretch = lambda a: F.array(F.struct(a["from"].alias("from"), a["to"].alias("to"), a["score"].alias("score")))
+    ended = lambda a: F.when(a["top"] >= least, F.concat(a["done"], stretch(a))).otherwise(a["done"])
+
+    def step(a, x):
+        i, s, total = a["i"] + 1, F.least(a["s"] + x, least), a["total"] + x
+        start = F.when(a["s"] > 0, a["from"]).otherwise(a["i"])
+        # a sum that comes back to the cap is as high as it was
+        risen = state(i, s, s, total, total, start, i + 1, a["done"])
+        fallen = state(i, s, a["top"], total, a["score"], start, a["to"], a["done"])
+        return F.when(s <= 0, state(i, zero, zero, zero, zero, i, i, ended(a))).when(s >= a["top"], risen).otherwise(fallen)
+
+    found = F.aggregate(pair_ratios(string, model), state(nought, zero, zero, zero, zero, nought, nought, none), step, ended)
+    # a run that is as random as its stretches, but for a quarter, is one key
+    total = F.aggregate(found, zero, lambda t, x: t + x["score"])
+    whole = F.array(F.struct(nought.alias("from"), F.length(string).alias("to"), log_ratio(string, model).alias("score")))
+    found = F.when((F.size(found) > 0) & (log_ratio(string, model) >= 0.75 * total), whole).otherwise(found)
+    length = lambda part, pattern: F.length(F.regexp_extract(part, pattern, 0))
+    # at both ends, what the stretch has of the last segment, and what is left of it; a mere touch of a word is given back
+    head = lambda x: length(F.substring(string, x["from"] + 1, x["to"] - x["from"]), r"\A[^/_-]*")
+    tail = lambda x: length(F.substring(string, x["from"] + 1, x["to"] - x["from"]), r"[^/_-]*\z")
+    before = lambda x: length(F.substring(string, F.lit(1), x["from"]), r"[^/_-]*\z")
+    behind = lambda x: length(F.substring(string, x["to"] + 1, F.length(string)), r"\A[^/_-]*")
+    start = lambda x: F.when((head(x) <= TOUCH) & (before(x) > TOUCH), x["from"] + head(x) + 1).otherwise(x["from"] - before(x))
+    end = lambda x: F.when((tail(x) <= TOUCH) & (behind(x) > TOUCH), x["to"] - tail(x) - 1).otherwise(x["to"] + behind(x))
+    wide = F.transform(found, lambda x: F.struct(start(x).alias("from"), end(x).alias("to"), x["score"].alias("score")))
+
+    def joined(done, x):
+        last = F.element_at(done, -1)
+        both = F.struct(last["from"].alias("from"), F.greatest(last["to"], x["to"]).alias("to"), F.greatest(last["score"], x["score"]).alias("score"))
+        overlap = (F.size(done) > 0) & (F.get(done, F.size(done) - 1)["to"] > x["from"])
+        return F.when(overlap, F.concat(F.slice(done, 1, F.size(done) - 1), F.array(both))).otherwise(F.concat(done, F.array(x)))
+
+    return F.aggregate(wide, none, joined)
 
 
 def _found(df: DataFrame, text: str, kind: str, pattern: str, hint: str) -> DataFrame:
@@ -110,14 +167,14 @@ def _found(df: DataFrame, text: str, kind: str, pattern: str, hint: str) -> Data
     return df.withColumn("_s", F.when(F.size("_m") > 0, walk).otherwise(F.array().cast("array<bigint>"))).drop("_gap")
 
 
-def _spans(kind: str, keep, score=None) -> Column:
+def _spans(kind: str, keep) -> Column:
     rank = KINDS.index(kind)
     one = F.zip_with(
         "_s",
         "_m",
         lambda s, m: F.struct(
             s.alias("start"), (s + F.length(m)).cast("bigint").alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"),
-            (score(m) if score else F.lit(None).cast("double")).alias("score"), keep(m).alias("keep"),
+            F.lit(None).cast("double").alias("score"), keep(m).alias("keep"),
         ),
     )
     bare = lambda x: F.struct(*[x[c].alias(c) for c in ("start", "end", "rank", "kind", "score")])
@@ -133,10 +190,14 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "se
         long = lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n
         df = df.withColumn(f"_{kind}", _spans(kind, long)).drop("_m", "_s")
     df = df.withColumn("_base", F.concat(*[f"_{k}" for k in BASE])).drop(*[f"_{k}" for k in BASE])
-    df = _found(df, "_text", "markov", CANDIDATE, r"[A-Za-z0-9+/_-]{20}")
-    mixed = lambda m: m.rlike("[0-9]") & m.rlike("[A-Za-z]")
-    more = _spans("markov", mixed, lambda m: F.when(mixed(m), log_ratio(m, model)).otherwise(F.lit(None)))
-    free = lambda x: (x["score"] >= least_ratio) & ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
+    df = _found(df, "_text", "markov", CANDIDATE, r"[A-Za-z0-9+/_-]{12}")
+    mixed = lambda m: m.rlike(MIXED)
+    rank, kind = F.lit(KINDS.index("markov")).alias("rank"), F.lit("markov").alias("kind")
+    span = lambda s, x: F.struct((s + x["from"]).alias("start"), (s + x["to"]).alias("end"), rank, kind, x["score"].alias("score"))
+    part = lambda m, x: F.substring(m, x["from"] + 1, x["to"] - x["from"])
+    random = lambda m: F.when(mixed(m), F.filter(stretches(m, model, least_ratio), lambda x: mixed(part(m, x)))).otherwise(F.array().cast(STRETCH))
+    more = F.flatten(F.zip_with("_s", "_m", lambda s, m: F.transform(random(m), lambda x: span(s, x)))).cast(SPAN)
+    free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     df = df.withColumn("_more", F.when(F.size("_m") > 0, more).otherwise(F.array().cast(SPAN))).drop("_m", "_s")
     df = df.withColumn(out, F.array_sort(F.concat("_base", F.filter("_more", free))))
     return df.drop("_base", "_more", "_text")

@@ -331,3 +331,27 @@ def test_redaction(spark, docs_of):
     assert got == {1: f"é {secrets.MASK} end", 2: "clean", 3: None}
     named = docs_of([(1, "x")]).withColumnRenamed("lang", "secrets")
     assert secrets.scan(named, model).columns.count("secrets") == 1
+
+
+def test_keys_inside_paths_and_slugs(spark, docs_of):
+    model = secrets.train(secrets.labelled_samples(spark))
+    rng = random.Random(11)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    around = [("", ""), ("config/server/", ""), ("services/default/file/release/", "/table_index"), ("/user/content/module/package/import/default/config/option/", "-total-count")]
+    rows, keys, ordinary = [], [], []
+    for n in (16, 24, 40):
+        for before, behind in around:
+            for _ in range(25):
+                keys.append((n, k := key(n)))
+                rows.append(f"see {before}{k}{behind} here")
+    for _ in range(200):
+        ordinary.append("see " + "".join(rng.choice(secrets.PARTS) + rng.choice("/_-") for _ in range(rng.randint(2, 20))) + str(rng.randint(1, 99)))
+        ordinary.append(f"see {rng.choice(secrets.PARTS)}-{rng.randint(1990, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}-{rng.choice(secrets.PARTS)}")
+    found = {r.doc_id: r.secrets for r in secrets.scan(docs_of(list(enumerate(rows + ordinary))), model).collect()}
+    caught = Counter(n for i, (n, k) in enumerate(keys) if any(x.start <= rows[i].index(k) and x.end >= rows[i].index(k) + n for x in found[i]))
+    assert caught[16] >= 80 and caught[24] >= 94 and caught[40] >= 98
+    assert sum(bool(found[i]) for i in range(len(rows), len(rows) + len(ordinary))) <= 2
+    # two keys with ordinary words between are two spans, and the words stay
+    k, m = "Xq7Zp2Rk9Lw4Tb8Nv3Js6Hd1", "b8Gk2Wz7Qx4Rj9Mv1Tn6Yp3L"
+    docs = docs_of([(1, f"content/{k}/config/server/default/{m}/package")])
+    assert secrets.redact(docs, model).first().text == f"content/{secrets.MASK}/config/server/default/{secrets.MASK}/package"
