@@ -9,7 +9,7 @@ entries whatever the corpus.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get their own row; an empty table
 gives an empty table; columns other than the text are carried along (one named as the output column is replaced).
-Positions are code points, the end exclusive.
+Positions are code points, the end exclusive. Markov spans are found in what base spans leave of a text.
 """
 
 from __future__ import annotations
@@ -190,6 +190,8 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "se
         long = lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n
         df = df.withColumn(f"_{kind}", _spans(kind, long)).drop("_m", "_s")
     df = df.withColumn("_base", F.concat(*[f"_{k}" for k in BASE])).drop(*[f"_{k}" for k in BASE])
+    # base spans are blanked, so that what a run has on either side of one is a run of its own at the same place
+    df = df.withColumn("_text", F.when(F.size("_base") > 0, blanked(F.col("_text"), F.array_sort("_base"))).otherwise(F.col("_text")))
     df = _found(df, "_text", "markov", CANDIDATE, r"[A-Za-z0-9+/_-]{12}")
     mixed = lambda m: m.rlike(MIXED)
     rank, kind = F.lit(KINDS.index("markov")).alias("rank"), F.lit("markov").alias("kind")
@@ -197,14 +199,13 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "se
     part = lambda m, x: F.substring(m, x["from"] + 1, x["to"] - x["from"])
     random = lambda m: F.when(mixed(m), F.filter(stretches(m, model, least_ratio), lambda x: mixed(part(m, x)))).otherwise(F.array().cast(STRETCH))
     more = F.flatten(F.zip_with("_s", "_m", lambda s, m: F.transform(random(m), lambda x: span(s, x)))).cast(SPAN)
-    free = lambda x: ~F.exists("_base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     df = df.withColumn("_more", F.when(F.size("_m") > 0, more).otherwise(F.array().cast(SPAN))).drop("_m", "_s")
-    df = df.withColumn(out, F.array_sort(F.concat("_base", F.filter("_more", free))))
+    df = df.withColumn(out, F.array_sort(F.concat("_base", "_more")))
     return df.drop("_base", "_more", "_text")
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each stretch of overlapping spans replaced by MASK."""
+def _replaced(text: Column, spans: Column, put) -> Column:
+    """The text with the part of each span, from the last one's end on, replaced by put(start, end, whether it begins there)."""
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("done"))
     cut = lambda s, x: F.substring(text, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
     return F.aggregate(
@@ -212,12 +213,22 @@ def masked(text: Column, spans: Column) -> Column:
         start,
         lambda s, x: F.struct(
             F.greatest(s["at"], x["end"]).alias("at"),
-            F.when(x["start"] < s["at"], s["done"]).otherwise(F.concat(s["done"], cut(s, x), F.lit(MASK))).alias("done"),
+            F.concat(s["done"], cut(s, x), put(F.greatest(s["at"], x["start"]), F.greatest(s["at"], x["end"]), x["start"] >= s["at"])).alias("done"),
         ),
         lambda s: F.concat(s["done"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
     )
 
 
+def masked(text: Column, spans: Column) -> Column:
+    """The text with each stretch of overlapping spans replaced by MASK."""
+    return _replaced(text, spans, lambda start, end, begins: F.when(begins, F.lit(MASK)).otherwise(F.lit("")))
+
+
+def blanked(text: Column, spans: Column) -> Column:
+    """The text, as long as before, with spaces in place of the spans."""
+    return _replaced(text, spans, lambda start, end, begins: F.repeat(F.lit(" "), (end - start).cast("int")))
+
+
 def redact(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """The same rows and columns with every span of the text masked; a null text stays null."""
     found = scan(docs, model, text, "_secrets")
