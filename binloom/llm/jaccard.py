@@ -12,11 +12,16 @@ more share a shingle among the first n - ceil(t n) + 1 of each (the prefix).
    that this number and the rest of the sets allow drops most.
 4. Group pairs are expanded to class pairs and verified on the whole sets. Links of 2 and 4 give the components.
 
-Links inside a component are skipped, none between components is. A link needs no cap: list, group and component sizes
-only decide what step 3 has left to do.
+Links inside a component are skipped up to here, none between components is. A link needs no cap: list, group and
+component sizes only decide what step 3 has left to do.
+
+5. Where links are counted, every pair of classes inside a component is compared on the whole sets. Members of a large
+   component are dealt into parts, and each two parts are one block of a sparse product, which gives a number of links
+   for each class, weighted by the documents of the other; the pairs themselves are never rows.
 
 Defined results: a null text counts as empty; a set without shingles links with nothing. Rows with the same doc_id are one
-document, which links when any of its texts does; rows with a null doc_id link with nothing and have no component.
+document, which links when any of its texts does, and counts once; rows with a null doc_id link with nothing and have
+no component. A document's n_links leaves out itself and counts its exact copies.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_settled, read, settle, tidied
+from .common import components, drop_settled, partitions, read, settle, tidied
 
 #: Frequent shingles that are placed by frequency; the order of the others is as good for exactness.
 FREQUENT = 200_000
@@ -40,6 +45,8 @@ SHORT = 8
 ALIKE, TURNS = 4, 3
 #: Groups from which on a component is large, members in an array, parts of those that meet it.
 LARGE, MEMBERS, SALTS = 24, 2048, 8
+#: Classes and shingles of a part of a component, when links are counted; shingles of more sets than RARE are multiplied as dense columns.
+PART, PART_SHINGLES, RARE, COLUMNS = 1024, 1_000_000, 16, 4096
 HASH = np.uint64(2**62 - 1)
 
 
@@ -251,8 +258,126 @@ def _met(mixed: DataFrame, percent: int) -> DataFrame:
     return small.union(met)
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """One row for each row of docs: key, n_shingles, component_id (the smallest key that links reach, itself included)."""
+def _class_sets(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordHashes()
+        for batch in batches:
+            ids = batch.column(0)
+            for i in range(0, batch.num_rows, 500):
+                sets = [shingles(t, known, width) for t in batch.column(1).slice(i, 500).to_pylist()]
+                sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+                yield pa.RecordBatch.from_arrays([ids[i : i + 500], pa.array(sig, pa.binary()), _lists(sets)], ["id", "sig", "set"])
+
+    return run
+
+
+def near_matrix(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
+    """Which of the first split sets are near which of the others; of all sets to all, but for themselves, if split is 0."""
+    size = np.array([len(s) for s in sets], np.int64)
+    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(at, kind="stable")
+    at, row = at[order], row[order]
+    left = split or len(sets)
+    shared = np.zeros((left, len(sets) - split), np.float32)
+    few = (count > 1) & (count <= RARE)
+    x, y = at[few[at]], row[few[at]]
+    for d in range(1, RARE):
+        # rows of a shingle ascend
+        same = x[d:] == x[:-d]
+        a, b = y[:-d][same], y[d:][same]
+        if split:
+            across = (a < split) & (b >= split)
+            np.add.at(shared, (a[across], b[across] - split), 1)
+        else:
+            np.add.at(shared, (a, b), 1)
+            np.add.at(shared, (b, a), 1)
+    many = count > RARE
+    x, y = (np.cumsum(many) - 1)[at[many[at]]], row[many[at]]
+    for lo in range(0, int(many.sum()), COLUMNS):
+        i, j = np.searchsorted(x, [lo, lo + COLUMNS])
+        dense = np.zeros((len(sets), min(COLUMNS, int(many.sum()) - lo)), np.float32)
+        dense[y[i:j], x[i:j] - lo] = 1
+        shared += dense[:left] @ dense[split:].T
+    shared = shared.astype(np.int64)
+    near = (shared > 0) & (100 * shared >= percent * (size[:left, None] + size[None, split:] - shared))
+    if not split:
+        np.fill_diagonal(near, False)
+    return near
+
+
+def _counted(percent: int):
+    """Links of each class in a block (sig, null, documents), and those from or to documents of several texts (sig, other, null)."""
+
+    def run(key, members):
+        import pandas as pd
+
+        members = members.drop_duplicates("sig").sort_values(["component", "part"], kind="stable")
+        sig, part, w, m = (members[c].to_numpy() for c in ("sig", "part", "w", "m"))
+        sets, comp = members["set"].to_list(), members["component"].to_numpy()
+        starts = [*np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]]), len(comp)]
+        out = []
+        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
+            split = int((part[lo:hi] == key[1]).sum()) if key[1] != key[2] else 0
+            if hi - lo < 2 or (key[1] != key[2] and split in (0, hi - lo)):
+                continue
+            near = near_matrix(sets[lo:hi], split, percent)
+            left, right = slice(lo, lo + split if split else hi), slice(lo + split, hi)
+            sides = [(left, right, near), (right, left, near.T)] if split else [(left, right, near)]
+            for x, y, hit in sides:
+                out += [(s, None, int(n)) for s, n in zip(sig[x], hit @ w[y], strict=True) if n]
+                told = hit & ((m[x] > 0)[:, None] | (m[y] > 0)[None, :])
+                out += [(sig[x][i], sig[y][j], None) for i, j in zip(*np.nonzero(told), strict=True)]
+        return pd.DataFrame({"sig": [r[0] for r in out], "other": [r[1] for r in out], "w": pd.array([r[2] for r in out], "Int64")})
+
+    return run
+
+
+def link_counts(docs: DataFrame, named: DataFrame, of: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(sig, n_links) of the documents with one text, and (id, n_links) of those with several, if there are any.
+
+    named has the sketches of documents with shingles, of the component of each sig.
+    """
+    spark = docs.sparkSession
+    held = named.select("id", "sig", "n").distinct().withColumn("texts", F.count("*").over(Window.partitionBy("id")))
+    held = settle(held, "held")
+    kinds = held.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count_if(F.col("texts") == 1).alias("w"), F.count_if(F.col("texts") > 1).alias("m"))
+    kinds = settle(kinds.join(of, "sig"), "kinds")
+    sizes = kinds.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where("k > 1")
+    sizes = sizes.select("component", F.greatest(F.ceil(F.col("k") / PART), F.ceil(F.col("s") / PART_SHINGLES)).cast("int").alias("parts"))
+    members = settle(kinds.join(settle(sizes, "sizes"), "component"), "members")
+    small = members.where("parts = 1").agg(F.sum("n")).first()[0] or 0
+    bins = max(partitions(spark), -(-small // PART_SHINGLES))
+    texts = docs.join(members.select("id").distinct(), "id", "left_semi").select("id", "text")
+    sets = texts.mapInArrow(tidied(_class_sets(width)), "id bigint, sig binary, set array<bigint>").join(members.drop("n"), ["id", "sig"])
+    # small components are dealt into bins; of large ones each two parts meet
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).otherwise(-1)
+    meets = F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1)))
+    block = F.when(F.col("parts") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins)))
+    dealt = sets.select("sig", "set", "component", "w", "m", block.alias("block"), part.alias("part"), F.explode(meets).alias("q"))
+    dealt = dealt.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("q")
+    found = settle(dealt.groupBy("block", "i", "j").applyInPandas(_counted(percent), "sig binary, other binary, w bigint"), "counts")
+
+    near = found.where("other is null").groupBy("sig").agg(F.sum("w").alias("near"))
+    one = kinds.join(near, "sig", "left").select("sig", (F.col("w") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    several = held.where("texts > 1").select("id", "sig")
+    if several.isEmpty():
+        return one, None
+    met = found.where("other is not null").select("sig", "other").union(several.select("sig", F.col("sig").alias("other"))).distinct()
+    theirs = several.select(F.col("id").alias("who"), F.col("sig").alias("other"))
+    extra = met.join(theirs, "other").groupBy("sig").agg(F.countDistinct("who").alias("extra"))
+    one = one.join(extra, "sig", "left").select("sig", (F.col("n_links") + F.coalesce("extra", F.lit(0))).alias("n_links"))
+    reach = settle(several.join(met, "sig").select("id", "other").distinct(), "reach")
+    alone = reach.join(kinds.select(F.col("sig").alias("other"), "w"), "other").groupBy("id").agg(F.sum("w").alias("alone"))
+    mixed = reach.join(theirs, "other").groupBy("id").agg((F.countDistinct("who") - 1).alias("mixed"))
+    return one, alone.join(mixed, "id").select("id", (F.col("alone") + F.col("mixed")).alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, with_links: bool = False) -> DataFrame:
+    """One row for each row of docs: key, n_shingles, component_id (the smallest key that links reach, itself included).
+
+    With with_links also n_links, the number of other documents that the document is near to.
+    """
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     counted = docs.select("text").mapInArrow(tidied(_frequent(width)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     frequent = np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.uint64)
@@ -318,13 +443,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     last = settle(components(links.union(more)), "components")
 
     of = classes.join(last, classes["id"] == last["node"], "left").select("sig", F.coalesce("component", "id").alias("component"))
-    out = sketches.select("id", "n", "sig").join(of.groupBy("sig").agg(F.min("component").alias("component")), "sig", "left")
+    of = of.groupBy("sig").agg(F.min("component").alias("component"))
     found = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id"))
+    columns = [F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id")]
+    rows = sketches.select("id", "n", "sig")
+    if not with_links:
+        return rows.join(of, "sig", "left").select(*columns)
+    of = settle(of, "of")
+    one, several = link_counts(docs, named, of, width, percent)
+    rows = rows.join(of.join(one, "sig"), "sig", "left")
+    number = F.col("n_links")
+    if several is not None:
+        rows = rows.join(several.withColumnRenamed("n_links", "n_several"), "id", "left")
+        number = F.coalesce("n_several", number)
+    return rows.select(*columns, F.when(F.col("id").isNotNull() & (F.col("n") > 0), number).otherwise(F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read(spark, sf_dir, "documents"))
+    return near_duplicates(read(spark, sf_dir, "documents"), with_links=True)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

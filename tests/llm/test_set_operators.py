@@ -100,6 +100,29 @@ def test_near_copies_in_a_large_group(spark, sf_dir, monkeypatch):
     assert got == brute_force(rows)
 
 
+def numbers_of_links(rows):
+    sets = defaultdict(list)
+    for i, t in rows:
+        if i is not None:
+            sets[i].append(sets_of(t))
+    near = lambda x, y: x and y and 100 * len(x & y) >= 75 * len(x | y)
+    return {a: sum(a != b and any(near(x, y) for x in sets[a] for y in sets[b]) for b in sets) for a in sets}
+
+
+@pytest.mark.parametrize("part", [1024, 7])
+def test_op8_counts_links_inside_components(spark, sf_dir, monkeypatch, part):
+    monkeypatch.setattr(jaccard, "PART", part)
+    rng = random.Random(12)
+    base, other = text_of(rng, 100), text_of(rng, 50)
+    texts = [edited(rng, base, rng.randint(0, 5)) for _ in range(60)] + [base] * 4 + [edited(rng, other, k % 3) for k in range(12)] + ["", None, "a b", "A b"]
+    rows = list(enumerate(texts))
+    # documents of several texts, exact repeats of a row, and rows without an id
+    rows += [(3, other), (70, base), (200, texts[5]), (200, texts[9]), (201, texts[5]), (201, other), rows[8], rows[8], (None, base)]
+    got = jaccard.op8_jaccard_join(spark, sf_dir(rows)).collect()
+    assert len(got) == len(rows)
+    assert {(r.doc_id, r.n_links) for r in got} == set(numbers_of_links(rows).items()) | {(None, 0)}
+
+
 def test_op8_empty_and_one_of_each(spark, sf_dir, docs_of):
     assert jaccard.op8_jaccard_join(spark, sf_dir([])).count() == 0
     rng = random.Random(4)
