@@ -206,19 +206,16 @@ def _against_large(percent: int):
         none = pd.DataFrame({x: pd.Series(dtype="int64") for x in "abc"})
         if not len(members) or not len(others):
             return none
-        ids = np.unique(np.concatenate(members["ids"].to_list()))
-        size = np.zeros(len(ids), np.int64)
-        lists = {}
-        for k, i, n in zip(members["key"], members["ids"], members["ns"], strict=True):
-            at = np.searchsorted(ids, i)
-            size[at] = n
-            lists[k] = at
-        out, others = [], others.sort_values("id", kind="stable")
-        for z, rows in others.groupby("id", sort=False):
+        # an id of several texts stands once for each size
+        both = np.stack([np.concatenate(members[c].to_list()) for c in ("ids", "ns")], 1)
+        unique, at = np.unique(both, axis=0, return_inverse=True)
+        ids, size = unique[:, 0], unique[:, 1]
+        lists = dict(zip(members["key"], np.split(at.reshape(-1), np.cumsum([len(i) for i in members["ids"]])[:-1]), strict=True))
+        out, others = [], others.sort_values(["id", "n"], kind="stable")
+        for (z, n), rows in others.groupby(["id", "n"], sort=False):
             c = np.zeros(len(ids), np.int64)
             for k in rows["key"]:
                 c[lists[k]] += 1
-            n = int(rows["n"].iloc[0])
             least, most = np.minimum(size, n), np.maximum(size, n)
             hit = np.flatnonzero((c > 0) & (100 * least >= percent * most) & _enough(c, size, np.full(len(ids), n), percent))
             if len(hit):
@@ -229,18 +226,20 @@ def _against_large(percent: int):
 
 
 def _met(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in the lists (key, id, n, comp), with c, their common lists, where c is enough.
+    """Pairs (a, b) of different components in the lists (key, id, n, alone, comp), with c, their common lists, where c is enough.
+
+    What is alone is in no component; its comp isn't looked at. Ids of several texts are told apart by the size n.
 
     Small components are paired by a join. Of large ones the members stand as arrays, at most about MEMBERS of them, so
     that a document which shares many lists with a large component costs a row a list, not one for each member.
     """
-    sizes = mixed.groupBy("comp").agg(F.approx_count_distinct("id").alias("size")).where(F.col("size") >= LARGE)
+    sizes = mixed.where("not alone").groupBy("comp").agg(F.approx_count_distinct("id").alias("size")).where(F.col("size") >= LARGE)
     sizes = settle(sizes.select(F.col("comp").alias("large"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("parts")), "large")
-    rows = mixed.join(sizes, F.col("comp") == F.col("large"), "left")
+    rows = mixed.join(sizes, ~F.col("alone") & (F.col("comp") == F.col("large")), "left")
     x, y = rows.where("large is null").alias("x"), rows.where("large is null").alias("y")
     sized = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
-    small = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {sized} and x.comp != y.comp"))
-    small = small.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg(F.count("*").alias("c"), F.first("x.n").alias("m"), F.first("y.n").alias("k"))
+    small = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {sized} and (x.alone or y.alone or x.comp != y.comp)"))
+    small = small.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("k")).agg(F.count("*").alias("c"))
     small = small.where(_enough(F.col("c"), F.col("m"), F.col("k"), percent)).select("a", "b", "c")
 
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
@@ -248,8 +247,8 @@ def _met(mixed: DataFrame, percent: int) -> DataFrame:
     lists = lists.groupBy("large", "part", "key").agg(F.collect_list("id").alias("ids"), F.collect_list("n").alias("ns"))
     lists = settle(lists, "members")
     places = lists.select("large", "part", F.col("key").alias("of"))
-    others = rows.select("key", "id", F.col("n").cast("bigint").alias("n"), "comp", F.col("large").alias("own"))
-    others = others.join(places, F.col("key") == F.col("of")).where("comp != large and (own is null or own > large)")
+    others = rows.select("key", "id", F.col("n").cast("bigint").alias("n"), "alone", "comp", F.col("large").alias("own"))
+    others = others.join(places, F.col("key") == F.col("of")).where("(alone or comp != large) and (own is null or own > large)")
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
     others = others.select(F.col("large").alias("l"), F.col("part").alias("p"), salt.alias("s"), "key", "id", "n")
     spread = lists.join(settle(others.select("l", "p", "s").distinct(), "asked"), (F.col("large") == F.col("l")) & (F.col("part") == F.col("p")))
@@ -420,7 +419,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     by_key = Window.partitionBy("key")
     mixed = listed.withColumn("l", F.min("lo").over(by_key)).withColumn("h", F.max("hi").over(by_key)).where("l != h")
     # a group with classes of several components stands alone
-    mixed = mixed.select("key", "id", "n", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(-1 - F.col("id")).alias("comp"))
+    mixed = mixed.select("key", "id", "n", (F.col("lo") != F.col("hi")).alias("alone"), F.col("lo").alias("comp"))
     mixed = settle(mixed, "mixed")
     met = _met(mixed, percent)
     ends = named.select("id", "n", "pfx", F.element_at("prefix", -1).alias("end"), F.size("prefix").alias("p")).join(groups, ["id", "pfx"], "left_semi")

@@ -123,6 +123,26 @@ def test_op8_counts_links_inside_components(spark, sf_dir, monkeypatch, part):
     assert {(r.doc_id, r.n_links) for r in got} == set(numbers_of_links(rows).items()) | {(None, 0)}
 
 
+def test_op8_groups_of_several_components_and_negative_ids(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    monkeypatch.setattr(jaccard, "FREQUENT", 0)
+    rng, known = random.Random(13), jaccard.WordHashes()
+    head = [f"h{k}" for k in range(16)]
+    prefix = lambda t: tuple(jaccard.shingles(t, known)[: jaccard.prefix_length(24, 75)])
+    lowest, alike = prefix(" ".join(head)), []
+    while len(alike) < 2:
+        t = " ".join(head + [f"t{rng.randrange(10**9)}" for _ in range(12)])
+        if prefix(t)[:7] == lowest[:7] and len(jaccard.shingles(t, known)) == 24:
+            alike.append(t)
+    near = alike[0].rsplit(" ", 1)[0] + " other"
+    while prefix(near) == prefix(alike[0]):
+        near = "z " + near
+    # a group of two components had the number -1 - 5, which is a component as well
+    rows = [(5, alike[0]), (7, alike[1]), (-6, near)]
+    got = {r.doc_id: r.component_id for r in jaccard.op8_jaccard_join(spark, sf_dir(rows)).collect()}
+    assert got == brute_force(rows) == {5: -6, 7: 7, -6: -6}
+
+
 def test_op8_empty_and_one_of_each(spark, sf_dir, docs_of):
     assert jaccard.op8_jaccard_join(spark, sf_dir([])).count() == 0
     rng = random.Random(4)
