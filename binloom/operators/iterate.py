@@ -90,10 +90,16 @@ def linear(h: Histograms, step: int) -> DataFrame:
     return _at_levels(h, levels)
 
 
+#: Levels of a logarithmic walk: as literals of the plan up to FEW_LEVELS, as a table beyond, an error beyond MOST_LEVELS.
+FEW_LEVELS, MOST_LEVELS = 100_000, 5_000_000
+
+
 def logarithmic_levels(start: int, base: float, top: int) -> list[int]:
     """start - 1, then each start * base^k, cut to a whole number, less 1, until top is reached."""
     out, reach = [start - 1], float(start)
-    while out[-1] < top and len(out) < 100_000:
+    while out[-1] < top:
+        if len(out) >= MOST_LEVELS:
+            raise ValueError(f"base {base} needs more than {MOST_LEVELS} levels")
         reach *= base
         out.append(min(int(reach), 2**63) - 1)
     return out
@@ -107,6 +113,13 @@ def logarithmic(h: Histograms, start: int, base: float) -> DataFrame:
     top = min(g.highest(g.value_of(g.last)), 2**63 - 1)
     levels = logarithmic_levels(start, base, top)
     at = [g.index_or_last(x) for x in levels]
+    if len(levels) > FEW_LEVELS:
+        import pandas as pd
+
+        table = pd.DataFrame({"_k": range(len(levels)), "_level": levels, "_at": at, "before": [-1, *at[:-1]]})
+        table = h.bins.sparkSession.createDataFrame(table, "_k bigint, _level bigint, _at int, before int")
+        out = _ends(h).join(F.broadcast(table), F.col("before") < F.col("_top")).select(*h.keys, "_k", "_level", "_at")
+        return _at_levels(h, out)
     rows = [F.struct(F.lit(k).cast("bigint").alias("_k"), F.lit(x).cast("bigint").alias("_level"), F.lit(i).alias("_at"), F.lit(at[k - 1] if k else -1).alias("before")) for k, (x, i) in enumerate(zip(levels, at, strict=True))]
     out = _ends(h).select(*h.keys, "_top", F.explode(F.array(*rows)).alias("_r")).where("_r.before < _top").select(*h.keys, "_r._k", "_r._level", "_r._at")
     return _at_levels(h, out)

@@ -223,3 +223,12 @@ def test_strict_quantiles_stop_at_a_descent(spark):
     for bad in (lambda: I.linear(h, 0), lambda: I.logarithmic(h, 1, 1.0), lambda: I.quantile_steps(h, 0)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_logarithmic_walk_with_a_base_near_one(spark):
+    assert I.logarithmic_levels(1, 1.0001, 2**62)[-1] >= 2**62
+    h = H.record(spark.createDataFrame([(3,), (2**61,)], "v bigint"), "v", Geometry(low=1, high=2**62, sigfig=1))
+    rows = I.logarithmic(h, 1, 1.0002)
+    assert rows.agg({"count_since_last": "sum"}).first()[0] == 2
+    with pytest.raises(ValueError):
+        I.logarithmic_levels(1, 1 + 1e-12, 2**62)
