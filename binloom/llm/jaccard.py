@@ -462,9 +462,25 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), with_links=True)
 
 
+def _rows_of_each(docs: DataFrame) -> DataFrame:
+    """Rows but for near copies, each row by itself: of each component the row with the smallest doc_id and text hash."""
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    rows = settle(rows, "rows")
+    gone = near_duplicates(rows, key="_row").where("_row != component_id").select(F.col("_row").alias("_gone"))
+    return rows.join(gone, rows["_row"] == F.col("_gone"), "left_anti").drop("_row")
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents but for near copies: of each component the one with the smallest doc_id, once."""
-    found = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(found, docs["doc_id"] == F.col("_gone"), "left_anti")
-    once = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.where("doc_id is not null").withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n").union(kept.where("doc_id is null"))
+    """The documents but for near copies: of each component the one with the smallest doc_id, once.
+
+    Where a doc_id has several texts, each is judged by itself. Rows without a doc_id are compared with each other only.
+    """
+    known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
+    if known.groupBy("doc_id").agg(F.countDistinct(F.xxhash64("text")).alias("n")).where("n > 1").isEmpty():
+        found = near_duplicates(known).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+        kept = known.join(found, known["doc_id"] == F.col("_gone"), "left_anti")
+    else:
+        kept = _rows_of_each(known)
+    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+    kept = kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+    return kept if unknown.isEmpty() else kept.union(_rows_of_each(unknown))

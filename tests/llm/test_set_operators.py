@@ -151,6 +151,14 @@ def test_op8_empty_and_one_of_each(spark, sf_dir, docs_of):
     assert sorted(r.doc_id or -1 for r in jaccard.one_of_each(docs).collect()) == [-1, 2, 7, 8, 9]
 
 
+def test_one_of_each_with_repeated_and_null_ids(spark, docs_of):
+    rng = random.Random(14)
+    a, b, c = (text_of(rng, 40) for _ in range(3))
+    docs = docs_of([(2, a), (5, a), (5, b), (6, c), (6, c), (7, None), (7, None), (None, a), (None, a), (None, c)])
+    kept = sorted((r.doc_id or -1, r.text or "") for r in jaccard.one_of_each(docs).collect())
+    assert kept == sorted([(2, a), (5, b), (6, c), (7, ""), (-1, a), (-1, c)])
+
+
 # -- mixing --
 
 
