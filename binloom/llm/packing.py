@@ -5,8 +5,9 @@ histogram of at most `limit` entries, so small at any size) is covered by config
 one sequence. The linear program (fewest sequences that cover the histogram) is solved by multiplicative weights: a
 knapsack over all capacities prices configurations by the current weights, good ones are used, and the weights of what
 they cover fall. Its solution is scaled back to the histogram, rounded down, then topped up while configurations still
-fit; pieces that remain are placed best-fit, longest first, length by length. Each piece finds its place by its rank
-among the pieces of its length; ranks come from counts per salted part, so no length needs to be in one task.
+fit; pieces that remain are placed best-fit, longest first, length by length. The program's dual gives a bound that no
+packing can beat. Each piece finds its place by its rank among the pieces of its length; ranks come from counts per part of
+a length, as many parts as its pieces need, so no length needs to be in one task.
 
 Defined results: a null text counts as empty, a document of the end token alone; repeated rows are packed each; an empty
 table gives an empty table.
@@ -14,127 +15,173 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import json
 import re
-import sys
-import types
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, settle, tidied
+from .common import fresh, read, settle, tidied
 
 LIMIT = 4096
 END = 1
-SALTS = 64
+#: Pieces of one length that are ranked in one task.
+RANKED = 4096
 ROUNDS = 45
-#: Words whose ids an executor's Python process keeps.
-KEPT_WORDS = 800_000
-PUNCTUATION = frozenset(rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~""")
-TAILED = re.compile(rb"(.*[a-z0-9])([!-/:-@\[-`{-~]+)", re.DOTALL).fullmatch
+#: Bytes of text that are tokenized at once, bytes of ids that go out at once, and words whose ids a task keeps (about 40 MB).
+CHUNK, OUT, KEPT_WORDS = 8_000_000, 32_000_000, 200_000
+#: Punctuation at the end of a word, after a letter or digit; it is a token of its own. (U+0130 ends in a mark in lower case.)
+TAILED = re.compile(r"(.*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([!-/:-@\[-`{-~]+)", re.DOTALL).fullmatch
+#: From here on characters may compose with the letter before them, in another way if that is lower-cased first.
+COMPOSING = r"[^\x{0}-\x{2ff}]"
 
 
-def _kept(name: str, make: Callable):
-    """What a Python process keeps from task to task."""
-    at = sys.modules.setdefault("_binloom_kept", types.ModuleType("_binloom_kept"))
-    if not hasattr(at, name):
-        setattr(at, name, make())
-    return getattr(at, name)
+def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The runs flat[start : start + size], one after another."""
+    before = np.cumsum(size) - size
+    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
 
 
-class WordIds:
-    """Ids, little-endian 32 bits each, of words between ASCII white space, for a tokenizer that lower-cases and drops white space.
+def word_by_word(tokenizer: dict) -> bool:
+    """Whether a text's ids are its words' ids in turn, whatever case ASCII letters have, by the tokenizer's own file.
 
-    No token and no rule of such a tokenizer reaches over white space, so a text's ids are its words' ids in turn.
+    So it is if the text is composed and lower-cased, and split into runs without white space that end in </w>.
     """
+    parts = lambda x: x.get("normalizers") or x.get("pretokenizers") or [x]
+    changes = [x["type"] for x in parts(tokenizer.get("normalizer") or {"type": ""})]
+    first = parts(tokenizer.get("pre_tokenizer") or {"type": ""})[0]
+    runs = first["type"] == "Split" and first.get("invert") and first.get("behavior") == "Removed" and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in (first.get("pattern") or {}).get("Regex", "")
+    return changes == ["NFC", "Replace", "Lowercase"] and bool(runs) and tokenizer["model"].get("end_of_word_suffix") == "</w>"
+
+
+class Words:
+    """Ids of texts from the ids of their words, for tokenizers that word_by_word holds for. Words are looked up once a chunk."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.known: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
-        self.tails: dict[bytes, bytes] = {}
+        with open(path, encoding="utf-8") as f:
+            self.apart = word_by_word(json.load(f))
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-
-    def encode(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """Add the words that aren't known. Of those known for long, the ones that still occur stay."""
-        known = self.known
-        # difference() looks the words up: the operator would run through all that is known
-        new = words.difference(known)
-        if len(known) + len(new) > KEPT_WORDS // 2:
-            self.old, self.known = known, {}
-            known, new = self.known, words
-        old = self.old
-        known.update((w, old[w]) for w in new if w in old)
-        # ASCII punctuation at the end, after an ASCII letter or digit, is a token of its own
-        tailed, stems = [], set()
-        for w in new.difference(known):
-            if w[-1] in PUNCTUATION and (m := TAILED(w)):
-                tailed.append((w, *m.groups()))
-                stems.add(m[1])
-            else:
-                stems.add(w)
-        raw = [*stems.difference(known)]
-        text = b"\n".join(raw).decode().split("\n") if raw else []
-        plain = [i for i, s in enumerate(text) if s.isalpha()]
-        other = [i for i, s in enumerate(text) if not s.isalpha()]
-        for k in range(0, len(plain), 1000):
-            part = plain[k : k + 1000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([text[i] for i in part])], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(self.ends[ids]) + 1
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {"": 0}
+        self.flat, self.start, self.size = np.empty(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def learn(self, words: list[str]) -> None:
+        """Add words that aren't known."""
+        # letters only: many words at once, told apart by the tokens that end one
+        letters, other, kept, ids, sizes = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()], [], [], []
+        for k in range(0, len(letters), 1000):
+            part = letters[k : k + 1000]
+            found = np.array(self.encode([" ".join(part)])[0], np.uint32)
+            cuts = np.flatnonzero(self.ends[found]) + 1
             if len(cuts) != len(part):  # a letter that isn't one to the tokenizer
                 other += part
                 continue
-            at, data = 0, ids.tobytes()
-            for i, cut in zip(part, (cuts * 4).tolist(), strict=True):
-                known[raw[i]] = data[at:cut]
-                at = cut
-        known.update(zip([raw[i] for i in other], self.encode([text[i] for i in other]), strict=True))
-        for w, stem, tail in tailed:
-            if tail not in self.tails:
-                self.tails[tail] = self.encode([tail.decode()])[0]
-            known[w] = known[stem] + self.tails[tail]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        words = [(t or "").encode("utf-8", "replace").lower().split() for t in texts]
-        self.learn(set().union(*words))
-        return [b"".join(map(self.known.__getitem__, w)) for w in words]
+            kept += part
+            ids.append(found)
+            sizes.append(np.diff(cuts, prepend=0))
+        for k in range(0, len(other), 10_000):
+            part = other[k : k + 10_000]
+            found = self.encode(part)
+            kept += part
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32))
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+        if kept:
+            size = np.concatenate(sizes)
+            self.known.update(zip(kept, range(len(self.size), len(self.size) + len(kept)), strict=True))
+            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
+            self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, *ids])
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in turn, end after each, and the number of each text's."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        last = np.array([end], np.uint32)
+        if not self.apart:
+            found = [[*x, end] for x in self.encode(texts.to_pylist())]
+            return np.fromiter((i for x in found for i in x), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+        words = pc.ascii_split_whitespace(texts)
+        many = np.diff(words.offsets.to_numpy())
+        coded = words.flatten().dictionary_encode()
+        plain = pc.if_else(pc.match_substring_regex(coded.dictionary, COMPOSING), coded.dictionary, pc.ascii_lower(coded.dictionary)).dictionary_encode()
+        stems, tails = [], []
+        for w in plain.dictionary.to_pylist():
+            found = None if w.isalpha() else TAILED(w)
+            stems.append(found[1] if found else w)
+            tails.append(found[2] if found else "")
+        if len(self.known) > KEPT_WORDS:
+            self.forget()
+        self.learn([*{*stems, *tails}.difference(self.known)])
+        both = np.empty(2 * len(stems), np.int64)
+        both[::2] = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
+        both[1::2] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(tails))
+        # each distinct word's ids, and the end's, one after another
+        flat = np.concatenate([gathered(self.flat, self.start[both], self.size[both]), last])
+        size = np.append(self.size[both[::2]] + self.size[both[1::2]], 1)
+        start = np.cumsum(size) - size
+        at = plain.indices.to_numpy()[coded.indices.to_numpy()]
+        ends = np.cumsum(many)
+        at = np.insert(at, ends, len(size) - 1)
+        each = size[at]
+        total = np.concatenate([[0], np.cumsum(each)])
+        return gathered(flat, start[at], each), np.diff(total[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])])
+
+
+def _kept_tokenizer(path: str) -> Words:
+    """A process's tokenizer, which doesn't change; what a task has learned goes with the task."""
+    import sys
+    import types
+
+    at = sys.modules.setdefault("_binloom_tokenizers", types.ModuleType("_binloom_tokenizers"))
+    if path not in at.__dict__:
+        setattr(at, path, Words(path))
+    return at.__dict__[path]
 
 
 def _cut(path: str, limit: int, end: int):
-    last = np.array([end], "<u4").tobytes()
+    def cut(words: Words, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        ids, n = words.ids(texts, end)
+        parts = -(-n // limit)
+        row = np.repeat(np.arange(len(n)), parts)
+        piece = np.arange(len(row)) - np.repeat(np.cumsum(parts) - parts, parts)
+        start = piece * limit
+        length = np.minimum(limit, n[row] - start)
+        at = np.concatenate([[0], np.cumsum(length)])
+        step = max(1, OUT // (4 * limit))
+        for i in range(0, len(row), step):
+            part = slice(i, i + step)
+            held = ids[at[i] : at[min(i + step, len(row))]].astype("<u4")
+            offsets = ((at[i : i + step + 1] - at[i]) * 4).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+            ints = [pa.array(piece[part].astype(np.int32)), pa.array(start[part]), pa.array(length[part])]
+            yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[part])), *ints, data], ["key", "piece", "start", "length", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _kept("word_ids:" + path, lambda: WordIds(path))
-        for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
-            at, size = 0, 0
-            for i in range(len(texts)):
-                size += len(texts[i] or "")
-                if size < 500_000 and i + 1 < len(texts):
-                    continue
-                row, piece, start, length, parts = [], [], [], [], []
-                for j, ids in enumerate(known.ids(texts[at : i + 1]), at):
-                    ids += last
-                    n = len(ids) // 4
-                    for k in range(0, n, limit):
-                        row.append(j)
-                        piece.append(k // limit)
-                        start.append(k)
-                        length.append(min(limit, n - k))
-                        parts.append(ids[4 * k : 4 * (k + limit)])
-                ints = [pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64())]
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(row)), *ints, pa.array(parts, pa.binary())], ["key", "piece", "start", "length", "ids"])
-                at, size = i + 1, 0
+        words = _kept_tokenizer(path)
+        try:
+            for batch in batches:
+                size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+                i = 0
+                while i < batch.num_rows:
+                    j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + CHUNK, "right")))
+                    yield from cut(words, batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i))
+                    i = j
+        finally:
+            words.forget()
 
     return run
 
@@ -173,33 +220,47 @@ def _filling(items: np.ndarray, takes: np.ndarray, room: int) -> dict[int, int]:
     return config
 
 
-def configurations(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS, phases: int = 3, rate: float = 0.03) -> list[tuple[dict[int, int], int]]:
-    """Configurations ({length: number}, times) that hold each length exactly as often as counts has it.
+class Plan(NamedTuple):
+    """Configurations ({length: number}, times), how many of the pieces the linear program placed, and what any packing needs.
+
+    The bound is the program's dual: weights of the lengths, over the best filling that they allow a sequence.
+    """
+
+    configurations: list[tuple[dict[int, int], int]]
+    by_program: int
+    bound: float
+
+
+def configurations(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROUNDS, phases: int = 3, rate: float = 0.03) -> Plan:
+    """A plan that holds each length exactly as often as counts has it.
 
     A phase covers the whole histogram once, as far as its share of the knapsacks goes: each knapsack prices the best
     filling of every room that a longest piece (a head) can leave, and serves heads until their fillings run out. Weights
     fall with use, so that a later phase prefers what earlier ones combined less. The mean of the phases solves the
-    linear program.
+    linear program; it is rounded down, then topped up while its configurations still fit, fullest first.
     """
     left = np.zeros(limit + 1, np.int64)
     for length, n in counts.items():
         left[length] = n
     plan: list[tuple[dict[int, int], int]] = []
-    if left[limit]:
-        plan.append(({limit: 1}, int(left[limit])))
+    alone = int(left[limit])
+    if alone:
+        plan.append(({limit: 1}, alone))
         left[limit] = 0
     there = np.flatnonzero(left)
     # long pieces are dearer than their share: they have fewer places
     value = np.zeros(limit + 1)
     value[there] = there / limit * (1 + 0.05 * there / limit)
-    demand, used = left.copy(), {}
+    demand, used, bound = left.copy(), {}, float(there @ left[there]) / limit
     for _ in range(phases if len(there) else 0):
         need = left.copy()
-        for _ in range(rounds // phases):
+        for turn in range(rounds // phases):
             heads = np.flatnonzero(need)[::-1]
             if not len(heads):
                 break
-            items, takes, _ = _priced(value, need, limit)
+            items, takes, best = _priced(value, need, limit)
+            if not turn:
+                bound = max(bound, float(value @ left) / float(best[limit]))
             for head in map(int, heads):
                 if not need[head]:
                     continue
@@ -213,7 +274,7 @@ def configurations(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROU
                         need[x] -= k * amount
                         value[x] *= np.exp(-rate * k * amount / demand[x])
     room = lambda config: limit - sum(x * k for x, k in config)
-    order = sorted((c for c in used if room(c) <= limit // 512), key=lambda config: (-config[-1][0], room(config), config))
+    order = sorted(used, key=lambda config: (room(config), -config[-1][0], config))
     for down in (True, False):
         for config in order:
             times = min(int(left[x]) // k for x, k in config)
@@ -222,6 +283,7 @@ def configurations(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROU
                 plan.append((dict(config), times))
                 for x, k in config:
                     left[x] -= k * times
+    by_program = int(demand.sum() - left.sum()) + alone
     while left.any():
         config, c = {}, limit
         while c > 0 and (fits := np.flatnonzero(left[: c + 1])).size:
@@ -239,7 +301,7 @@ def configurations(counts: dict[int, int], limit: int = LIMIT, rounds: int = ROU
         plan.append((config, times))
         for x, k in config.items():
             left[x] -= k * times
-    return plan
+    return Plan(plan, by_program, alone + bound)
 
 
 def _places(plan: list[tuple[dict[int, int], int]], limit: int) -> list[np.ndarray]:
@@ -261,31 +323,35 @@ def pack(cut: DataFrame, limit: int = LIMIT, rounds: int = ROUNDS) -> DataFrame:
 
     The plan that goes to the executors has at most a few numbers for each configuration and length, whatever the input.
     """
-    cut = cut.select(*[F.col(f"`{c}`") for c in cut.columns if c not in ("sequence_id", "offset")])
-    salt = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in cut.columns]), F.lit(SALTS))
-    cut = cut.withColumn("_salt", salt)
-    parts = settle(cut.groupBy("length", "_salt").agg(F.count("*").alias("n")), "lengths")
-    counts = {r["length"]: r["n"] for r in parts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    segments = _places(configurations(counts, limit, rounds), limit)
-    by_salt = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
-    before = parts.select("length", "_salt", F.coalesce(F.sum("n").over(by_salt), F.lit(0)).alias("_before"))
-    order = [F.col(f"`{c}`") for c in cut.columns if c not in ("length", "_salt")]
-    ranked = cut.withColumn("_n", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)))
-    ranked = ranked.join(before, ["length", "_salt"]).withColumn("_rank", F.col("_before") + F.col("_n") - 1)
-    names = [c for c in cut.columns if c != "_salt"]
-    held = cut.sparkSession.sparkContext.broadcast(segments)
+    spark, names = cut.sparkSession, [c for c in cut.columns if c not in ("sequence_id", "offset")]
+    hashed, salts, salt, nth, ahead = fresh(names, "hash", "salts", "salt", "nth", "before")
+    columns = [F.col(f"`{c}`") for c in names]
+    cut = cut.select(*columns, F.xxhash64(*columns).alias(hashed))
+    small = settle(cut.select("length", hashed), "lengths")
+    counts = {r["length"]: r["n"] for r in small.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    plan = configurations(counts, limit, rounds)
+    segments = _places(plan.configurations, limit)
+    # a row for each length: as many parts as its pieces need
+    parts = spark.createDataFrame([(x, -(-n // RANKED)) for x, n in counts.items()], f"length bigint, {salts} bigint")
+    dealt = lambda df: df.join(F.broadcast(parts), "length").withColumn(salt, F.pmod(hashed, salts))
+    sizes = dealt(small).groupBy("length", salt).agg(F.count("*").alias("n"))
+    by_salt = Window.partitionBy("length").orderBy(salt).rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select("length", salt, F.coalesce(F.sum("n").over(by_salt), F.lit(0)).alias(ahead))
+    order = [F.col(hashed), *(F.col(f"`{c}`") for c in names if c != "length")]
+    ranked = dealt(cut).withColumn(nth, F.row_number().over(Window.partitionBy("length", salt).orderBy(*order)))
+    ranked = ranked.join(before, ["length", salt]).select(*columns, (F.col(ahead) + F.col(nth) - 1).alias(nth))
+    held = spark.sparkContext.broadcast(segments)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, slots, sequence, offset = held.value
         for batch in batches:
-            length, rank = batch.column("length").to_numpy(), batch.column("_rank").to_numpy()
+            length, rank = batch.column("length").to_numpy(), batch.column(nth).to_numpy()
             j = np.searchsorted(key, (length << 44) + rank, "right") - 1
             turn = rank - (key[j] & ((1 << 44) - 1))
             at = [pa.array(sequence[j] + turn // slots[j]), pa.array(offset[j] + turn % slots[j] * length)]
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *at], [*names, "sequence_id", "offset"])
 
-    ranked = ranked.select(*[F.col(f"`{n}`") for n in names], "_rank")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "_salt")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != hashed)
     return ranked.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
 
 

@@ -6,6 +6,7 @@ from collections import Counter
 from math import lgamma, log, log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from binloom.llm import langid, lattice, packing, secrets, winnowing
@@ -207,17 +208,20 @@ def test_language_without_labels_with_one_and_clashing_names(spark, docs_of):
 
 def check_plan(counts, limit, rounds=9):
     plan, got = packing.configurations(counts, limit, rounds), Counter()
-    for config, times in plan:
+    for config, times in plan.configurations:
         assert times > 0 and sum(x * k for x, k in config.items()) <= limit
         for x, k in config.items():
             got[x] += k * times
     assert got == Counter(counts)
-    return sum(t for _, t in plan)
+    used = sum(t for _, t in plan.configurations)
+    assert sum(x * n for x, n in counts.items()) / limit <= plan.bound + 1e-9 and plan.bound <= used + 1e-9
+    assert 0 <= plan.by_program <= sum(counts.values())
+    return used
 
 
 def test_configurations():
     rng = random.Random(6)
-    assert packing.configurations({}, 64) == []
+    assert packing.configurations({}, 64) == ([], 0, 0.0)
     assert check_plan({64: 5}, 64) == 5
     assert check_plan({1: 1000}, 64) == 16
     assert check_plan({40: 10, 24: 10}, 64) == 10
@@ -226,6 +230,36 @@ def test_configurations():
         counts = Counter(min(64, max(1, int(rng.lognormvariate(2.5, 1)))) for _ in range(400))
         need = -(-sum(x * n for x, n in counts.items()) // 64)
         assert check_plan(counts, 64) <= need * 1.05 + 1
+        assert packing.configurations(counts, 64).by_program >= 0.4 * 400
+
+
+def fewest(lengths, limit):
+    """Sequences of a best packing, by trying all."""
+    best = len(lengths)
+
+    def place(rest, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if not rest:
+            best = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= rest[0]}.values():
+            place(rest[1:], [r - rest[0] * (j == i) for j, r in enumerate(rooms)])
+        place(rest[1:], [*rooms, limit - rest[0]])
+
+    place(sorted(lengths, reverse=True), [])
+    return best
+
+
+def test_packing_against_all_packings():
+    """The program's dual never says more than the best packing has, and says more than the mere sum where lengths don't combine."""
+    rng = random.Random(61)
+    for _ in range(30):
+        lengths = [rng.randint(3, 20) for _ in range(rng.randint(1, 11))]
+        plan, best = packing.configurations(dict(Counter(lengths)), 20), fewest(lengths, 20)
+        assert plan.bound <= best + 1e-9 and best <= sum(t for _, t in plan.configurations) <= best + 1
+    assert packing.configurations({33: 7}, 64).bound == pytest.approx(7) and packing.configurations({22: 10}, 64).bound == pytest.approx(5)
 
 
 def test_bounded_knapsack():
@@ -267,14 +301,68 @@ def test_op7_pieces_and_places(spark, sf_dir):
     assert packing.op7_packing(spark, sf_dir([])).count() == 0
 
 
-def test_known_words_survive_overflow(monkeypatch):
+def plain_ids(tokenizer, texts, end=1):
+    return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, end] for t in texts]
+
+
+def ids_of(words, texts):
+    ids, n = words.ids(pa.array(texts, pa.string()), 1)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+def test_words_equal_the_tokenizer(monkeypatch):
     monkeypatch.setattr(packing, "KEPT_WORDS", 20)
     rng = random.Random(9)
-    w = packing.WordIds(packing.tokenizer_path())
+    w = packing.Words(packing.tokenizer_path())
+    assert w.apart
     for _ in range(10):
         texts = [text_of(rng, 30), "ab. " * 5, None]
-        want = [np.array(w.tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-        assert w.ids(texts) == want
+        assert ids_of(w, texts) == plain_ids(w.tokenizer, texts)
+    # letters that compose in lower case only, marks, final sigma, white space that isn't ASCII, singletons
+    texts = ["J\u030c x", "H\u0331", "T\u0308 a", "\u0130stanbul, H\u0130, \u03a3\u0391\u03a3 \u03a3", "\u0301y \u226e <\u0338", "a\x1cb\x85c\u00a0d", "\u212b \u2126 K\u212a", "\u00bd \u00b2 \u2167", "don't 'S x's.", "_a_ A_B"]
+    assert ids_of(w, texts) == plain_ids(w.tokenizer, texts)
+    pool = [chr(c) for c in [*range(1, 0x250), *range(0x300, 0x345), *range(0x370, 0x3FF), *range(0x590, 0x600), *range(0x900, 0x960), *range(0x1E00, 0x1EFF), 0x3042, 0x4E00, 0xAC00, 0x1100, 0x1161, 0x200D, 0xFEFF, 0x2028]]
+    for _ in range(60):
+        texts = ["".join(rng.choice(pool) if rng.random() < 0.7 else rng.choice(" abcJHTs'.,") for _ in range(rng.randint(0, 40))) for _ in range(20)]
+        assert ids_of(w, texts) == plain_ids(w.tokenizer, texts)
+
+
+def test_other_tokenizers_take_whole_texts(spark, docs_of):
+    path = packing.tokenizer_path("byte_bpe_50k.json")
+    w = packing.Words(path)
+    assert not w.apart
+    texts = ["Two  spaces and\nlines J\u030c", None, "", "a b c"]
+    assert ids_of(w, texts) == plain_ids(w.tokenizer, texts)
+    got = packing.pieces(docs_of(list(enumerate(texts))), path).orderBy("doc_id").collect()
+    assert [np.frombuffer(r.ids, "<u4").tolist() for r in got] == plain_ids(w.tokenizer, texts)
+
+
+def test_very_long_text_of_many_chunks(spark, docs_of, monkeypatch):
+    rng = random.Random(62)
+    texts = [text_of(rng, 300_000), "short", text_of(rng, 5000)]
+    monkeypatch.setattr(packing, "CHUNK", 1000)
+    monkeypatch.setattr(packing, "OUT", 4 * 4096 * 3)
+    w = packing.Words(packing.tokenizer_path())
+    table = pa.table({"key": pa.array([0, 1, 2]), "text": texts}).to_batches()
+    got = [r for b in packing._cut(packing.tokenizer_path(), 4096, 1)(iter(table)) for r in b.to_pylist()]
+    for i, want in enumerate(plain_ids(w.tokenizer, texts)):
+        mine = [r for r in got if r["key"] == i]
+        assert [r["start"] for r in mine] == [*range(0, len(want), 4096)] and [r["piece"] for r in mine] == [*range(len(mine))]
+        assert [x for r in mine for x in np.frombuffer(r["ids"], "<u4").tolist()] == want
+
+
+def test_pack_with_clashing_names_and_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 3)
+    names = ["_hash", "_salts", "_salt", "_nth", "_before", "n", "sequence_id", "offset"]
+    rows = [(64 if i % 3 else 1 + i % 30, *([i] * len(names))) for i in range(200)] + [(64, *([7] * len(names)))] * 9
+    df = spark.createDataFrame(rows, "length bigint, " + ", ".join(f"{n} bigint" for n in names))
+    got = packing.pack(df, 64).collect()
+    assert sorted((r.length, r._hash, r._before, r.n) for r in got) == sorted((r[0], r[1], r[5], r[6]) for r in rows)
+    at = {}
+    for r in sorted(got, key=lambda r: r.offset):
+        assert r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+    assert max(at.values()) <= 64
 
 
 # -- secrets --
