@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import gc
 import tempfile
 import uuid
 
@@ -70,6 +71,17 @@ def drop_settled(*tables: DataFrame) -> None:
         discard(df.sparkSession, df.binloom_path)
 
 
+def no_more_than(table: DataFrame, rows: int) -> DataFrame:
+    """The table, to be sent to all executors if it has at most so many rows; else it is joined as any other. The rows are counted."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
+def swept(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of tables that are no more; it learns of these when the driver's memory is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """Connected components of an undirected edge table: (node, component), component the smallest node.
 
@@ -82,6 +94,8 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
         F.col(src).isNotNull() & F.col(dst).isNotNull() & (F.col("u") != F.col("v"))
     )
     e = settle(e.distinct(), "edges")
+    if e.isEmpty():
+        return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     while True:
         # large star: every neighbour above u goes to the smallest of u and its neighbours
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))

@@ -5,8 +5,9 @@ count found frequent last, the most frequent at the very end, the others by hash
 more share a shingle among the first n - ceil(t n) + 1 of each (the prefix).
 
 1. Documents with equal sets are one class; classes with equal size and prefix are one group.
-2. A first look links neighbours in the lists of the few shingles of lowest hash. It need not be complete; what it verifies
-   becomes components, so that thousands of near copies are one component before any list is paired.
+2. A first look lists the few shingles of lowest hash. In each turn every component so far asks for one pair: with the
+   centre of the list that it shares most with. It need not be complete; what it verifies becomes components, so that
+   thousands of near copies are one component before any list is paired.
 3. The prefixes of all groups are listed by shingle. Lists within one component are done with. In the others every pair of
    groups of different components is a candidate, with its number of common prefix shingles; the bound on the overlap
    that this number and the rest of the sets allow drops most.
@@ -19,6 +20,10 @@ component sizes only decide what step 3 has left to do.
    component are dealt into parts, and each two parts are one block of a sparse product, which gives a number of links
    for each class, weighted by the documents of the other; the pairs themselves are never rows.
 
+Sets are made of the texts once for those classes that a pair may ask for, and move to their pairs as bytes: each set once to
+each part of a centre's pairs, not once for each pair. Lists of frequent shingles, a bounded number, are judged by an
+aggregate that each task begins, all others in one window; no list of a frequent shingle is gathered.
+
 Defined results: a null text counts as empty; a set without shingles links with nothing. Rows with the same doc_id are one
 document, which links when any of its texts does, and counts once; rows with a null doc_id link with nothing and have
 no component. A document's n_links leaves out itself and counts its exact copies.
@@ -35,18 +40,22 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_settled, partitions, read, settle, tidied
+from .common import components, drop_settled, fresh, no_more_than, partitions, read, settle, swept, tidied
 
 #: Frequent shingles that are placed by frequency; the order of the others is as good for exactness.
 FREQUENT = 200_000
 #: Shingles that the first look lists: the lowest hashes, be they frequent or not, so that near copies meet there.
 SHORT = 8
 #: Of these, as many that two must have in common to be tried in the first look, and its turns.
-ALIKE, TURNS = 4, 3
+ALIKE, TURNS = 4, 4
 #: Groups from which on a component is large, members in an array, parts of those that meet it.
 LARGE, MEMBERS, SALTS = 24, 2048, 8
+#: Pairs, and shingles of both ends, that are verified at once, and pairs of one centre among them.
+PAIRS, PAIR_SHINGLES, STAR = 4096, 2_000_000, 512
 #: Classes and shingles of a part of a component, when links are counted; shingles of more sets than RARE are multiplied as dense columns.
 PART, PART_SHINGLES, RARE, COLUMNS = 1024, 1_000_000, 16, 4096
+#: Rows, ids of 64 bits, up to which a table is sent to all executors; a larger one is joined by a shuffle.
+SENT = 1_000_000
 HASH = np.uint64(2**62 - 1)
 
 
@@ -92,11 +101,11 @@ def _frequent(width: int):
     return run
 
 
-def _lists(parts: list[np.ndarray], kind=None) -> pa.Array:
+def _lists(parts: list[np.ndarray], there: list[bool] | None = None) -> pa.Array:
     offsets = np.zeros(len(parts) + 1, np.int32)
     np.cumsum([len(p) for p in parts], out=offsets[1:])
     flat = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=None if there is None else pa.array(~np.array(there, bool)))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -104,90 +113,133 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def _sketches(width: int, percent: int, frequent: np.ndarray):
-    """frequent: hashes from the most frequent on."""
+    """frequent: hashes from the most frequent on. short and prefix stand once for each set of a task (as far as it remembers), else null."""
     order = np.argsort(frequent)
     at = frequent[order]
     rank = (2**62 + len(frequent) - 1 - order).astype(np.uint64)
+    none = np.empty(0, np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for batch in batches:
-            ids = batch.column(0)
+            ids, named = batch.column(0), batch.column(0).is_valid().to_pylist()
             for i in range(0, batch.num_rows, 1000):
-                n, sig, pfx, prefix, short = [], [], [], [], []
-                for t in batch.column(1).slice(i, 1000).to_pylist():
+                n, sig, gid, prefix, short, new = [], [], [], [], [], []
+                for k, t in enumerate(batch.column(1).slice(i, 1000).to_pylist(), i):
                     s = shingles(t, known, width)
-                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                     n.append(len(s))
-                    low = s[:SHORT].copy()
+                    sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                    low = s[:SHORT]
                     if len(at) and len(s):
                         j = np.searchsorted(at, s)
                         j[j == len(at)] = 0
                         s = np.sort(np.where(at[j] == s, rank[j], s))
-                    s = s[: prefix_length(len(s), percent)].copy()
-                    short.append(low)
-                    pfx.append(hashlib.blake2b(s.tobytes() + n[-1].to_bytes(8), digest_size=16).digest())
-                    prefix.append(s)
-                cols = [ids[i : i + 1000], pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(pfx, pa.binary()), _lists(short), _lists(prefix)]
-                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sig", "pfx", "short", "prefix"])
+                    s = s[: prefix_length(n[-1], percent)]
+                    gid.append(int.from_bytes(hashlib.blake2b(s.tobytes() + n[-1].to_bytes(8), digest_size=8).digest(), signed=True))
+                    new.append(bool(len(s)) and named[k] and sig[-1] not in seen)
+                    short.append(low.copy() if new[-1] else none)
+                    prefix.append(s.copy() if new[-1] else none)
+                    if new[-1]:
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen.add(sig[-1])
+                cols = [ids[i : i + 1000], pa.array(n, pa.int32()), pa.array(sig, pa.binary()), pa.array(gid, pa.int64()), _lists(short, new), _lists(prefix, new)]
+                yield pa.RecordBatch.from_arrays(cols, ["id", "n", "sig", "gid", "short", "prefix"])
 
     return run
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        known, seen = WordHashes(), set()
         for batch in batches:
-            ids = batch.column(0)
             for i in range(0, batch.num_rows, 500):
-                sets = [shingles(t, known, width) for t in batch.column(1).slice(i, 500).to_pylist()]
-                yield pa.RecordBatch.from_arrays([ids[i : i + 500], _lists(sets)], ["id", "set"])
+                ids, sigs, sets = [], [], []
+                for k, t in zip(*(batch.column(c).slice(i, 500).to_pylist() for c in (0, 1)), strict=True):
+                    s = shingles(t, known, width).astype("<u8").tobytes()
+                    sig = hashlib.blake2b(s, digest_size=16).digest()
+                    if (k, sig) not in seen:  # repeated rows
+                        if len(seen) > 200_000:
+                            seen.clear()
+                        seen.add((k, sig))
+                        ids.append(k)
+                        sigs.append(sig)
+                        sets.append(s)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], ["id", "sig", "set"])
 
     return run
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(id, set) of the documents (id, text) that wanted has, settled."""
-    found = docs.join(wanted.distinct(), "id", "left_semi").select("id", "text")
-    return settle(found.mapInArrow(tidied(_sets(width)), "id bigint, set array<bigint>"), "sets")
+    """(c, set) of the wanted classes (c, id, sig), settled; a set may stand there more than once. docs: (id, text)."""
+    wanted = settle(wanted, "wanted")
+    found = docs.join(no_more_than(settle(wanted.select("id").distinct(), "ids"), SENT), "id", "left_semi").select("id", "text")
+    sets = found.mapInArrow(tidied(_sets(width)), "id bigint, sig binary, set binary")
+    out = settle(sets.join(no_more_than(wanted, SENT // 4), ["id", "sig"]).select("c", "set"), "sets")
+    drop_settled(wanted)
+    return out
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of document ids, settled, whose whole sets are similar enough, settled.
+def near(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets are similar enough."""
+    shared = len(np.intersect1d(s, t, assume_unique=True))
+    return shared > 0 and 100 * shared >= percent * (len(s) + len(t) - shared)
 
-    Only the sets that a pair asks for move, each to its pair; few pairs are broadcast to the sets (the session's limit
-    decides, as the pairs' size is known by then).
-    """
-    asked = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("id"), F.lit(True).alias("left")), F.struct(F.col("b").alias("id"), F.lit(False).alias("left")))).alias("x"))
-    found = sets.join(asked.select("a", "b", "x.id", "x.left"), "id")
-    # an id has several sets if rows with different texts share it
-    both = found.groupBy("a", "b").agg(*[F.collect_list(F.when(on, F.col("set"))).alias(c) for c, on in (("s", F.col("left")), ("t", ~F.col("left")))])
-    shared = lambda s, t: F.size(F.array_intersect(s, t))
-    near = lambda s, t: (shared(s, t) > 0) & (100 * shared(s, t) >= percent * (F.size(s) + F.size(t) - shared(s, t)))
-    return settle(both.where(F.exists("s", lambda s: F.exists("t", lambda t: near(s, t)))).select("a", "b"), "links")
+
+def _verified(percent: int):
+    def run(key, sets, pairs):
+        import pandas as pd
+
+        held = {c: np.frombuffer(s, "<u8") for c, s in zip(sets["c"], sets["set"], strict=True)}
+        hit = [near(held[a], held[b], percent) for a, b in zip(pairs["a"], pairs["b"], strict=True)]
+        return pd.DataFrame({"a": pairs["a"], "b": pairs["b"]})[np.array(hit, bool)] if len(pairs) else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    return run
 
 
-def _neighbours(lists: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Pairs of neighbours, in a random order of the turn, in the salted lists (key, id, n, short, comp).
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, m: shingles of both) of classes, settled, whose whole sets are similar enough, settled.
 
-    A first turn looks at one neighbour in each list and takes two for each id; later ones, with few components left to
-    link, look at more and take more.
+    Pairs are dealt by b, the centre, in parts of at most about STAR, and several parts to a task; sets go where a pair asks for them.
     """
-    by = Window.partitionBy("key", F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(32))).orderBy(F.xxhash64(F.lit(turn), "id"))
-    row = F.struct("id", "n", "short", "comp")
-    reach = [F.when(F.lag("comp", k).over(by) != F.col("comp"), F.lag(row, k).over(by)) for k in range(1, min(4**turn, 16) + 1)]
-    alike = lambda y: F.size(F.array_intersect(F.col("x.short"), y["short"])) >= F.least(F.col("x.n"), y["n"], F.lit(ALIKE))
-    seen = lists.select(row.alias("x"), F.array(*reach).alias("ys"))
-    pair = seen.select("x", F.explode(F.filter("ys", lambda y: y.isNotNull() & alike(y))).alias("y"))
-    least = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(row, F.xxhash64(F.lit(turn), "id")).alias("y"))
-    star = lists.join(least.where("low != high").select("key", "y"), "key").select(row.alias("x"), "y")
-    shared = F.size(F.array_intersect("x.short", "y.short"))
-    pair = pair.union(star).where(f"x.comp != y.comp and 100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n")
-    # a document has few neighbours here, as many as its short list has keys
-    pair = pair.withColumn("shared", shared).where(F.col("shared") >= F.least("x.n", "y.n", F.lit(ALIKE))).select("x.id", F.col("y.id").alias("other"), "shared").distinct()
-    best = Window.partitionBy("id").orderBy(F.desc("shared"), F.xxhash64(F.lit(turn), "other"))
-    pair = pair.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= 2 * (1 + turn))
-    return pair.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
+    size = pairs.agg(F.count("*").alias("n"), F.coalesce(F.sum("m"), F.lit(0)).alias("m")).first()
+    if not size["n"]:
+        return pairs.sparkSession.createDataFrame([], "a bigint, b bigint")
+    bins = max(partitions(pairs.sparkSession), -(-size["n"] // PAIRS), -(-size["m"] // PAIR_SHINGLES))
+    stars = pairs.groupBy("b").agg(F.ceil(F.count("*") / STAR).alias("parts")).where("parts > 1")
+    dealt = pairs.join(stars, "b", "left").withColumn("part", F.pmod(F.xxhash64("a"), F.coalesce("parts", F.lit(1))))
+    dealt = settle(dealt.select("a", "b", F.pmod(F.xxhash64("b", "part"), F.lit(bins)).alias("bin")), "dealt")
+    asked = settle(dealt.select("bin", F.col("a").alias("c")).union(dealt.select("bin", F.col("b").alias("c"))).distinct(), "asked")
+    there = sets.join(no_more_than(asked, SENT // 2), "c").select("bin", "c", "set")
+    out = there.groupBy("bin").cogroup(dealt.withColumnRenamed("bin", "of").groupBy("of")).applyInPandas(_verified(percent), "a bigint, b bigint")
+    out = settle(out, "links")
+    drop_settled(dealt, asked)
+    return out
+
+
+def _asked(lists: DataFrame, tried: DataFrame, turn: int, percent: int) -> DataFrame:
+    """For each component one pair (a, b, m) that hasn't been tried: with the centre of one of its lists (key, c, n, short, comp)."""
+    row = F.struct("c", "n", "short", "comp")
+    centre = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(row, F.xxhash64(F.lit(turn), "comp", "c")).alias("y"))
+    met = lists.join(centre.where("low != high").select("key", "y"), "key").where(f"comp != y.comp and 100 * n >= {percent} * y.n and 100 * y.n >= {percent} * n")
+    met = met.withColumn("shared", F.size(F.array_intersect("short", "y.short"))).where(F.col("shared") >= F.least("n", "y.n", F.lit(ALIKE)))
+    met = met.select("comp", "shared", F.col("c").alias("a"), F.col("y.c").alias("b"), (F.col("n") + F.col("y.n")).alias("m"))
+    met = met.join(tried, ["a", "b"], "left_anti")
+    best = F.max_by(F.struct("a", "b", "m"), F.struct("shared", F.xxhash64("a", "b")))
+    return met.groupBy("comp").agg(best.alias("p")).select("p.*").distinct()
+
+
+def _between(rows: DataFrame, low: str, high: str) -> DataFrame:
+    """The rows of the lists (key, ...) that have more than one value from low to high.
+
+    Lists of frequent shingles, at most FREQUENT, may have any length: they are judged by an aggregate, which is sent to
+    the rows. The others are judged in a window.
+    """
+    often = F.col("key") >= F.lit(2**62)
+    by_key = Window.partitionBy("key")
+    rare = rows.where(~often).withColumn("_l", F.min(low).over(by_key)).withColumn("_h", F.max(high).over(by_key)).where("_l != _h").drop("_l", "_h")
+    judged = rows.where(often).groupBy("key").agg(F.min(low).alias("_l"), F.max(high).alias("_h")).where("_l != _h").select("key")
+    return rare.unionByName(rows.where(often).join(F.broadcast(judged), "key"))
 
 
 def _enough(c, m, k, percent: int):
@@ -257,19 +309,6 @@ def _met(mixed: DataFrame, percent: int) -> DataFrame:
     return small.union(met)
 
 
-def _class_sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        for batch in batches:
-            ids = batch.column(0)
-            for i in range(0, batch.num_rows, 500):
-                sets = [shingles(t, known, width) for t in batch.column(1).slice(i, 500).to_pylist()]
-                sig = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
-                yield pa.RecordBatch.from_arrays([ids[i : i + 500], pa.array(sig, pa.binary()), _lists(sets)], ["id", "sig", "set"])
-
-    return run
-
-
 def near_matrix(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
     """Which of the first split sets are near which of the others; of all sets to all, but for themselves, if split is 0."""
     size = np.array([len(s) for s in sets], np.int64)
@@ -306,72 +345,76 @@ def near_matrix(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
 
 
 def _counted(percent: int):
-    """Links of each class in a block (sig, null, documents), and those from or to documents of several texts (sig, other, null)."""
+    """Links of each class in a block (c, null, documents), and those from or to documents of several texts (c, other, null)."""
 
     def run(key, members):
         import pandas as pd
 
-        members = members.drop_duplicates("sig").sort_values(["component", "part"], kind="stable")
-        sig, part, w, m = (members[c].to_numpy() for c in ("sig", "part", "w", "m"))
-        sets, comp = members["set"].to_list(), members["component"].to_numpy()
+        members = members.drop_duplicates("c").sort_values(["component", "part"], kind="stable")
+        c, part, w, m = (members[x].to_numpy() for x in ("c", "part", "w", "m"))
+        sets, comp = [np.frombuffer(x, "<u8") for x in members["set"]], members["component"].to_numpy()
         starts = [*np.flatnonzero(np.r_[True, comp[1:] != comp[:-1]]), len(comp)]
         out = []
         for lo, hi in zip(starts[:-1], starts[1:], strict=True):
             split = int((part[lo:hi] == key[1]).sum()) if key[1] != key[2] else 0
             if hi - lo < 2 or (key[1] != key[2] and split in (0, hi - lo)):
                 continue
-            near = near_matrix(sets[lo:hi], split, percent)
+            alike = near_matrix(sets[lo:hi], split, percent)
             left, right = slice(lo, lo + split if split else hi), slice(lo + split, hi)
-            sides = [(left, right, near), (right, left, near.T)] if split else [(left, right, near)]
+            sides = [(left, right, alike), (right, left, alike.T)] if split else [(left, right, alike)]
             for x, y, hit in sides:
-                out += [(s, None, int(n)) for s, n in zip(sig[x], hit @ w[y], strict=True) if n]
+                out += [(s, None, int(n)) for s, n in zip(c[x], hit @ w[y], strict=True) if n]
                 told = hit & ((m[x] > 0)[:, None] | (m[y] > 0)[None, :])
-                out += [(sig[x][i], sig[y][j], None) for i, j in zip(*np.nonzero(told), strict=True)]
-        return pd.DataFrame({"sig": [r[0] for r in out], "other": [r[1] for r in out], "w": pd.array([r[2] for r in out], "Int64")})
+                out += [(c[x][i], c[y][j], None) for i, j in zip(*np.nonzero(told), strict=True)]
+        return pd.DataFrame({name: pd.array([r[k] for r in out], "Int64") for k, name in enumerate(("c", "other", "w"))})
 
     return run
 
 
-def link_counts(docs: DataFrame, named: DataFrame, of: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame | None]:
-    """(sig, n_links) of the documents with one text, and (id, n_links) of those with several, if there are any.
+def link_counts(held: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """(c, n_links) of the documents with one text, and (id, n_links) of those with several, if there are any.
 
-    named has the sketches of documents with shingles, of the component of each sig.
+    held: (id, c, texts), once for each text of a document; of: (c, n, component); sets: (c, set) of all classes that have links.
     """
-    spark = docs.sparkSession
-    held = named.select("id", "sig", "n").distinct().withColumn("texts", F.count("*").over(Window.partitionBy("id")))
-    held = settle(held, "held")
-    kinds = held.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count_if(F.col("texts") == 1).alias("w"), F.count_if(F.col("texts") > 1).alias("m"))
-    kinds = settle(kinds.join(of, "sig"), "kinds")
+    spark = held.sparkSession
+    kinds = held.groupBy("c").agg(F.count_if(F.col("texts") == 1).alias("w"), F.count_if(F.col("texts") > 1).alias("m"))
+    kinds = settle(kinds.join(of, "c"), "kinds")
     sizes = kinds.groupBy("component").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where("k > 1")
     sizes = sizes.select("component", F.greatest(F.ceil(F.col("k") / PART), F.ceil(F.col("s") / PART_SHINGLES)).cast("int").alias("parts"))
-    members = settle(kinds.join(settle(sizes, "sizes"), "component"), "members")
+    members = settle(kinds.join(sizes, "component").select("c", "n", "component", "w", "m", "parts"), "members")
     small = members.where("parts = 1").agg(F.sum("n")).first()[0] or 0
     bins = max(partitions(spark), -(-small // PART_SHINGLES))
-    texts = docs.join(members.select("id").distinct(), "id", "left_semi").select("id", "text")
-    sets = texts.mapInArrow(tidied(_class_sets(width)), "id bigint, sig binary, set array<bigint>").join(members.drop("n"), ["id", "sig"])
     # small components are dealt into bins; of large ones each two parts meet
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("sig"), F.col("parts")).cast("int")).otherwise(-1)
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("c"), F.col("parts")).cast("int")).otherwise(-1)
     meets = F.when(F.col("parts") > 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(F.lit(-1)))
     block = F.when(F.col("parts") > 1, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(bins)))
-    dealt = sets.select("sig", "set", "component", "w", "m", block.alias("block"), part.alias("part"), F.explode(meets).alias("q"))
+    dealt = sets.join(no_more_than(members.drop("n"), SENT // 4), "c")
+    dealt = dealt.select("c", "set", "component", "w", "m", block.alias("block"), part.alias("part"), F.explode(meets).alias("q"))
     dealt = dealt.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("q")
-    found = settle(dealt.groupBy("block", "i", "j").applyInPandas(_counted(percent), "sig binary, other binary, w bigint"), "counts")
+    found = settle(dealt.groupBy("block", "i", "j").applyInPandas(_counted(percent), "c bigint, other bigint, w bigint"), "counts")
+    drop_settled(members)
 
-    near = found.where("other is null").groupBy("sig").agg(F.sum("w").alias("near"))
-    one = kinds.join(near, "sig", "left").select("sig", (F.col("w") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    several = held.where("texts > 1").select("id", "sig")
+    beside = found.where("other is null").groupBy("c").agg(F.sum("w").alias("near"))
+    one = kinds.join(beside, "c", "left").select("c", (F.col("w") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
+    several = held.where("texts > 1").select("id", "c")
     if several.isEmpty():
         return one, None
-    met = found.where("other is not null").select("sig", "other").union(several.select("sig", F.col("sig").alias("other"))).distinct()
-    theirs = several.select(F.col("id").alias("who"), F.col("sig").alias("other"))
-    extra = met.join(theirs, "other").groupBy("sig").agg(F.countDistinct("who").alias("extra"))
-    one = one.join(extra, "sig", "left").select("sig", (F.col("n_links") + F.coalesce("extra", F.lit(0))).alias("n_links"))
-    reach = settle(several.join(met, "sig").select("id", "other").distinct(), "reach")
-    alone = reach.join(kinds.select(F.col("sig").alias("other"), "w"), "other").groupBy("id").agg(F.sum("w").alias("alone"))
+    met = found.where("other is not null").select("c", "other").union(several.select("c", F.col("c").alias("other"))).distinct()
+    theirs = several.select(F.col("id").alias("who"), F.col("c").alias("other"))
+    extra = met.join(theirs, "other").groupBy("c").agg(F.countDistinct("who").alias("extra"))
+    one = one.join(extra, "c", "left").select("c", (F.col("n_links") + F.coalesce("extra", F.lit(0))).alias("n_links"))
+    reach = settle(several.join(met, "c").select("id", "other").distinct(), "reach")
+    alone = reach.join(kinds.select(F.col("c").alias("other"), "w"), "other").groupBy("id").agg(F.sum("w").alias("alone"))
     mixed = reach.join(theirs, "other").groupBy("id").agg((F.countDistinct("who") - 1).alias("mixed"))
     return one, alone.join(mixed, "id").select("id", (F.col("alone") + F.col("mixed")).alias("n_links"))
 
 
+def _labelled(links: DataFrame, classes: DataFrame) -> DataFrame:
+    """classes with comp, the smallest class that links reach, settled."""
+    comps = components(links)
+    return settle(classes.join(comps, classes["c"] == comps["node"], "left").select(*[classes[x] for x in classes.columns], F.coalesce("component", "c").alias("comp")), "labelled")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75, with_links: bool = False) -> DataFrame:
     """One row for each row of docs: key, n_shingles, component_id (the smallest key that links reach, itself included).
 
@@ -380,82 +423,106 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     counted = docs.select("text").mapInArrow(tidied(_frequent(width)), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
     frequent = np.array([r.key for r in counted.orderBy(F.desc("n"), "key").limit(FREQUENT).collect()], np.uint64)
-    schema = "id bigint, n bigint, sig binary, pfx binary, short array<bigint>, prefix array<bigint>"
+    schema = "id bigint, n int, sig binary, gid bigint, short array<bigint>, prefix array<bigint>"
     sketches = settle(docs.mapInArrow(tidied(_sketches(width, percent, frequent)), schema), "sketches")
 
-    named = sketches.where("id is not null and n > 0")
-    classes = named.groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("pfx").alias("pfx"))
-    by_pfx = classes.groupBy("pfx").agg(F.min("id").alias("gid"))
-    classes = settle(classes.join(by_pfx, "pfx").select("id", "n", "sig", "pfx", "gid"), "classes")
-    groups = classes.where("id = gid").select("id", "pfx").distinct()
+    rows = settle(sketches.select("id", "n", "sig"), "rows")
+    named = rows.where("id is not null and n > 0")
+    heavy = sketches.where("prefix is not null")
+    classes = sketches.where("id is not null and n > 0").groupBy("sig").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("gid").alias("gid"))
+    classes = settle(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
+    numbers = classes.select("sig", "c")
+    # a document of several texts holds their classes together
+    texts = named.select("id", "sig").distinct().groupBy("id").agg(F.min("sig").alias("low"), F.count("*").alias("texts")).where("texts > 1")
+    texts = settle(named.join(texts, "id").select("id", "sig", "low", "texts").distinct(), "texts")
+    own = texts.where("sig != low").join(numbers, "sig").select(F.col("c").alias("a"), "low")
+    links = settle(own.join(classes.select(F.col("sig").alias("low"), F.col("c").alias("b")), "low").select("a", "b"), "links")
 
     # a first look, in turns: each links what it finds between the components so far
-    held = named.select("id", "n", "pfx", "short").join(groups, ["id", "pfx"], "left_semi").dropDuplicates(["id", "pfx"])
-    lists = held.select("id", F.col("n").cast("int").alias("n"), "short", F.explode("short").alias("key"))
-    shared_keys = lists.groupBy("key").count().where("count > 1").select("key")
-    lists = settle(lists.join(shared_keys, "key"), "short")
+    heads = classes.groupBy("gid").agg(F.min("c").alias("head"), F.count("*").alias("k")).where("k > 1")
+    inside = settle(classes.join(heads, "gid").where("c != head").select(F.col("c").alias("a"), F.col("head").alias("b"), (2 * F.col("n")).alias("m")), "pairs")
+    held = heavy.select("sig", "n", "short").join(numbers, "sig").select("c", "n", "short").dropDuplicates(["c"])
+    lists = held.select("c", "n", "short", F.explode("short").alias("key"))
+    lists = settle(lists, "short")
+    shared = lists.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
     # who shares too few of its keys with anybody has no neighbour here
-    able = lists.groupBy("id").agg(F.count("*").alias("shared"), F.first("n").alias("n")).where(F.col("shared") >= F.least("n", F.lit(ALIKE))).select("id")
-    lists = settle(lists.join(able, "id", "left_semi").select(*lists.columns), "short")
-    same_prefix = classes.where("id > gid")
-    sets = sets_of(docs, lists.select("id").union(same_prefix.select("id")).union(same_prefix.select("gid")), width)
-    tried = settle(same_prefix.select(F.col("gid").alias("a"), F.col("id").alias("b")), "pairs")
-    links = verified(tried, sets, percent)
+    shared = settle(lists.select("c", "n", "key").join(shared, "key"), "shared")
+    able = shared.groupBy("c").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least("n", F.lit(ALIKE))).select("c")
+    alike = settle(lists.join(shared.join(able, "c", "left_semi").select("c", "key"), ["c", "key"], "left_semi"), "alike")
+    drop_settled(lists, shared)
+    fetched = alike.select("c").union(inside.select("a")).union(inside.select("b")).union(links.select("a")).union(links.select("b"))
+    fetched = settle(fetched.distinct(), "fetched")
+    sets = sets_of(docs, classes.join(fetched, "c", "left_semi").select("c", "id", "sig"), width)
+    tried = inside.select("a", "b")
+    links = links.union(verified(inside, sets, percent))
+    classes_of = classes.select("c", "n", "gid")
+    labelled = _labelled(links, classes_of)
     for turn in range(TURNS):
-        comps = components(links).withColumnRenamed("node", "id")
-        now = lists.join(comps, "id", "left").withColumn("comp", F.coalesce("component", "id")).drop("component")
-        pairs = settle(_neighbours(settle(now, "lists"), turn, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-        links = settle(links.union(verified(pairs, sets, percent)), "links")
-        tried = tried.union(pairs)
-    drop_settled(lists)
+        now = alike.join(labelled.select("c", "comp"), "c")
+        pairs = settle(_asked(now, tried, turn, percent), "pairs")
+        found = verified(pairs, sets, percent)
+        tried = tried.union(pairs.select("a", "b")).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        if found.isEmpty():
+            break
+        # components so far, and what is new
+        links = labelled.where("c != comp").select(F.col("c").alias("a"), F.col("comp").alias("b")).union(found)
+        before, labelled = labelled, _labelled(links, classes_of)
+        drop_settled(before)
+    drop_settled(alike)
+    swept(docs.sparkSession)
 
     # what lies between the components so far
-    comps = settle(components(links), "components")
-    of = classes.join(comps, classes["id"] == comps["node"], "left").select("id", "n", "pfx", "gid", F.coalesce("component", "id").alias("comp"))
-    of = settle(of, "classes")
-    spread = of.groupBy("pfx").agg(F.min("gid").alias("id"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    held = named.select("id", "n", "pfx", "prefix").join(spread, ["id", "pfx"]).dropDuplicates(["id", "pfx"])
-    listed = held.select("id", F.col("n").cast("int").alias("n"), "lo", "hi", F.explode("prefix").alias("key"))
-    by_key = Window.partitionBy("key")
-    mixed = listed.withColumn("l", F.min("lo").over(by_key)).withColumn("h", F.max("hi").over(by_key)).where("l != h")
+    listed = heavy.select("gid", "n", F.explode("prefix").alias("key"))
+    listed = settle(_between(listed, "gid", "gid"), "listed")
+    spread = labelled.groupBy("gid").agg(F.min("c").alias("id"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    # a group stands in a list once for each task that met it
+    listed_of = listed.distinct().join(spread, "gid").select("key", "gid", "n", "lo", "hi")
     # a group with classes of several components stands alone
-    mixed = mixed.select("key", "id", "n", (F.col("lo") != F.col("hi")).alias("alone"), F.col("lo").alias("comp"))
+    mixed = _between(listed_of, "lo", "hi").select("key", F.col("gid").alias("id"), "n", (F.col("lo") != F.col("hi")).alias("alone"), F.col("lo").alias("comp"))
     mixed = settle(mixed, "mixed")
-    met = _met(mixed, percent)
-    ends = named.select("id", "n", "pfx", F.element_at("prefix", -1).alias("end"), F.size("prefix").alias("p")).join(groups, ["id", "pfx"], "left_semi")
-    ends = ends.dropDuplicates(["id", "pfx"])
-    of_a = ends.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("end").alias("ea"))
-    of_b = ends.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("end").alias("eb"))
+    drop_settled(listed)
+    met = settle(_met(mixed, percent), "met")
+    ask = met.select(F.col("a").alias("gid")).union(met.select(F.col("b").alias("gid"))).distinct()
+    ends = heavy.select("gid", "n", F.element_at("prefix", -1).alias("end"), F.size("prefix").alias("p")).join(ask, "gid", "left_semi").distinct()
+    of_a = ends.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("end").alias("ea"))
+    of_b = ends.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("end").alias("eb"))
     most = F.col("c") + F.when(F.col("ea") <= F.col("eb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
-    met = met.join(of_a, "a").join(of_b, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
-    left = of.select(F.col("gid").alias("a"), F.col("id").alias("x"), F.col("comp").alias("cx"))
-    right = of.select(F.col("gid").alias("b"), F.col("id").alias("y"), F.col("comp").alias("cy"))
-    across = met.join(left, "a").join(right, "b").where("cx != cy").select("x", "y")
-    inner_groups = spread.where("lo != hi").select(F.col("id").alias("a"))
-    inside = left.join(inner_groups, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("x < y and cx != cy").select("x", "y")
-    pairs = across.union(inside).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+    close = met.join(of_a, "a").join(of_b, "b").where((100 + percent) * most >= percent * (F.col("na") + F.col("nb"))).select("a", "b")
+    left = labelled.select(F.col("gid").alias("a"), F.col("c").alias("x"), F.col("comp").alias("cx"), F.col("n").alias("nx"))
+    right = labelled.select(F.col("gid").alias("b"), F.col("c").alias("y"), F.col("comp").alias("cy"), F.col("n").alias("ny"))
+    across = close.join(left, "a").join(right, "b").where("cx != cy").select("x", "y", "nx", "ny")
+    several = spread.where("lo != hi").select(F.col("gid").alias("a"))
+    within = left.join(several, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("x < y and cx != cy").select("x", "y", "nx", "ny")
+    pairs = across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("m"))
     pairs = settle(pairs.distinct(), "candidates")
-    rest = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).join(sets, "id", "left_anti")
-    sets = sets.union(sets_of(docs, rest, width))
-    more = verified(pairs, sets, percent)
-    drop_settled(mixed)
-    last = settle(components(links.union(more)), "components")
-
-    of = classes.join(last, classes["id"] == last["node"], "left").select("sig", F.coalesce("component", "id").alias("component"))
-    of = of.groupBy("sig").agg(F.min("component").alias("component"))
-    found = F.when(F.col("id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
-    columns = [F.col("id").alias(key), F.col("n").alias("n_shingles"), found.alias("component_id")]
-    rows = sketches.select("id", "n", "sig")
+    drop_settled(mixed, met, sketches)
+    rest = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(fetched, "c", "left_anti")
+    more = sets_of(docs, classes.join(rest, "c", "left_semi").select("c", "id", "sig"), width)
+    sets = sets.union(more)
+    links = labelled.where("c != comp").select(F.col("c").alias("a"), F.col("comp").alias("b")).union(verified(pairs, sets, percent))
+    drop_settled(pairs)
+    last = _labelled(links, classes.select("c", "n", "id", "sig"))
+    swept(docs.sparkSession)
+
+    smallest = last.groupBy("comp").agg(F.min("id").alias("component"))
+    of = settle(last.join(smallest, "comp").select("sig", "c", "n", "component", "comp"), "of")
+    named_id = F.col("id").isNotNull()
     if not with_links:
-        return rows.join(of, "sig", "left").select(*columns)
-    of = settle(of, "of")
-    one, several = link_counts(docs, named, of, width, percent)
-    rows = rows.join(of.join(one, "sig"), "sig", "left")
+        found = F.when(named_id, F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")))
+        return rows.join(of.select("sig", "component"), "sig", "left").select(F.col("id").alias(key), F.col("n").cast("bigint").alias("n_shingles"), found.alias("component_id"))
+    held = named.select("id", "sig").distinct().join(texts.select("id", "texts").distinct(), "id", "left")
+    held = settle(held.join(of.select("sig", "c"), "sig").select("id", "c", F.coalesce("texts", F.lit(1)).alias("texts")), "held")
+    one, many = link_counts(held, of.select("c", "n", F.col("comp").alias("component")), sets, percent)
+    rows = rows.join(of.select("sig", "c", "component").join(one, "c"), "sig", "left")
     number = F.col("n_links")
-    if several is not None:
-        rows = rows.join(several.withColumnRenamed("n_links", "n_several"), "id", "left")
-        number = F.coalesce("n_several", number)
-    return rows.select(*columns, F.when(F.col("id").isNotNull() & (F.col("n") > 0), number).otherwise(F.lit(0)).cast("bigint").alias("n_links"))
+    if many is not None:
+        rows = rows.join(many.withColumnRenamed("n_links", "n_many"), "id", "left")
+        number = F.coalesce("n_many", number)
+    there = named_id & (F.col("n") > 0)
+    return rows.select(
+        F.col("id").alias(key), F.col("n").cast("bigint").alias("n_shingles"), F.when(there, F.col("component")).when(named_id, F.col("id")).alias("component_id"),
+        F.when(there, number).otherwise(F.lit(0)).cast("bigint").alias("n_links"),
+    )
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -464,23 +531,26 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rows_of_each(docs: DataFrame) -> DataFrame:
     """Rows but for near copies, each row by itself: of each component the row with the smallest doc_id and text hash."""
-    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id())
+    (row, gone) = fresh(docs.columns, "row", "gone")
+    rows = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text")).withColumn(row, F.monotonically_increasing_id())
     rows = settle(rows, "rows")
-    gone = near_duplicates(rows, key="_row").where("_row != component_id").select(F.col("_row").alias("_gone"))
-    return rows.join(gone, rows["_row"] == F.col("_gone"), "left_anti").drop("_row")
+    found = settle(near_duplicates(rows, key=row).where(f"`{row}` != component_id").select(F.col(f"`{row}`").alias(gone)), "gone")
+    return rows.join(no_more_than(found, SENT), rows[row] == F.col(gone), "left_anti").drop(row)
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The documents but for near copies: of each component the one with the smallest doc_id, once.
 
-    Where a doc_id has several texts, each is judged by itself. Rows without a doc_id are compared with each other only.
+    Where a doc_id has several rows, each text is judged by itself, and of rows with one id and text one stays. Rows without
+    a doc_id are compared with each other only. Texts move only where ids repeat or more than SENT documents go.
     """
     known, unknown = docs.where("doc_id is not null"), docs.where("doc_id is null")
-    if known.groupBy("doc_id").agg(F.countDistinct(F.xxhash64("text")).alias("n")).where("n > 1").isEmpty():
-        found = near_duplicates(known).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-        kept = known.join(found, known["doc_id"] == F.col("_gone"), "left_anti")
+    (gone,) = fresh(docs.columns, "gone")
+    if known.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        found = settle(near_duplicates(known).where("doc_id != component_id").select(F.col("doc_id").alias(gone)), "gone")
+        kept = known.join(no_more_than(found, SENT), known["doc_id"] == F.col(gone), "left_anti")
     else:
-        kept = _rows_of_each(known)
-    once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    kept = kept.withColumn("_n", F.row_number().over(once)).where("_n = 1").drop("_n")
+        (nth,) = fresh(docs.columns, "nth")
+        once = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
+        kept = _rows_of_each(known.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth))
     return kept if unknown.isEmpty() else kept.union(_rows_of_each(unknown))

@@ -31,7 +31,7 @@ from .common import fresh, read, settle, tidied
 LIMIT = 4096
 END = 1
 #: Pieces of one length that are ranked in one task.
-RANKED = 4096
+RANKED = 1024
 ROUNDS = 45
 #: Bytes of text that are tokenized at once, bytes of ids that go out at once, and words whose ids a task keeps (about 40 MB).
 CHUNK, OUT, KEPT_WORDS = 8_000_000, 32_000_000, 200_000
