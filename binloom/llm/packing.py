@@ -34,7 +34,7 @@ END = 1
 RANKED = 1024
 ROUNDS = 45
 #: Bytes of text that are tokenized at once, bytes of ids that go out at once, and words whose ids a task keeps (about 40 MB).
-CHUNK, OUT, KEPT_WORDS = 8_000_000, 32_000_000, 200_000
+CHUNK, OUT, KEPT_WORDS = 4_000_000, 16_000_000, 200_000
 #: Punctuation at the end of a word, after a letter or digit; it is a token of its own. (U+0130 ends in a mark in lower case.)
 TAILED = re.compile(r"(.*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([!-/:-@\[-`{-~]+)", re.DOTALL).fullmatch
 #: From here on characters may compose with the letter before them, in another way if that is lower-cased first.
