@@ -3,11 +3,13 @@ import random
 import re
 import zlib
 from collections import Counter
-from math import lgamma, log, log10
+from math import log, log10
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from binloom.llm import langid, lattice, packing, secrets, winnowing
 
@@ -22,10 +24,35 @@ def text_of(rng, n):
 # -- winnowing --
 
 
-def grams(text, k, w):
-    """Winnowing by the book over the words of ASCII text: (position, gram) of each window's rightmost minimum."""
-    words = text.lower().split()
-    return words, max(0, len(words) - k + 1)
+P, B = 2**31 - 1, 1_000_003
+
+
+def token_hash(x):
+    h = xxhash.xxh64_intdigest(x, seed=42)
+    return (h - (1 << 64) * (h >> 63)) % P
+
+
+def winnowed(text, k=5, w=8):
+    """Winnowing by the book over text without unspaced scripts: (position, hash) of each window's rightmost minimum, the hash rolling on."""
+    tokens = [token_hash(x.encode()) for x in re.findall(winnowing_token, (text or "").lower())]
+    if len(tokens) < k:
+        return None if tokens else []
+    h = 0
+    for t in tokens[:k]:
+        h = (h * B + t) % P
+    grams = [h]
+    for i in range(k, len(tokens)):
+        grams.append(((grams[-1] - tokens[i - k] * pow(B, k - 1, P)) * B + tokens[i]) % P)
+    out = []
+    for s in range(max(1, len(grams) - w + 1)):
+        part = grams[s : s + w]
+        at = max(i for i, x in enumerate(part, s) if x == min(part))
+        if not out or out[-1][0] != at:
+            out.append((at, grams[at]))
+    return out
+
+
+winnowing_token = r"[\u3040-\u30ff\u4e00-\u9fff]|[^\x20\x09-\x0D\u3040-\u30ff\u4e00-\u9fff]+"
 
 
 def test_fingerprints_of_copies_and_shared_runs(spark):
@@ -69,16 +96,66 @@ def edited(rows):
     return out
 
 
+def test_rolling_hashes_and_positions(spark, docs_of):
+    rng = random.Random(22)
+    texts = [text_of(rng, n) for n in (4, 5, 6, 12, 13, 40, 200)] + ["a " * 30, ODD[5], "Été " * 9 + text_of(rng, 30).upper(), None, ""]
+    for k, w in ((5, 8), (1, 3), (2, 2), (3, 4), (7, 5), (8, 1)):
+        got = {r.doc_id: r.fingerprint for r in winnowing.fingerprints(docs_of(list(enumerate(texts))), k=k, w=w).collect()}
+        for i, t in enumerate(texts):
+            want = winnowed(t, k, w)
+            assert want is None and len(got[i]) == 1 or [(f["position"], f["hash"]) for f in got[i]] == want
+
+
+def test_op1_clashing_names_and_very_long_texts(spark, docs_of):
+    rng = random.Random(23)
+    docs = docs_of([(1, text_of(rng, 200_000)), (2, "x" * 3_000_000), (3, None)])
+    for c in ("_h", "_n", "_m", "_few", "_t", "_f", "c0", "t", "f"):
+        docs = docs.withColumn(c, F.lit(c))
+    got = {r.doc_id: r for r in winnowing.fingerprints(docs).collect()}
+    assert got[1]._h == "_h" and got[1].f == "f" and got[1].c0 == "c0"
+    assert [(f["position"], f["hash"]) for f in got[1].fingerprint] == winnowed(got[1].text) and len(got[2].fingerprint) == 1
+
+
+def likeness_of(a, b):
+    if winnowed(a) is None or winnowed(b) is None:
+        return None
+    x, y = {h for _, h in winnowed(a)}, {h for _, h in winnowed(b)}
+    return len(x & y) / len(x | y) if x | y else 1.0
+
+
+def test_op1_match_guarantee_by_its_positions(spark, sf_dir):
+    """Whatever 12 words two texts share, a fingerprint of both lies within them on both sides."""
+    rng = random.Random(24)
+    run = text_of(rng, 12).split()
+    texts = [" ".join(text_of(rng, rng.randint(0, 40)).split() + run + text_of(rng, rng.randint(0, 40)).split()) for _ in range(12)]
+    got = winnowing.op1_winnowing(spark, sf_dir(list(enumerate(texts)))).collect()
+    inside = []
+    for r in got:
+        words = texts[r.doc_id].split()
+        at = next(i for i in range(len(words)) if words[i : i + 12] == run)
+        marks = {r.fingerprint[8 * k : 8 * k + 8] for k, p in enumerate(r.positions) if at <= p <= at + 7}
+        assert len(r.fingerprint) == 8 * len(r.positions)
+        inside.append(marks)
+    assert set.intersection(*inside)
+
+
 @pytest.mark.parametrize("n", [1, 2, 9, 60])
 def test_op1_edits(spark, sf_dir, n):
     rng = random.Random(n)
     rows = [(i * 7, ODD[i] if i < len(ODD) else text_of(rng, rng.randint(1, 80))) for i in range(n)]
     got = {r.doc_id: r for r in winnowing.op1_winnowing(spark, sf_dir(rows)).collect()}
     want = edited(rows)
+    down = sorted(rows, key=lambda r: -r[0])
+    following = {i: down[(j + 1) % len(down)][1] for j, (i, _) in enumerate(down)}
     assert got.keys() == want.keys()
     for i, t in rows:
         assert got[i].n_chars == len(t or "") and got[i].edited_sha256 == hashlib.sha256(want[i].encode()).hexdigest()
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
+        for t, told, at in ((t, got[i].fingerprint, got[i].positions), (want[i], got[i].edited_fingerprint, got[i].edited_positions)):
+            if winnowed(t) is not None:
+                assert told == "".join(f"{h:08x}" for _, h in winnowed(t)) and at == [p for p, _ in winnowed(t)]
+        for b, x in ((want[i], got[i].near_edited), (following[i], got[i].near_next)):
+            assert likeness_of(t := dict(rows)[i], b) in (None, pytest.approx(x)) or t == b
     if n == 1:
         assert got[0].near_next == 1
 
@@ -92,47 +169,106 @@ def test_op1_empty_table_and_null_and_repeated_ids(spark, sf_dir):
 # -- lattice --
 
 
-def test_lattice_sums_all_segmentations():
-    mark = lattice.MARK.encode()
-    p = {mark + b"a": 0.2, mark: 0.1, b"a": 0.1, b"b": 0.15, b"ab": 0.25, b"ba": 0.05, mark + b"ab": 0.15}
-    sums = lattice.Lattice({k: log(x) for k, x in p.items()})
-
-    def brute(s):
-        return sum(x * (brute(s[len(k) :]) if len(s) > len(k) else 1.0) for k, x in p.items() if s.startswith(k))
-
-    for w in (b"a", b"ab", b"aba", b"abab", b"baab"):
-        assert sums(w) == pytest.approx(log(brute(mark + w)), rel=1e-12)
-    assert sums(b"z") == float("-inf")
+def segmentations(s, p):
+    """Every way to write s in pieces of p, as lists."""
+    if not s:
+        return [[]]
+    return [[k, *rest] for k in p if s.startswith(k) for rest in segmentations(s[len(k) :], p)]
 
 
-def test_op2_counts_base_and_score(spark, sf_dir):
+def test_lattice_sums_all_segmentations(monkeypatch):
+    mark = lattice.MARK.encode()
+    p = {mark + b"a": 0.2, mark: 0.1, b"a": 0.1, b"b": 0.15, b"ab": 0.25, b"ba": 0.05, mark + b"ab": 0.15}
+    words = [b"a", b"ab", b"aba", b"abab", b"baab", b"z", b"bb", b"az"]
+    times = np.array([1.0, 2, 3, 1, 5, 7, 1, 2])
+    for long in (64, 2):  # many words at once, and words by themselves
+        monkeypatch.setattr(lattice, "LONG", long)
+        sums = lattice.Lattice([*p], np.log([*p.values()]))
+        uses, got = np.zeros(len(p)), sums(words)
+        for w, n, x in zip(words, times, got, strict=True):
+            ways = segmentations(mark + w, p)
+            each = [np.prod([p[k] for k in way]) for way in ways]
+            assert x == (pytest.approx(log(sum(each)), rel=1e-12) if ways else float("-inf"))
+            for way, q in zip(ways, each, strict=True):
+                for k in way:
+                    uses[[*p].index(k)] += n * q / sum(each)
+        assert sums.expected(words, times) == pytest.approx(uses, rel=1e-9)
+        assert sums([]).tolist() == [] and sums([b""])[0] == pytest.approx(log(p[mark]))
+
+
+def brute_scores(tokens, held, rounds):
+    """log10 of each text's probability, by the vocabulary's pieces and a walk over all segmentations of each word."""
+    weight = Counter()
+    for piece, rank in lattice.vocabulary(lattice.piece_model()):
+        if piece:
+            weight[piece] += 1 / (rank + 10)
+    prior = {k: lattice.PRIOR * x / sum(weight.values()) for k, x in weight.items()}
+    mark, uses, c = lattice.MARK.encode(), Counter(), Counter()
+    for i, words in tokens.items():
+        if not held[i]:
+            c.update(words)
+    longest = max(map(len, prior))
+
+    def walk(s, p):
+        """Sum up to each place, sum from each place, and the edges."""
+        edges = [(i, j, s[i:j]) for i in range(len(s)) for j in range(i + 1, min(len(s), i + longest) + 1) if s[i:j] in p and s[i:j].startswith(mark) == (i == 0)]
+        up, down = [1.0] + [0.0] * len(s), [0.0] * len(s) + [1.0]
+        for i, j, k in edges:
+            up[j] += up[i] * p[k]
+        for i, j, k in reversed(edges):
+            down[i] += p[k] * down[j]
+        return up, down, edges
+
+    for turn in range(rounds + 1):
+        end = c[b""] + lattice.PRIOR * lattice.LONE_END
+        total = sum(prior.values()) + sum(uses.values()) + end
+        p = {k: (x + uses[k]) / total for k, x in prior.items()}
+        if turn == rounds or not c:
+            break
+        uses = Counter()
+        for w, n in c.items():
+            if w:
+                up, down, edges = walk(mark + w, p)
+                for i, j, k in edges:
+                    uses[k] += n * up[i] * p[k] * down[j] / down[0]
+    assert sum(p.values()) + end / total == pytest.approx(1)
+    word = {w: walk(mark + w, p)[1][0] if w else end / total for w in {w for words in tokens.values() for w in words}}
+    return {i: sum(log10(word[w]) for w in words) for i, words in tokens.items()}
+
+
+def test_op2_equals_brute_force(spark, sf_dir):
     rng = random.Random(4)
-    rows = [(i, ODD[i] if i < len(ODD) else text_of(rng, rng.randint(1, 60)), rng.choice(["en", "fr", None])) for i in range(80)]
+    odd = [t if t is None or len(t) < 300 else t[:40] for t in ODD]
+    rows = [(i, odd[i] if i < len(odd) else text_of(rng, rng.randint(1, 60)), rng.choice(["en", "fr", None])) for i in range(80)]
     got = {r.doc_id: r for r in lattice.op2_lattice_likelihood(spark, sf_dir(rows)).collect()}
     tokens = {i: (t or "").encode().lower().split() + [b""] for i, t, _ in rows}
+    held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in tokens}
     c = Counter()
     for i, w in tokens.items():
-        if zlib.crc32(str(i).encode()) % 10:
+        if not held[i]:
             c.update(w)
     n, v = sum(c.values()), len(c)
+    want = brute_scores(tokens, held, lattice.ROUNDS)
     for i, w in tokens.items():
         r = got[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, zlib.crc32(str(i).encode()) % 10 == 0)
+        assert (r.n_tokens, r.n_known, r.train_tokens, r.held_out) == (len(w), sum(c[x] > 0 for x in w), n, held[i])
         assert r.base_score == pytest.approx(sum(log10((c[x] + 0.1) / (n + 0.1 * (v + 1))) for x in w), rel=1e-9)
-        assert r.score < 0 and r.score > -1e6
+        assert r.score == pytest.approx(want[i], rel=1e-9)
 
 
-def test_urn_formula():
-    """The document's probability is the urn's, mixed over labels."""
-    import pandas as pd
+def test_op2_very_long_words_and_texts(spark, sf_dir):
+    rng = random.Random(41)
+    rows = [(3, "x" * 200_000), (4, text_of(rng, 400_000)), (5, "ab " * 10), (5, "ab " * 10)]
+    got = {r.doc_id: r for r in lattice.op2_lattice_likelihood(spark, sf_dir(rows)).collect()}
+    assert got[3].n_tokens == 2 and np.isfinite(got[3].score) and got[4].n_tokens == 400_001 and got[5].score > got[4].score
+
 
-    p = np.array([[0.5, 0.3, 0.2], [0.1, 0.2, 0.7]])
-    words = pd.DataFrame({"at": [0, 1, 2], "c": [3, 0, 1], "p0": np.log(p[0]), "p1": np.log(p[1])})
-    docs = pd.DataFrame({"key": [7], "held": [True], "low": [np.array([0, 2], "<u2").tobytes()], "high": [np.array([0, 0], "<u2").tobytes()], "n": [np.array([3, 1], "<u4").tobytes()]})
-    out = lattice._document_scores([0.25, 0.75], 10.0)(words, docs).iloc[0]
-    each = [lgamma(3 + 10 * q[0]) - lgamma(10 * q[0]) + lgamma(1 + 10 * q[2]) - lgamma(10 * q[2]) - lgamma(14) + lgamma(10) for q in p]
-    assert out["score"] == pytest.approx(log10(sum(s * np.exp(e) for s, e in zip([0.25, 0.75], each, strict=True))), rel=1e-9)
-    assert (out["n_tokens"], out["n_known"]) == (4, 4)
+def test_training_makes_texts_likelier(spark, sf_dir):
+    rng = random.Random(42)
+    rows = [(i, text_of(rng, 200)) for i in range(200)]
+    docs = spark.read.parquet(sf_dir(rows) + "/documents.parquet")
+    of = lambda rounds: sum(r.score for r in lattice.score_documents(docs, lattice.crc_remainder("doc_id", 10) == 0, lattice.piece_model(), rounds=rounds).where("held_out").collect())
+    assert of(2) > of(1) > of(0)
 
 
 def test_op2_without_training_rows_and_empty(spark, sf_dir):
