@@ -6,6 +6,8 @@ piece's probability begins as its score (as a rank, read as Zipf's law) and take
 training documents, by forward and backward recursions over all segmentations (EM, ROUNDS times). Probabilities sum to 1
 over all pieces, so a text's score is the log10 of the sum over its segmentations of their pieces' product: the marginal
 probability of the text, by a forward recursion in log space. Words outside the vocabulary are bytes, which are pieces too.
+Beside it stands word_score, of a lattice that has each training word as one more edge over all of it, with an absolute
+discount that goes to the pieces: closer to the corpus, but most of it isn't the vocabulary's.
 
 Texts are read once: blocks of documents become lists of indices into the block's own dictionary. Dictionaries (one row
 per block and word) meet the counts and scores of all words and go back to their block, so what moves is far less than
@@ -35,7 +37,7 @@ from .common import drop_settled, read, settle, tidied
 BLOCK = 16_000_000
 MARK = "▁"
 #: Pseudo-count of the vocabulary's own scores, the end's share of them, and rounds of re-estimation.
-PRIOR, LONE_END, ROUNDS = 16_000.0, 1e-3, 2
+PRIOR, LONE_END, ROUNDS = 16_000.0, 1e-3, 3
 #: Words that are segmented at once, and bytes of a word from which on it is segmented by itself.
 AT_ONCE, LONG = 100_000, 64
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -256,26 +258,34 @@ def _word_scores(model):
     return run
 
 
-def _document_scores(words, docs):
-    """One block: its dictionary with scores, its documents."""
-    import pandas as pd
-
-    at = np.argsort(words["at"].to_numpy())
-    p, c = words["p"].to_numpy(float)[at] / math.log(10), words["c"].to_numpy()[at]
-    known, base = c > 0, np.log10(c + 0.1)
-    rows = []
-    for low, high, n in zip(docs["low"], docs["high"], docs["n"], strict=True):
-        i = np.frombuffer(low, "<u2").astype(np.int64) + (np.frombuffer(high, "<u2").astype(np.int64) << 16)
-        k = np.frombuffer(n, "<u4").astype(np.int64)
-        rows.append((int(k.sum()), int(k[known[i]].sum()), float(k @ base[i]), float(k @ p[i])))
-    out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score"])
-    out.insert(0, "held_out", docs["held"].to_numpy())
-    out.insert(0, "key", docs["key"].astype("Int64").to_numpy())
-    return out
+def _document_scores(tokens: int, kinds: int, discount: float):
+    """One block: its dictionary with scores, its documents. Of the training: tokens, their kinds, and what seen words leave to unseen ones."""
+
+    def run(words, docs):
+        import pandas as pd
+
+        at = np.argsort(words["at"].to_numpy())
+        p, c = words["p"].to_numpy(float)[at], words["c"].to_numpy()[at]
+        known, base = c > 0, np.log10(c + 0.1)
+        whole = p
+        if tokens:
+            with np.errstate(divide="ignore"):
+                whole = np.logaddexp(np.log(np.maximum(c - discount, 0) / tokens), math.log(discount * kinds / tokens) + p)
+        p, whole, rows = p / math.log(10), whole / math.log(10), []
+        for low, high, n in zip(docs["low"], docs["high"], docs["n"], strict=True):
+            i = np.frombuffer(low, "<u2").astype(np.int64) + (np.frombuffer(high, "<u2").astype(np.int64) << 16)
+            k = np.frombuffer(n, "<u4").astype(np.int64)
+            rows.append((int(k.sum()), int(k[known[i]].sum()), float(k @ base[i]), float(k @ p[i]), float(k @ whole[i])))
+        out = pd.DataFrame(rows, columns=["n_tokens", "n_known", "base", "score", "word_score"])
+        out.insert(0, "held_out", docs["held"].to_numpy())
+        out.insert(0, "key", docs["key"].astype("Int64").to_numpy())
+        return out
+
+    return run
 
 
 def score_documents(docs: DataFrame, held_out: Column, model: str, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row; training rows are those not held out."""
+    """(key, held_out, n_tokens, n_known, train_tokens, base_score, score, word_score) of every row; training rows are those not held out."""
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), held_out.alias("held"), F.col(f"`{text}`").alias("text"))
     schema = "block bigint, word binary, at int, c bigint, key bigint, held boolean, low binary, high binary, n binary"
@@ -283,7 +293,10 @@ def score_documents(docs: DataFrame, held_out: Column, model: str, key: str = "d
     dictionary = encoded.where("word is not null").select("block", "word", "at", "c")
     words = settle(dictionary.groupBy("word").agg(F.sum("c").alias("c")), "words")
     ends = F.coalesce(F.sum(F.when(F.octet_length("word") == 0, F.col("c"))), F.lit(0))
-    sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), ends.alias("docs")).first()
+    sums = words.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count_if(F.col("c") > 0).alias("v"), F.count_if(F.col("c") == 1).alias("once"), F.count_if(F.col("c") == 2).alias("twice"), ends.alias("docs"),
+    ).first()
+    discount = min(0.9, max(0.1, sums["once"] / (sums["once"] + 2 * sums["twice"]))) if sums["once"] else 0.5
 
     prior = prior_counts(vocabulary(model))
     pieces, counts = [*prior], np.array([*prior.values()])
@@ -310,12 +323,12 @@ def score_documents(docs: DataFrame, held_out: Column, model: str, key: str = "d
     answers = dictionary.select("block", "word", "at").join(scored, "word").select("block", "at", "c", "p")
     texts = encoded.where("word is null").select(F.col("block").alias("of"), "key", "held", "low", "high", "n")
     out = answers.groupBy("block").cogroup(texts.groupBy("of")).applyInPandas(
-        _document_scores, "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double"
+        _document_scores(sums["n"], sums["v"], discount), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, word_score double"
     )
     per_token = math.log10(sums["n"] + 0.1 * (sums["v"] + 1))
     return out.select(
         F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(sums["n"]).cast("bigint").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), "score",
+        (F.col("base") - F.col("n_tokens") * per_token).alias("base_score"), "score", "word_score",
     )
 
 
