@@ -10,8 +10,10 @@ more share a shingle among the first n - ceil(t n) + 1 of each (the prefix).
    thousands of near copies are one component before any list is paired.
 3. The prefixes of all groups are listed by shingle. Lists within one component are done with. In the others every pair of
    groups of different components is a candidate, with its number of common prefix shingles; the bound on the overlap
-   that this number and the rest of the sets allow drops most.
-4. Group pairs are expanded to class pairs and verified on the whole sets. Links of 2 and 4 give the components.
+   that this number and the rest of the sets allow drops most. Who may be near to a member of a large component is not
+   paired with each of its members.
+4. Group pairs are expanded to class pairs and verified on the whole sets; members of large components and those that may
+   be near to one are compared part by part, by a sparse product. Links of 2 and 4 give the components.
 
 Links inside a component are skipped up to here, none between components is. A link needs no cap: list, group and
 component sizes only decide what step 3 has left to do.
@@ -218,15 +220,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _asked(lists: DataFrame, tried: DataFrame, turn: int, percent: int) -> DataFrame:
-    """For each component one pair (a, b, m) that hasn't been tried: with the centre of one of its lists (key, c, n, short, comp)."""
+    """For each component one pair (a, b, m) that hasn't been tried: with the centre of one of its lists (key, c, n, short, held, comp).
+
+    A list's centre is a member whose keys most others have (held: how many in all), which edits of one text are nearest
+    to; from turn to turn another one of about the most.
+    """
     row = F.struct("c", "n", "short", "comp")
-    centre = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.min_by(row, F.xxhash64(F.lit(turn), "comp", "c")).alias("y"))
-    met = lists.join(centre.where("low != high").select("key", "y"), "key").where(f"comp != y.comp and 100 * n >= {percent} * y.n and 100 * y.n >= {percent} * n")
+    drawn = F.xxhash64(F.lit(turn), "c")
+    weight = F.col("held") * (1 - 0.1 * turn * F.pmod(drawn, F.lit(1024)) / 1024)
+    centre = lists.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.max_by(row, F.struct(weight, drawn)).alias("y"))
+    centre = settle(centre.where("low != high").select("key", "y"), "centres")
+    met = lists.join(no_more_than(centre, SENT // 8), "key").where(f"comp != y.comp and 100 * n >= {percent} * y.n and 100 * y.n >= {percent} * n")
     met = met.withColumn("shared", F.size(F.array_intersect("short", "y.short"))).where(F.col("shared") >= F.least("n", "y.n", F.lit(ALIKE)))
     met = met.select("comp", "shared", F.col("c").alias("a"), F.col("y.c").alias("b"), (F.col("n") + F.col("y.n")).alias("m"))
     met = met.join(tried, ["a", "b"], "left_anti")
     best = F.max_by(F.struct("a", "b", "m"), F.struct("shared", F.xxhash64("a", "b")))
-    return met.groupBy("comp").agg(best.alias("p")).select("p.*").distinct()
+    out = settle(met.groupBy("comp").agg(best.alias("p")).select("p.*").distinct(), "pairs")
+    drop_settled(centre)
+    return out
 
 
 def _between(rows: DataFrame, low: str, high: str) -> DataFrame:
@@ -250,37 +261,35 @@ def _enough(c, m, k, percent: int):
 
 
 def _against_large(percent: int):
-    """Common prefix shingles of a large component's members with others: the lists that both are in are counted up."""
+    """Which others have so many prefix shingles in common with a member of a large component that they may be near: (large, id)."""
 
     def run(key, members, others):
         import pandas as pd
 
-        none = pd.DataFrame({x: pd.Series(dtype="int64") for x in "abc"})
         if not len(members) or not len(others):
-            return none
-        # an id of several texts stands once for each size
+            return pd.DataFrame({"large": [], "id": []}, dtype="int64")
         both = np.stack([np.concatenate(members[c].to_list()) for c in ("ids", "ns")], 1)
         unique, at = np.unique(both, axis=0, return_inverse=True)
-        ids, size = unique[:, 0], unique[:, 1]
+        size = unique[:, 1]
         lists = dict(zip(members["key"], np.split(at.reshape(-1), np.cumsum([len(i) for i in members["ids"]])[:-1]), strict=True))
-        out, others = [], others.sort_values(["id", "n"], kind="stable")
+        out = []
         for (z, n), rows in others.groupby(["id", "n"], sort=False):
-            c = np.zeros(len(ids), np.int64)
+            c = np.zeros(len(size), np.int64)
             for k in rows["key"]:
                 c[lists[k]] += 1
             least, most = np.minimum(size, n), np.maximum(size, n)
-            hit = np.flatnonzero((c > 0) & (100 * least >= percent * most) & _enough(c, size, np.full(len(ids), n), percent))
-            if len(hit):
-                out.append(pd.DataFrame({"a": np.minimum(ids[hit], z), "b": np.maximum(ids[hit], z), "c": c[hit]}))
-        return pd.concat(out) if out else none
+            if ((c > 0) & (100 * least >= percent * most) & _enough(c, size, np.full(len(size), n), percent)).any():
+                out.append(z)
+        return pd.DataFrame({"large": key[0], "id": out}, dtype="int64")
 
     return run
 
 
-def _met(mixed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components in the lists (key, id, n, alone, comp), with c, their common lists, where c is enough.
+def _met(mixed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of the lists (key, id, n, alone, comp), pairs (a, b) of different components with c, their common lists, where c is enough;
+    and (large, id): who may be near to a member of a large component.
 
-    What is alone is in no component; its comp isn't looked at. Ids of several texts are told apart by the size n.
+    What is alone is in no component; its comp isn't looked at.
 
     Small components are paired by a join. Of large ones the members stand as arrays, at most about MEMBERS of them, so
     that a document which shares many lists with a large component costs a row a list, not one for each member.
@@ -292,7 +301,7 @@ def _met(mixed: DataFrame, percent: int) -> DataFrame:
     sized = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
     small = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {sized} and (x.alone or y.alone or x.comp != y.comp)"))
     small = small.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("k")).agg(F.count("*").alias("c"))
-    small = small.where(_enough(F.col("c"), F.col("m"), F.col("k"), percent)).select("a", "b", "c")
+    small = settle(small.where(_enough(F.col("c"), F.col("m"), F.col("k"), percent)).select("a", "b", "c"), "met")
 
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     lists = rows.where("large is not null").select("large", part.alias("part"), "key", "id", F.col("n").cast("bigint").alias("n"))
@@ -305,8 +314,47 @@ def _met(mixed: DataFrame, percent: int) -> DataFrame:
     others = others.select(F.col("large").alias("l"), F.col("part").alias("p"), salt.alias("s"), "key", "id", "n")
     spread = lists.join(settle(others.select("l", "p", "s").distinct(), "asked"), (F.col("large") == F.col("l")) & (F.col("part") == F.col("p")))
     spread = spread.select("large", "part", F.col("s").alias("salt"), "key", "ids", "ns")
-    met = spread.groupBy("large", "part", "salt").cogroup(others.groupBy("l", "p", "s")).applyInPandas(_against_large(percent), "a bigint, b bigint, c bigint")
-    return small.union(met)
+    near_large = spread.groupBy("large", "part", "salt").cogroup(others.groupBy("l", "p", "s")).applyInPandas(_against_large(percent), "large bigint, id bigint")
+    near_large = settle(near_large.distinct(), "near_large")
+    drop_settled(lists)
+    return small, near_large
+
+
+def _first_links(percent: int):
+    """Of a part of a large component (own) and a part of those that may be near to it: a link (a, b) for each that is."""
+
+    def run(key, rows):
+        import pandas as pd
+
+        rows = rows.drop_duplicates(["c", "own"]).sort_values("own", kind="stable")
+        c, split = rows["c"].to_numpy(), int((~rows["own"]).sum())
+        if split in (0, len(rows)):
+            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
+        hit = near_matrix([np.frombuffer(x, "<u8") for x in rows["set"]], split, percent)
+        found = np.flatnonzero(hit.any(axis=1))
+        return pd.DataFrame({"a": c[found], "b": c[split + hit[found].argmax(axis=1)]})
+
+    return run
+
+
+def blocks_of(near_large: DataFrame, labelled: DataFrame) -> DataFrame:
+    """(large, p, q, c, own): members of large components, and the classes (of the groups in near_large) to compare with them.
+
+    Both are dealt into parts of about PART classes and PART_SHINGLES shingles, and each part of the members meets each of the others.
+    """
+    many = lambda: F.greatest(F.ceil(F.count("*") / PART), F.ceil(F.sum("n") / PART_SHINGLES)).cast("int")
+    asking = near_large.join(labelled, near_large["id"] == labelled["gid"]).where("comp != large").select("large", "c", "n")
+    asking = settle(asking, "asking")
+    asked = asking.select("large").distinct()
+    members = labelled.join(asked, labelled["comp"] == asked["large"]).select("large", "c", "n")
+    parts = members.groupBy("large").agg(many().alias("ps")).join(asking.groupBy("large").agg(many().alias("qs")), "large")
+    parts = settle(parts, "parts")
+    dealt = lambda rows, mine, theirs, own: rows.join(parts, "large").select(
+        "large", F.pmod(F.xxhash64("c"), F.col(mine)).cast("int").alias("mine"), F.explode(F.sequence(F.lit(0), F.col(theirs) - 1)).alias("theirs"), "c", F.lit(own).alias("own")
+    )
+    inner = dealt(members, "ps", "qs", True).select("large", F.col("mine").alias("p"), F.col("theirs").alias("q"), "c", "own")
+    outer = dealt(asking, "qs", "ps", False).select("large", F.col("theirs").alias("p"), F.col("mine").alias("q"), "c", "own")
+    return settle(inner.union(outer), "blocks")
 
 
 def near_matrix(sets: list[np.ndarray], split: int, percent: int) -> np.ndarray:
@@ -444,11 +492,12 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     held = heavy.select("sig", "n", "short").join(numbers, "sig").select("c", "n", "short").dropDuplicates(["c"])
     lists = held.select("c", "n", "short", F.explode("short").alias("key"))
     lists = settle(lists, "short")
-    shared = lists.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+    shared = lists.groupBy("key").agg(F.count("*").alias("k")).where("k > 1")
     # who shares too few of its keys with anybody has no neighbour here
     shared = settle(lists.select("c", "n", "key").join(shared, "key"), "shared")
-    able = shared.groupBy("c").agg(F.count("*").alias("k"), F.first("n").alias("n")).where(F.col("k") >= F.least("n", F.lit(ALIKE))).select("c")
-    alike = settle(lists.join(shared.join(able, "c", "left_semi").select("c", "key"), ["c", "key"], "left_semi"), "alike")
+    able = shared.groupBy("c").agg(F.count("*").alias("many"), F.first("n").alias("n"), F.sum("k").alias("held"))
+    able = able.where(F.col("many") >= F.least("n", F.lit(ALIKE))).select("c", "held")
+    alike = settle(lists.join(shared.join(able, "c").select("c", "key", "held"), ["c", "key"]), "alike")
     drop_settled(lists, shared)
     fetched = alike.select("c").union(inside.select("a")).union(inside.select("b")).union(links.select("a")).union(links.select("b"))
     fetched = settle(fetched.distinct(), "fetched")
@@ -459,7 +508,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     labelled = _labelled(links, classes_of)
     for turn in range(TURNS):
         now = alike.join(labelled.select("c", "comp"), "c")
-        pairs = settle(_asked(now, tried, turn, percent), "pairs")
+        pairs = _asked(now, tried, turn, percent)
         found = verified(pairs, sets, percent)
         tried = tried.union(pairs.select("a", "b")).union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         if found.isEmpty():
@@ -472,18 +521,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     swept(docs.sparkSession)
 
     # what lies between the components so far
-    listed = heavy.select("gid", "n", F.explode("prefix").alias("key"))
-    listed = settle(_between(listed, "gid", "gid"), "listed")
-    spread = labelled.groupBy("gid").agg(F.min("c").alias("id"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+    listed = settle(_between(heavy.select("gid", F.explode("prefix").alias("key")), "gid", "gid"), "listed")
+    ends = settle(heavy.select("gid", "n", F.element_at("prefix", -1).alias("end"), F.size("prefix").alias("p")).distinct(), "ends")
+    drop_settled(sketches)
+    swept(docs.sparkSession)
+    spread = labelled.groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # a group stands in a list once for each task that met it
     listed_of = listed.distinct().join(spread, "gid").select("key", "gid", "n", "lo", "hi")
     # a group with classes of several components stands alone
     mixed = _between(listed_of, "lo", "hi").select("key", F.col("gid").alias("id"), "n", (F.col("lo") != F.col("hi")).alias("alone"), F.col("lo").alias("comp"))
     mixed = settle(mixed, "mixed")
     drop_settled(listed)
-    met = settle(_met(mixed, percent), "met")
-    ask = met.select(F.col("a").alias("gid")).union(met.select(F.col("b").alias("gid"))).distinct()
-    ends = heavy.select("gid", "n", F.element_at("prefix", -1).alias("end"), F.size("prefix").alias("p")).join(ask, "gid", "left_semi").distinct()
+    met, near_large = _met(mixed, percent)
     of_a = ends.select(F.col("gid").alias("a"), F.col("n").alias("na"), F.col("p").alias("pa"), F.col("end").alias("ea"))
     of_b = ends.select(F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("p").alias("pb"), F.col("end").alias("eb"))
     most = F.col("c") + F.when(F.col("ea") <= F.col("eb"), F.col("na") - F.col("pa")).otherwise(F.col("nb") - F.col("pb"))
@@ -495,12 +544,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     within = left.join(several, "a", "left_semi").join(right, F.col("a") == F.col("b")).where("x < y and cx != cy").select("x", "y", "nx", "ny")
     pairs = across.union(within).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("m"))
     pairs = settle(pairs.distinct(), "candidates")
-    drop_settled(mixed, met, sketches)
-    rest = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct().join(fetched, "c", "left_anti")
+    blocks = blocks_of(near_large, labelled)
+    drop_settled(mixed, met, near_large, ends)
+    rest = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(blocks.select("c")).distinct().join(fetched, "c", "left_anti")
     more = sets_of(docs, classes.join(rest, "c", "left_semi").select("c", "id", "sig"), width)
     sets = sets.union(more)
-    links = labelled.where("c != comp").select(F.col("c").alias("a"), F.col("comp").alias("b")).union(verified(pairs, sets, percent))
-    drop_settled(pairs)
+    found = sets.join(no_more_than(blocks, SENT // 4), "c").groupBy("large", "p", "q").applyInPandas(_first_links(percent), "a bigint, b bigint")
+    found = verified(pairs, sets, percent).union(settle(found, "links"))
+    links = labelled.where("c != comp").select(F.col("c").alias("a"), F.col("comp").alias("b")).union(found)
+    drop_settled(pairs, blocks)
     last = _labelled(links, classes.select("c", "n", "id", "sig"))
     swept(docs.sparkSession)
 

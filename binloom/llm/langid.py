@@ -2,16 +2,17 @@
 
 A text is cut into windows of WINDOW bytes. Each byte has a learned vector; filters of several widths slide over a window,
 each filter's maximum over the window goes on, and a softmax gives the labels' probabilities. A text's probabilities are
-the means of its windows', weighted by their bytes. The network is trained in numpy on the driver, on a bounded sample of
-labelled rows: about TRAIN_ROWS rows, as many of each label, chosen by hash, and up to two windows of each.
+the means of its windows', weighted by their bytes. The network is trained in numpy on the driver, on a bounded sample of the
+labelled rows' windows: whole texts are cut, and about TRAIN_WINDOWS windows, as many of each label, are chosen by hash.
 
-Defined results: a text that is null or has no letter is `und`, with score 0; so is every text if there is no labelled row.
-With one label, every text with a letter has it, with score 1. Repeated rows are predicted each.
+Defined results: a text that is null or has no letter (a character that Unicode calls one: digits, fractions and number signs
+aren't) is `und`, with score 0; so is every text if there is no labelled row. With one label, every text with a letter has
+it, with score 1. The MOST_LABELS most frequent labels are learned. Repeated rows are predicted each. Other columns are
+carried along under any name; those called lang_pred and score are replaced.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,14 +20,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, tidied
+from .common import fresh, read, tidied
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 8
 DIM = 8
-TRAIN_ROWS = 8000
-LETTER = re.compile(r"[^\W\d_]")
+#: Bounds of what training brings to the driver, whatever the input.
+TRAIN_WINDOWS, MOST_LABELS = 16_000, 1000
+
+
+def lettered(text: str | None) -> bool:
+    return any(map(str.isalpha, text or ""))
 
 
 class ByteConv:
@@ -120,32 +125,31 @@ def windows(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(flat, np.uint8).reshape(-1, WINDOW), owner, size
 
 
-def fit(docs: DataFrame, for_training: Column, label: str = "lang", text: str = "text", rows: int = TRAIN_ROWS) -> ByteConv | None:
+def fit(docs: DataFrame, for_training: Column, label: str = "lang", text: str = "text", most: int = TRAIN_WINDOWS) -> ByteConv | None:
     """Train on labelled rows of docs that are for training; None if there are none."""
-    place = F.pmod(F.xxhash64(text), F.greatest(F.length(text) - 500, F.lit(1))).cast("int")
-    labelled = docs.where(for_training & F.col(label).isNotNull() & F.col(text).isNotNull())
-    counts = {r["label"]: r["count"] for r in labelled.groupBy(F.col(label).alias("label")).count().collect()}
+    labelled = docs.where(for_training & F.col(f"`{label}`").isNotNull() & F.col(f"`{text}`").isNotNull())
+    labelled = labelled.select(F.col(f"`{label}`").cast("string").alias("label"), F.encode(F.col(f"`{text}`"), "UTF-8").alias("bytes"))
+    n = F.ceil(F.octet_length("bytes") / WINDOW).cast("int")
+    counts = labelled.groupBy("label").agg(F.sum(n).alias("n"), F.count("*").alias("rows")).orderBy(F.desc("rows"), "label").limit(MOST_LABELS).collect()
     if not counts:
         return None
-    labels = sorted(counts)
-    # by hash, so that the rows chosen don't depend on how the table is dealt
-    each = rows / len(labels)
-    share = F.create_map(*[F.lit(x) for k in labels for x in (k, min(1.0, each / counts[k]))])[F.col(label)]
-    chosen = (F.pmod(F.xxhash64(text, F.lit("train")), F.lit(1 << 30)) / float(1 << 30)) < share
-    sample = labelled.where(chosen).select(F.substring(text, place + 1, F.lit(500)).alias("text"), label).orderBy(F.xxhash64("text")).limit(2 * rows).collect()
+    labels = sorted(r["label"] for r in counts)
+    # by hash, so that the windows chosen don't depend on how the table is dealt
+    share = F.create_map(*[F.lit(x) for r in counts for x in (r["label"], min(1.0, most / len(labels) / max(1, r["n"])))])[F.col("label")]
+    drawn = lambda k: F.pmod(F.xxhash64("h", k), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.where(n > 0).select("label", "bytes", F.xxhash64("bytes").alias("h"), share.alias("share"), n.alias("n"))
+    rows = rows.withColumn("k", F.explode(F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda k: drawn(k) < F.col("share"))))
+    sample = rows.select("label", F.substring("bytes", F.col("k") * WINDOW + 1, F.lit(WINDOW)).alias("window")).orderBy(F.xxhash64("window"), "label").limit(2 * most).collect()
     rng = np.random.default_rng(11)
     x, y = [], []
     for r in sample:
-        if not LETTER.search(r["text"]):
+        part = bytes(r["window"])
+        if not lettered(part.decode("utf-8", "ignore")):
             continue
-        b = r["text"].encode("utf-8", "replace")
-        for at in (0, WINDOW):
-            part = b[at : at + WINDOW]
-            if rng.random() < 0.4:  # short texts, too
-                part = part[: int(rng.integers(12, WINDOW))]
-            if part:
-                x.append(part.ljust(WINDOW, b"\0"))
-                y.append(labels.index(r[label]))
+        if rng.random() < 0.4:  # short texts, too
+            part = part[: int(rng.integers(12, WINDOW))]
+        x.append(part.ljust(WINDOW, b"\0"))
+        y.append(labels.index(r["label"]))
     net = ByteConv(labels)
     if len(labels) > 1 and x:
         net.train(np.frombuffer(b"".join(x), np.uint8).reshape(-1, WINDOW), np.array(y))
@@ -154,14 +158,14 @@ def fit(docs: DataFrame, for_training: Column, label: str = "lang", text: str =
 
 def predict(net: ByteConv | None, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     label, score = ["und"] * len(texts), np.zeros(len(texts))
-    lettered = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if net else []
+    there = [i for i, t in enumerate(texts) if lettered(t)] if net else []
     at = 0
-    while at < len(lettered):
+    while at < len(there):
         end, size = at, 0
-        while end < len(lettered) and size < 4_000_000:
-            size += len(texts[lettered[end]])
+        while end < len(there) and size < 4_000_000:
+            size += len(texts[there[end]])
             end += 1
-        part = lettered[at:end]
+        part = there[at:end]
         w, owner, n = windows([texts[i].encode("utf-8", "replace") for i in part])
         p = net.probabilities(w) * n[:, None]
         starts = np.searchsorted(owner, np.arange(len(part)))
@@ -189,7 +193,8 @@ def identify(docs: DataFrame, net: ByteConv | None, text: str = "text", keep: li
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "lang_pred string", "score double"])
-    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias("_text")).mapInArrow(tidied(run), schema)
+    (whole_text,) = fresh(names, "text")
+    return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(whole_text)).mapInArrow(tidied(run), schema)
 
 
 def op4_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,8 @@ its source as one partner, is rounded, and the rest's common fraction takes up t
 so reruns agree however rows are dealt.
 
 Defined results: a null text has 0 words and takes 0; a null source is a source, the last; repeated rows are documents of
-their own; an empty table gives an empty table; a source without words has target 0. Only DataFrame operations are used.
+their own; an empty table gives an empty table; a source without words has target 0. Other columns may have any name: resample
+leaves all as they are, mix replaces those named as one that it adds. Only DataFrame operations are used.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, read, settle
+from .common import WORD, no_more_than, read, settle
 
 BLOCK = 256
 #: Size classes per factor e.
 CLASSES = 24
 GIANTS = 32
+#: Repeated rows of one kind that are numbered in one task, and rows up to which a table is sent to all executors.
+HOT, SENT = 10_000, 500_000
 
 
 def n_words(text: Column) -> Column:
@@ -144,18 +147,40 @@ def _giants(units: DataFrame, seed: int, most: float) -> DataFrame:
     return by.select("source", F.aggregate("giants", start, step).alias("s"))
 
 
-def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
-    """Rows of docs (needed: doc_id, source, text) with size, source_size, target and copies, a bigint, appended.
+def numbered(rows: DataFrame, key: str, out: str) -> DataFrame:
+    """rows with out, which counts the rows of each key from 1. A key of more than HOT rows is counted in several parts.
 
-    keep names the columns to carry, by default all. Columns named as one of the four are replaced. The rows carried
-    move once: repeated rows are numbered where they meet the counts of their kind.
+    Rows are dealt into parts by their place in the table, so rows must come in the same order each time, as from files.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "copies")]
-    rows = docs.select(
-        *[F.col(f"`{c}`") for c in kept], F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("_key")
-    )
-    rows = rows.withColumn("_row", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    small = settle(rows.select(F.col("_source").alias("source"), "size", "_key", "_row"), "sizes")
+    hot = rows.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT)
+    hot = settle(hot.select(F.col(key).alias("_hot"), F.ceil(F.col("_n") / HOT).alias("_parts")), "hot")
+    if hot.isEmpty():
+        return rows.withColumn(out, F.row_number().over(Window.partitionBy(key).orderBy(key)).cast("bigint"))
+    names = [F.col(c) for c in rows.columns]
+    # the place comes first, as a join may deal rows anew
+    dealt = rows.withColumn("_at", F.monotonically_increasing_id()).join(no_more_than(hot, SENT), F.col(key) == F.col("_hot"), "left")
+    dealt = dealt.select(*names, "_hot", F.coalesce(F.pmod("_at", "_parts"), F.lit(0)).alias("_part"))
+    sizes = dealt.where("_hot is not null").groupBy("_hot", "_part").agg(F.count("*").alias("_n"))
+    ahead = F.sum("_n").over(Window.partitionBy("_hot").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    before = settle(sizes.select(F.col("_hot").alias("_of"), F.col("_part").alias("_p"), F.coalesce(ahead, F.lit(0)).alias("_before")), "before")
+    dealt = dealt.withColumn(out, F.row_number().over(Window.partitionBy(key, "_part").orderBy(key)))
+    dealt = dealt.join(no_more_than(before, SENT), (F.col("_hot") == F.col("_of")) & (F.col("_part") == F.col("_p")), "left")
+    return dealt.select(*names, (F.col(out) + F.coalesce("_before", F.lit(0))).cast("bigint").alias(out))
+
+
+def _mixed(docs: DataFrame, kept: list[str], weights: tuple, share: float, most: float, seed: int) -> DataFrame:
+    """The kept columns as c0, c1, ... with size, source_size, target and copies.
+
+    Rows move once: repeated rows are numbered where they meet the counts of their kind. Rows without their texts are
+    written, so that words are counted once.
+    """
+    carried = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)]
+    rows = docs.select(*carried, F.col("source").alias("_source"), n_words(F.col("text")).alias("size"), F.xxhash64("doc_id", "source", "text").alias("_key"))
+    rows = numbered(rows, "_key", "_row")
+    if "text" not in kept:
+        rows = settle(rows, "rows")
+    small = rows.select(F.col("_source").alias("source"), "size", "_key", "_row")
+    small = small if "text" not in kept else settle(small, "sizes")
     goal = settle(targets(small.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most), "targets")
     goal = goal.select(F.col("source").alias("_goal"), "source_size", "target")
     known = small.join(goal, small["source"].eqNullSafe(F.col("_goal"))).drop("_goal")
@@ -178,15 +203,24 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: f
     # repeated giants share what they take
     big = F.expr("_sum div _of") + (F.col("_row") <= F.col("_sum") % F.col("_of")).cast("bigint")
     n = F.coalesce(big, F.col("whole") + (F.col("_row") <= F.coalesce("_more", F.lit(0))).cast("bigint"))
-    return out.select(*[F.col(f"`{c}`") for c in kept], "size", "source_size", "target", n.cast("bigint").alias("copies"))
+    return out.select(*[f"c{i}" for i in range(len(kept))], "size", "source_size", "target", n.cast("bigint").alias("copies"))
+
+
+def mix(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17, keep: list[str] | None = None) -> DataFrame:
+    """Rows of docs (needed: doc_id, source, text) with size, source_size, target and copies, a bigint, appended.
+
+    keep names the columns to carry, by default all. Columns named as one of the four are replaced.
+    """
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("size", "source_size", "target", "copies")]
+    out = _mixed(docs, kept, weights, share, most, seed)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "size", "source_size", "target", "copies")
 
 
-def resample(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it."""
-    out = mix(docs, **how)
-    return out.where("copies > 0").select(
-        *[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("_copy")
-    ).drop("_copy")
+def resample(docs: DataFrame, weights: tuple = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 17) -> DataFrame:
+    """The rows of docs with all their columns as they are, each as often as the mix takes it."""
+    out = _mixed(docs, docs.columns, weights, share, most, seed).where("copies > 0")
+    out = out.withColumn("_nth", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

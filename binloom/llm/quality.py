@@ -1,6 +1,7 @@
 """Quality by hierarchical empirical Bayes: a document's own evidence on top of what its site is like.
 
-A logistic model of the text's shape, trained on labelled rows, gives each document a log-likelihood ratio. Sites are two
+A logistic model of the text's words, hashed to BUCKETS, and of its shape, trained on labelled rows, gives each document a
+log-likelihood ratio. Sites are two
 levels deep, host and path. Each level's documents (labels where there are any, else the model's probability at a lower
 weight) are summed by grouped aggregation; a path's rate of good documents is shrunk to its host's, a host's to the
 global rate, with strengths estimated from the spread between sites (method of moments). A document's own share is taken
@@ -15,6 +16,7 @@ labels of both kinds the evidence is 0 and the global rate one half.
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,16 +25,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, settle
+from .common import drop_settled, read, settle, tidied
 
 TRAIN_ROWS = 20_000
 #: Weight of a document without a label in its site's sums.
 UNLABELLED = 0.25
-N_FEATURES = 14
+PUNCTUATION = rb"""!"#$%&'()*+,-./:;<=>?@[\]^_`{|}~"""
+#: Numbers of a text: its shape, and the shares of its words by hash. The model has the shape's squares, too.
+N_SHAPE, BUCKETS = 14, 128
 
 
 def features(text: str | None) -> list[float]:
-    """Shape of a text: sizes in logs, shares between 0 and 1."""
+    """Shape of a text (sizes in logs, shares between 0 and 1), then the square roots of its words' shares by hash.
+
+    A word is without case and without punctuation at its ends.
+    """
     b = (text or "").encode("utf-8", "replace")
     n = max(1, len(b))
     seen = np.bincount(np.frombuffer(b, np.uint8), minlength=256)
@@ -45,22 +52,28 @@ def features(text: str | None) -> list[float]:
     white = int(seen[[9, 10, 11, 12, 13, 32]].sum())
     symbols = n - upper - lower - digits - plain - white - int(seen[128:].sum())
     kinds = Counter(lines)
+    hashed = np.zeros(BUCKETS)
+    for word, times in counts.items():
+        hashed[zlib.crc32(word.strip(PUNCTUATION).lower()) % BUCKETS] += times
     return [
         np.log1p(len(words)), np.log(n / k), upper / n, digits / n, plain / n, max(0, symbols) / n, int(seen[128:].sum()) / n, white / n,
         len(counts) / k, most / k, len(kinds) / len(lines), np.log1p(k / len(lines)), int(seen[124]) / k, sum(len(w) > 20 for w in counts) / k,
+        *np.sqrt(hashed / k).tolist(),
     ]
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         last = batch.num_columns - 1
-        rows = [features(t) for t in batch.column(last).to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(rows, pa.list_(pa.float64()))], ["id", "host", "path", "x"])
+        for i in range(0, batch.num_rows, 1000):
+            part = batch.slice(i, 1000)
+            rows = [features(t) for t in part.column(last).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[:last], pa.array(rows, pa.list_(pa.float32()))], ["id", "host", "path", "x"])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Mean, scale and weights (constant last) of a logistic model in the features and their squares, by Newton's method."""
-    x = np.hstack([x, x * x])
+    """Mean, scale and weights (constant last) of a logistic model in the features and the shape's squares, by Newton's method."""
+    x = np.hstack([x, x[:, :N_SHAPE] ** 2])
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     z = np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))])
     w = np.zeros(z.shape[1])
@@ -80,7 +93,8 @@ def _evidence(x: Column, model: tuple | None) -> Column:
     if model is None:
         return F.lit(0.0)
     (mean, scale, w), prior = model
-    every = F.concat(x, F.transform(x, lambda v: v * v))
+    x = x.cast("array<double>")
+    every = F.concat(x, F.transform(F.slice(x, 1, N_SHAPE), lambda v: v * v))
     fixed = F.array(*[F.struct(F.lit(float(m)).alias("m"), F.lit(float(s)).alias("s"), F.lit(float(v)).alias("w")) for m, s, v in zip(mean, scale, w[:-1], strict=True)])
     terms = F.zip_with(every, fixed, lambda v, c: F.greatest(F.lit(-6.0), F.least(F.lit(6.0), (v - c["m"]) / c["s"])) * c["w"])
     return F.aggregate(terms, F.lit(float(w[-1] - prior)), lambda s, t: s + t)
@@ -104,7 +118,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
     """(key, host, path, evidence, host_rate, path_rate, quality): quality is the posterior probability of a good document."""
     rows = docs.select(F.col(f"`{key}`").cast("bigint").alias("id"), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col(f"`{text}`").alias("text"))
     known = labels.where(F.col(label).isNotNull() & F.col(key).isNotNull()).groupBy(F.col(key).cast("bigint").alias("of")).agg(F.avg(F.col(label).cast("double")).alias("y"))
-    shapes = rows.mapInArrow(_shapes, "id bigint, host string, path string, x array<double>")
+    shapes = rows.mapInArrow(tidied(_shapes), "id bigint, host string, path string, x array<float>")
     shapes = settle(shapes.join(known, F.col("id") == F.col("of"), "left").drop("of"), "shapes")
     sample = shapes.where("y is not null").select("id", "x", "y").orderBy(F.xxhash64("id", F.lit("train")), "id").limit(TRAIN_ROWS).collect()
     x, y = np.array([r["x"] for r in sample]), np.array([r["y"] for r in sample])
@@ -117,6 +131,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column, key: s
     weight = F.when(F.col("y").isNotNull(), F.lit(1.0)).otherwise(F.lit(UNLABELLED))
     own = own.withColumn("w", weight).withColumn("p", F.coalesce("y", sigmoid(F.col("evidence") + base))).drop("x", "y")
     own = settle(own, "evidence")
+    drop_settled(shapes)
 
     paths = settle(own.groupBy("host", "path").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("p")).alias("s")), "paths")
     hosts = settle(paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")), "hosts")

@@ -8,7 +8,7 @@ reaches to the next '/', '_' or '-' on both sides; a run that is as random as a
 entries whatever the corpus.
 
 Defined results: a null text counts as empty and has no spans; repeated rows each get their own row; an empty table
-gives an empty table; columns other than the text are carried along (one named as the output column is replaced).
+gives an empty table; columns other than the text are carried along under any name (one named as the output column is replaced).
 Positions are code points, the end exclusive. Markov spans are found in what base spans leave of a text.
 """
 
@@ -19,6 +19,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import fresh
+
 #: kind: (pattern, group whose length counts, least length). Order breaks ties between spans with one start.
 BASE = {
     "assign": (r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -87,7 +89,6 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
         .count()
         .collect()
     )
-    
     counts = {True: [smoothing] * (k * k), False: [smoothing] * (k * k)}
     for r in rows:
         counts[r.random][r.x * k + r.y] += r["count"]
@@ -184,7 +185,7 @@ def _spans(kind: str, keep) -> Column:
 def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "secrets", least_ratio: float = 12.0) -> DataFrame:
     """The rows of docs with their spans (start, end, rank, kind, score), ordered by start, then kind."""
     kept = [c for c in docs.columns if c != out]
-    df = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
+    df = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_text"))
     for kind, (pattern, group, least) in BASE.items():
         df = _found(df, "_text", kind, pattern, HINT[kind])
         long = lambda m, p=pattern, g=group, n=least: F.length(F.regexp_extract(m, p, g)) >= n
@@ -200,8 +201,7 @@ def scan(docs: DataFrame, model: list[float], text: str = "text", out: str = "se
     random = lambda m: F.when(mixed(m), F.filter(stretches(m, model, least_ratio), lambda x: mixed(part(m, x)))).otherwise(F.array().cast(STRETCH))
     more = F.flatten(F.zip_with("_s", "_m", lambda s, m: F.transform(random(m), lambda x: span(s, x)))).cast(SPAN)
     df = df.withColumn("_more", F.when(F.size("_m") > 0, more).otherwise(F.array().cast(SPAN))).drop("_m", "_s")
-    df = df.withColumn(out, F.array_sort(F.concat("_base", "_more")))
-    return df.drop("_base", "_more", "_text")
+    return df.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.array_sort(F.concat("_base", "_more")).alias(out))
 
 
 def _replaced(text: Column, spans: Column, put) -> Column:
@@ -231,8 +231,9 @@ def blanked(text: Column, spans: Column) -> Column:
 
 def redact(docs: DataFrame, model: list[float], text: str = "text") -> DataFrame:
     """The same rows and columns with every span of the text masked; a null text stays null."""
-    found = scan(docs, model, text, "_secrets")
-    new = F.when(F.size("_secrets") > 0, masked(F.col(f"`{text}`"), F.col("_secrets"))).otherwise(F.col(f"`{text}`"))
+    (spans,) = fresh(docs.columns, "spans")
+    found = scan(docs, model, text, spans)
+    new = F.when(F.size(spans) > 0, masked(F.col(f"`{text}`"), F.col(spans))).otherwise(F.col(f"`{text}`"))
     return found.withColumn(text, new).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
