@@ -225,6 +225,41 @@ def test_resampling(spark, docs_of):
     assert mixing.resample(docs.limit(0)).count() == 0
 
 
+HELPERS = ["whole", "exact", "size", "source_size", "target", "copies", "_copy", "_key", "_row", "_source", "_more", "_sum", "_of", "rest", "words", "c0", "_n", "_nth", "_at", "_part", "_hot", "_goal", "_left", "path", "unit"]
+
+
+def test_mixing_leaves_other_columns_as_they_are(spark, docs_of):
+    rng = random.Random(71)
+    docs = docs_of([(i, text_of(rng, 20), "en", "ab"[i % 2]) for i in range(40)])
+    for c in HELPERS:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.col("doc_id").cast("string")))
+    out = mixing.resample(docs)
+    assert out.columns == docs.columns
+    rows = out.collect()
+    assert rows and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in HELPERS)
+    mixed = mixing.mix(docs).collect()
+    assert len(mixed) == 40 and all(r.whole == f"whole{r.doc_id}" and r._key == f"_key{r.doc_id}" and isinstance(r.copies, int) for r in mixed)
+
+
+def test_repeated_rows_are_numbered_in_parts(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(mixing, "HOT", 7)
+    rng = random.Random(72)
+    keys = spark.createDataFrame([(k,) for k in [1] * 50 + [2] * 9 + [3] * 7 + list(range(10, 40))], "k bigint").repartition(5).select("k")
+    path = sf_dir([(1, "same words here", "en", "a")] * 60 + [(i, text_of(rng, 30), "en", rng.choice("ab")) for i in range(2, 80)])
+    keys.write.parquet(path + "/keys")
+    got = defaultdict(list)
+    for r in mixing.numbered(spark.read.parquet(path + "/keys"), "k", "n").collect():
+        got[r.k].append(r.n)
+    assert all(sorted(v) == [*range(1, len(v) + 1)] for v in got.values()) and len(got[1]) == 50
+    rows = mixing.op3_mixing(spark, path).collect()
+    assert len(rows) == 138
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in rows:
+        sizes[r.source_size, r.target] += r.size
+        taken[r.source_size, r.target] += r.taken
+    assert all(abs(n - target) <= 31 for (_, target), n in taken.items()) and all(n == size for (size, _), n in sizes.items())
+
+
 # -- vectors --
 
 
@@ -310,6 +345,69 @@ def test_quality_follows_evidence_and_sites(spark, docs_of):
     assert len(got) == len(rows) and all(0 <= r.quality <= 1 for r in got.values())
 
 
+def strength_of(sites, parents):
+    """Method of moments over (n, s) sites: the pseudo-count that explains their spread around the parents' rates."""
+    n, s = np.array(sites, float).T
+    p, rate = np.array(parents), s / n
+    inside = (n * p * (1 - p)).sum() / n.sum()
+    between = ((n * (rate - p) ** 2).sum() - len(n) * inside) / max(1e-9, n.sum() - (n**2).sum() / n.sum())
+    return min(1e4, max(1.0, inside / between - 1 if between > 1e-9 else 1e4))
+
+
+def test_op5_equals_brute_force(spark, tmp_path, docs_of):
+    """The query's evidence against a model fitted apart, and its posteriors against plain sums over hosts and paths."""
+    rng = random.Random(31)
+    rows, labels = [], []
+    for i in range(300):
+        host, lang = rng.choice(["a", "a", "a", "b", "c", None]), rng.choice(["en", "fr", None])
+        good = rng.random() < {"a": 0.8, "b": 0.3}.get(host, 0.5)
+        rows.append((i, " ".join(rng.choice(WORDS[:15] if good else WORDS[10:]) for _ in range(rng.randint(0, 30))), lang, host))
+        if rng.random() < 0.6:
+            labels.append((i, int(good) if rng.random() < 0.9 else None, 0))
+    rows += [(1000, None, None, None), (None, "a b", "en", "a"), rows[4], rows[4]]
+    labels += [(5, 0, 0), (5, 1, 0), (None, 1, 0)]
+    docs_of(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = quality.op5_site_quality(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+
+    told = defaultdict(list)
+    for i, q, _ in labels:
+        if i is not None and q is not None:
+            told[i].append(q)
+    y = {i: float(np.mean(v)) for i, v in told.items()}
+    x = np.array([np.float32(quality.features(t)) for i, t, *_ in rows if i in y], float)
+    target = np.array([y[i] for i, *_ in rows if i in y])
+    mean, scale, w = quality.fit_logistic(x, target)
+    prior = np.log(target.mean() / (1 - target.mean()))
+    sigmoid = lambda z: 1 / (1 + np.exp(-z))
+    own, hosts, paths, parent = [], defaultdict(lambda: np.zeros(2)), defaultdict(lambda: np.zeros(2)), {}
+    for i, t, lang, host in rows:
+        v = np.array(np.float32(quality.features(t)), float)
+        z = np.clip((np.r_[v, v[: quality.N_SHAPE] ** 2] - mean) / scale, -6, 6)
+        evidence = z @ w[:-1] + w[-1] - prior
+        weight, p = (1.0, y[i]) if i in y else (quality.UNLABELLED, sigmoid(evidence + prior))
+        path = "/".join(k for k in (host, lang) if k is not None)
+        hosts[host] += (weight, weight * p)
+        paths[host, path] += (weight, weight * p)
+        own.append((i, t, host, path, evidence, weight, p))
+    everything = sum(hosts.values())
+    rate = (everything[1] + 0.5) / (everything[0] + 1)
+    to_global = strength_of([*hosts.values()], [rate] * len(hosts))
+    to_host = strength_of([*paths.values()], [min(1 - 1e-6, max(1e-6, hosts[h][1] / hosts[h][0])) for h, _ in paths])
+    want = []
+    for i, t, host, path, evidence, weight, p in own:
+        host_rate = (hosts[host][1] - weight * p + to_global * rate) / (hosts[host][0] - weight + to_global)
+        path_rate = (paths[host, path][1] - weight * p + to_host * host_rate) / (paths[host, path][0] - weight + to_host)
+        odds = min(1 - 1e-9, max(1e-9, path_rate))
+        want.append((-1 if i is None else i, host or "", path, evidence, host_rate, path_rate, sigmoid(np.log(odds / (1 - odds)) + evidence)))
+    key = lambda r: (r[0], r[1], r[2])
+    rows_of = sorted(((-1 if r.doc_id is None else r.doc_id, r.host or "", r.path, r.evidence, r.host_rate, r.path_rate, r.quality) for r in got), key=key)
+    for a, b in zip(rows_of, sorted(want, key=key), strict=True):
+        assert a[:3] == b[:3] and a[3:] == pytest.approx(b[3:], rel=1e-4, abs=1e-6)
+    assert all(r.good == (r.quality >= 0.5) for r in got)
+
+
 def test_quality_without_labels_and_empty(spark, docs_of):
     none = spark.createDataFrame([], "doc_id bigint, quality int")
     rows = quality.judge(docs_of([(1, "a b"), (2, None)]), none, F.col("source"), F.col("lang")).collect()

@@ -292,16 +292,35 @@ def language_rows(n, seed):
 
 
 def test_op4_held_out_accuracy(spark, sf_dir):
-    rows = language_rows(300, 5) + [(1000, None), (1001, "123 ... !"), (1002, "")]
+    rows = language_rows(300, 5) + [(1000, None), (1001, "123 ... !"), (1002, ""), (1003, "\u00bd \u00b2 \u2167 \u0663"), (1004, "\u2460 \u0301 _")]
     got = {r.doc_id: r for r in langid.op4_byte_cnn(spark, sf_dir(rows)).collect()}
     held = [r for r in rows[:300] if zlib.crc32(str(r[0]).encode()) % 4 == 2]
     assert all(got[r[0]].held_out for r in held)
     assert np.mean([got[i].lang_pred == lang for i, _, lang in held]) > 0.95
-    for i in (1000, 1001, 1002):
+    for i in (1000, 1001, 1002, 1003, 1004):
         assert got[i].lang_pred == "und" and got[i].score == 0
     assert all(0 <= r.score <= 1 for r in got.values())
 
 
+def test_language_is_learned_from_whole_texts(spark, docs_of):
+    """What tells two languages apart stands only at the end of long texts."""
+    rng = random.Random(51)
+    filler = "zq " * 2000
+    rows = [(i, filler + " ".join(rng.choice(kind) for _ in range(600)), lang) for i in range(60) for lang, kind in (("en", ["the", "ing"]), ("fr", ["eau", "que"]))]
+    docs = docs_of(rows + [(i, None, "de") for i in range(3)] + [(9, "the", None)])
+    net = langid.fit(docs, F.lit(True), most=6000)
+    label, score = langid.predict(net, ["the ing the ing", "eau que que eau", "x" * 2_000_000, None])
+    assert net.labels == ["en", "fr"] and label[:2] == ["en", "fr"] and label[3] == "und" and 0 < score[2] <= 1
+
+
+def test_language_on_the_documents_table(spark):
+    """Accuracy on held-out documents; predictions come from nothing but the text."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = langid.op4_byte_cnn(spark, "/root/testdata/sf0.001").join(docs.select("doc_id", "lang", "text"), "doc_id").where("held_out and lang is not null").collect()
+    told = [r for r in got if langid.lettered(r.text)]
+    assert len(told) > 20 and np.mean([r.lang_pred == r.lang for r in told]) > 0.9
+
+
 def test_network_gradients():
     rng = np.random.default_rng(1)
     net = langid.ByteConv(["a", "b", "c"], seed=2)
@@ -332,7 +351,8 @@ def test_windows_cover_whole_texts():
 
 
 def test_language_without_labels_with_one_and_clashing_names(spark, docs_of):
-    docs = docs_of([(1, "hello", None), (2, None, None)]).withColumn("score", langid.F.lit("mine"))
+    docs = docs_of([(1, "hello", None), (2, None, None)]).withColumn("score", langid.F.lit("mine")).withColumn("_text", langid.F.lit("kept"))
+    assert [r._text for r in langid.identify(docs, None).collect()] == ["kept", "kept"]
     assert [(r.lang_pred, r.score) for r in langid.identify(docs, langid.fit(docs, langid.F.lit(True))).collect()] == [("und", 0.0), ("und", 0.0)]
     docs = docs_of([(1, "hello"), (2, "12")])
     rows = langid.identify(docs, langid.fit(docs, langid.F.lit(True))).orderBy("doc_id").collect()
@@ -555,6 +575,28 @@ def test_redaction(spark, docs_of):
     assert got == {1: f"é {secrets.MASK} end", 2: "clean", 3: None}
     named = docs_of([(1, "x")]).withColumnRenamed("lang", "secrets")
     assert secrets.scan(named, model).columns.count("secrets") == 1
+    for c in ("_text", "_m", "_s", "_gap", "_base", "_more", "_spans", "c0", "_assign", "_hex"):
+        docs = docs.withColumn(c, secrets.F.lit(c))
+    rows = secrets.redact(docs, model).collect()
+    assert {r.doc_id: r.text for r in rows} == got and all(r[c] == c for r in rows for c in ("_text", "_m", "_s", "_base", "_spans", "c0"))
+    assert {len(r.secrets) for r in secrets.scan(docs, model).collect()} == {0, 2}
+
+
+#: Fixed words that the training samples don't have.
+OTHER_PARTS = "alpha bravo mountain river window garden travel market kitchen yellow purple engine rocket signal packet frame socket buffer thread memory kernel driver switch router bridge tunnel proxy cache queue stack graph matrix vector tensor pixel shader camera light sound volume".split()
+
+
+def test_markov_on_identifiers_that_training_lacks(spark, docs_of):
+    model, rng = secrets.train(secrets.labelled_samples(spark)), random.Random(16)
+    import string
+
+    keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(rng.choice((24, 32, 40)))) for _ in range(150)]
+    assert not set(OTHER_PARTS) & set(secrets.PARTS)
+    joins = [lambda w: "_".join(w), lambda w: "-".join(w), lambda w: "/".join(w), lambda w: w[0] + "".join(x.capitalize() for x in w[1:])]
+    ordinary = [rng.choice(joins)([rng.choice(OTHER_PARTS) for _ in range(rng.randint(2, 6))]) + rng.choice(["", str(rng.randint(1, 2030))]) for _ in range(300)]
+    found = {r.doc_id: r.secrets for r in secrets.scan(docs_of([(i, f"see {s} here") for i, s in enumerate(keys + ordinary)]), model).collect()}
+    assert sum(any(x.start <= 4 and x.end >= 4 + len(k) for x in found[i]) for i, k in enumerate(keys)) >= 142
+    assert sum(bool(found[150 + i]) for i in range(300)) <= 6
 
 
 def test_keys_inside_paths_and_slugs(spark, docs_of):
