@@ -1,40 +1,59 @@
 """Walks through histograms as tables: recorded bins, all bins, linear and logarithmic steps, quantile ticks.
 
 Each row has value (the end of the step), quantile (share of samples up to there), quantile_iterated_to, count_at_value
-(of the step's last bin) and count_since_last. Steps and ticks are laid next to the bins in one window per key; no bin is
+(of the step's last bin) and count_since_last. An empty histogram without keys has the rows of its first steps, with quantiles
+that are not a number; recorded and quantile steps have none. (Keys without bins aren't in the table.) Steps and ticks are laid next to the bins in one window per key; no bin is
 joined with all steps.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins as B
-from .hist import Histograms
+from ..geometry import U64
+from .hist import Histograms, with_named_keys
 from .stats import cumulative
 
+#: Levels of a logarithmic walk that are made at once.
+LEVELS = 10_000
 COLUMNS = ("value", "quantile", "quantile_iterated_to", "count_at_value", "count_since_last")
 
 
 def _rows(df: DataFrame, keys: tuple, value: Column, at: Column, since: Column, iterated: Column | None = None) -> DataFrame:
-    q = F.col("cum").cast("double") / F.col("total").cast("double")
+    q = F.when(F.col("total") == 0, F.lit(math.nan)).otherwise(F.col("cum").cast("double") / F.nullif("total", F.lit(0)).cast("double"))
     return df.select(
         *keys, value.alias("value"), q.alias("quantile"), (q if iterated is None else iterated).alias("quantile_iterated_to"),
         at.alias("count_at_value"), since.alias("count_since_last"),
     )
 
 
+def _present(h: Histograms) -> Histograms:
+    """The one histogram of a table without keys with an empty first bin if it has no bins; others as they are."""
+    if h.keys:
+        return h
+    kind = h.bins.schema
+    none = F.array(F.struct(F.lit(0).cast("int").alias("bin"), *[F.lit(0).cast(kind[c].dataType).alias(c) for c in h.counts]))
+    all_ = h.bins.agg(F.collect_list(F.struct("bin", *h.counts)).alias("bins"))
+    return h.with_bins(all_.select(F.explode(F.when(F.size("bins") == 0, none).otherwise(F.col("bins"))).alias("b")).select("b.bin", *[F.col(f"b.{c}") for c in h.counts]))
+
+
+@with_named_keys
 def recorded(h: Histograms) -> DataFrame:
     """One row per non-empty bin."""
     return _rows(cumulative(h), h.keys, B.bin_high("bin", h.geometry), F.col("cnt"), F.col("cnt"))
 
 
+@with_named_keys
 def every_bin(h: Histograms) -> DataFrame:
     """One row per bin, empty ones included, to the last bin of the geometry (of an automatic one, to the bucket of the largest value)."""
-    g = h.geometry
+    g, h = h.geometry, _present(h)
     by = Window.partitionBy(*h.keys).orderBy("bin")
     whole = Window.partitionBy(*h.keys)
     c = cumulative(h).withColumn("next", F.lead("bin").over(by)).withColumn("before", F.lag("cum").over(by))
@@ -73,11 +92,12 @@ def _ends(h: Histograms) -> DataFrame:
     return h.bins.groupBy(*h.keys).agg(F.max("bin").alias("_top"))
 
 
+@with_named_keys
 def linear(h: Histograms, step: int) -> DataFrame:
     """Steps of one width: values step - 1, 2 step - 1, ... until the last sample's bin is passed."""
     if step <= 0:
         raise ValueError("step must be above 0")
-    g = h.geometry
+    g, h = h.geometry, _present(h)
     after = lambda i: B.bin_low(i, g)
     ends = _ends(h)
     # the first step that ends at or beyond the smallest value of the last bin, and the last one within its end's bin
@@ -90,39 +110,56 @@ def linear(h: Histograms, step: int) -> DataFrame:
     return _at_levels(h, levels)
 
 
-#: Levels of a logarithmic walk: as literals of the plan up to FEW_LEVELS, as a table beyond, an error beyond MOST_LEVELS.
-FEW_LEVELS, MOST_LEVELS = 100_000, 5_000_000
-
-
-def logarithmic_levels(start: int, base: float, top: int) -> list[int]:
-    """start - 1, then each start * base^k, cut to a whole number, less 1, until top is reached."""
-    out, reach = [start - 1], float(start)
-    while out[-1] < top:
-        if len(out) >= MOST_LEVELS:
-            raise ValueError(f"base {base} needs more than {MOST_LEVELS} levels")
-        reach *= base
-        out.append(min(int(reach), 2**63) - 1)
-    return out
-
-
+def logarithmic_levels(start: int, base: float) -> Iterator[np.ndarray]:
+    """start - 1, then each start * base^k (multiplied up one by one), cut to a whole number, less 1, as unsigned numbers, in parts."""
+    reach = float(start)
+    yield np.array([start - 1], np.uint64)
+    factors = np.full(LEVELS + 1, base)
+    while True:
+        factors[0] = reach
+        with np.errstate(over="ignore"):
+            reached = np.multiply.accumulate(factors)[1:]
+        reach = reached[-1]
+        low = reached < 2.0**64
+        out = np.full(len(reached), U64 - 1, np.uint64)
+        out[low] = reached[low].astype(np.uint64) - np.uint64(1)
+        yield out
+
+
+def _levels_up_to(start: int, base: float):
+    """Rows (keys, _until: unsigned) with the levels of each up to the first that reaches it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.columns[:-1]
+            until = batch.column(batch.num_columns - 1).to_numpy().view(np.uint64)
+            for i in range(batch.num_rows):
+                k = 0
+                for levels in logarithmic_levels(start, base):
+                    n = int(np.searchsorted(levels, until[i], "left")) + 1
+                    part = levels[:n]
+                    one = [c.take(pa.array(np.full(len(part), i))) for c in keys]
+                    yield pa.RecordBatch.from_arrays([*one, pa.array(np.arange(k, k + len(part))), pa.array(part.view(np.int64))], [*batch.schema.names[:-1], "_k", "_level"])
+                    k += len(part)
+                    if n <= len(levels):
+                        break
+
+    return run
+
+
+@with_named_keys
 def logarithmic(h: Histograms, start: int, base: float) -> DataFrame:
-    """Steps that grow by a factor, until the last sample's bin is reached."""
+    """Steps that grow by a factor, until the last sample's bin is reached.
+
+    Levels are made where the keys are, each key's up to its own last bin.
+    """
     if start <= 0 or base <= 1.0:
         raise ValueError("start must be above 0, base above 1")
-    g = h.geometry
-    top = min(g.highest(g.value_of(g.last)), 2**63 - 1)
-    levels = logarithmic_levels(start, base, top)
-    at = [g.index_or_last(x) for x in levels]
-    if len(levels) > FEW_LEVELS:
-        import pandas as pd
-
-        table = pd.DataFrame({"_k": range(len(levels)), "_level": levels, "_at": at, "before": [-1, *at[:-1]]})
-        table = h.bins.sparkSession.createDataFrame(table, "_k bigint, _level bigint, _at int, before int")
-        out = _ends(h).join(F.broadcast(table), F.col("before") < F.col("_top")).select(*h.keys, "_k", "_level", "_at")
-        return _at_levels(h, out)
-    rows = [F.struct(F.lit(k).cast("bigint").alias("_k"), F.lit(x).cast("bigint").alias("_level"), F.lit(i).alias("_at"), F.lit(at[k - 1] if k else -1).alias("before")) for k, (x, i) in enumerate(zip(levels, at, strict=True))]
-    out = _ends(h).select(*h.keys, "_top", F.explode(F.array(*rows)).alias("_r")).where("_r.before < _top").select(*h.keys, "_r._k", "_r._level", "_r._at")
-    return _at_levels(h, out)
+    g, h = h.geometry, _present(h)
+    ends = _ends(h).select(*h.keys, B.bin_low("_top", g).alias("_until"))
+    kinds = "".join(f"`{k}` {h.bins.schema[k].dataType.simpleString()}, " for k in h.keys)
+    levels = ends.mapInArrow(_levels_up_to(start, base), f"{kinds}_k bigint, _level bigint")
+    return _at_levels(h, levels.withColumn("_at", F.least(B.bin_index("_level", g), F.lit(g.last))))
 
 
 def quantile_ticks(ticks_per_half: int) -> list[float]:
@@ -136,6 +173,7 @@ def quantile_ticks(ticks_per_half: int) -> list[float]:
     return out
 
 
+@with_named_keys
 def quantile_steps(h: Histograms, ticks_per_half: int) -> DataFrame:
     """For each tick the bin that reaches it, up to the first that needs the last bin, then 1.0."""
     if ticks_per_half <= 0:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bins as B
-from .hist import Histograms
+from .hist import Histograms, with_named_keys
 
 
 def cumulative(h: Histograms) -> DataFrame:
@@ -23,6 +23,7 @@ def cumulative(h: Histograms) -> DataFrame:
     return h.bins.select("*", F.sum("cnt").over(running).cast(kind).alias("cum"), F.sum(h.total).over(whole).cast(kind).alias("total"))
 
 
+@with_named_keys
 def summary(h: Histograms) -> DataFrame:
     """Per key: total, min, max, min_nz (null if all are 0), mean and population stdev of bin medians."""
     g = h.geometry
@@ -49,6 +50,7 @@ def _rank(q: float, total: Column) -> Column:
     return F.greatest(F.ceil(F.lit(float(min(q, 1.0))) * total.cast("double")), F.lit(1)).cast("bigint")
 
 
+@with_named_keys
 def value_at_quantiles(h: Histograms, quantiles: list[float], strict: bool = False) -> DataFrame:
     """Per key and quantile (a row each): the value that so large a share of the samples doesn't exceed.
 
@@ -80,6 +82,7 @@ def value_at_percentiles(h: Histograms, percentiles: list[float], strict: bool =
     return out.select(*h.keys, (F.col("quantile") * 100).alias("percentile"), "value")
 
 
+@with_named_keys
 def shares_below(h: Histograms, values: list[int]) -> DataFrame:
     """Per key and value: quantile_below, the share of samples in bins up to the value's."""
     g = h.geometry
@@ -90,6 +93,7 @@ def shares_below(h: Histograms, values: list[int]) -> DataFrame:
     return out.withColumn("percentile_below", F.col("quantile_below") * 100)
 
 
+@with_named_keys
 def counts_between(h: Histograms, ranges: list[tuple[int, int]]) -> DataFrame:
     """Per key and range: samples in the bins from low's to high's, 0 if low is above high. Only those bins are read."""
     g = h.geometry

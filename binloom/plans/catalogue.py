@@ -6,16 +6,18 @@ Prices and values become whole cents first. The geometry is 1 upwards, three dig
 from __future__ import annotations
 
 from collections.abc import Callable
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import bins as B
+from ..functions import sql
 from ..geometry import Geometry
 from ..operators import hist as H
 from ..operators import iterate as I
 from ..operators import stats as S
-from ..sources import codec, interval_log
+from ..sources import codec, interval_log, numbers
 from ..streaming import windows
 
 G = Geometry(1, 2**62, 3)
@@ -174,7 +176,119 @@ def summary_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.summary(orders(spark, sf_dir))
 
 
-LOG_LEVELS = I.logarithmic_levels(100, 2.0, 2**62)
+def corrected_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", cents("l_extendedprice").alias("v"), F.col("l_quantity").cast("bigint").alias("w"))
+    return H.record_correct(rows, "v", G, 1_000_000, ["l_returnflag"], weight="w").bins
+
+
+def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What automatic geometries of two digits grow to, as their encoded form tells."""
+    h = orders(spark, sf_dir, Geometry.auto(2))
+    d = codec.encoded(h).select("o_orderpriority", codec.decoded("payload").alias("d"))
+    return d.select("o_orderpriority", "d.sigfig", F.col("d.low").cast("bigint").alias("low"), F.col("d.high").cast("bigint").alias("high"), F.col("d.total").cast("bigint").alias("total"))
+
+
+def in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = table(spark, sf_dir, "events").select(cents("value").alias("v")).distinct()
+    return v.select("v", B.in_range("v", Geometry(1, 5000, 2)).alias("held"), B.clamped("v", Geometry(1, 5000, 2)).alias("clamped"))
+
+
+def number_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as lines of text, every third with white space around it, and a blank line after every order."""
+    v = cents("o_totalprice").cast("string")
+    line = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("  "), v, F.lit(" "))).otherwise(v)
+    lines = table(spark, sf_dir, "orders").select(F.explode(F.array(line, F.lit(" "))).alias("value"))
+    return H.record(numbers.numbers_in(lines), "value", G).bins
+
+
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header and interval lines of a log with a row for each nation, its name the payload."""
+    rows = table(spark, sf_dir, "nation").select(
+        F.when(F.col("n_regionkey") > 0, F.concat(F.lit("r"), F.col("n_regionkey").cast("string"))).alias("tag"), (F.col("n_nationkey") + 0.125).alias("start_sec"), F.lit(1.5).alias("duration_sec"),
+        (F.col("n_nationkey") * 1001).alias("max"), F.encode("n_name", "UTF-8").alias("payload"),
+    )
+    header = interval_log.Header(("one\ntwo",), Decimal("12.5"), Decimal("7.25"), 8.0)
+    top = spark.createDataFrame([(line,) for line in header.lines()], "value string")
+    return top.union(interval_log.interval_lines(rows, header.max_divisor).select("value"))
+
+
+def log_placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log file a region, with start times, base times in some, later ones that replace them, comments and intervals of several forms."""
+    n, r = F.col("n_nationkey"), F.col("n_regionkey")
+    text = lambda c: c.cast("string")
+    lines = F.array(
+        F.concat(F.lit("#[StartTime: "), text(r), F.lit(".500 (seconds since epoch), Mon]")),
+        F.when(r % 2 == 0, F.concat(F.lit("#[BaseTime: "), text(n * 10), F.lit(".2500000009 (seconds since epoch)]"))).otherwise(F.lit("# a comment")),
+        F.concat(F.when(n % 2 == 0, F.concat(F.lit("Tag=n"), text(n), F.lit(","))).otherwise(F.lit("")), text(n), F.lit(".1278901234567,1.0,"), F.when(n % 3 == 0, F.lit("1e3")).otherwise(F.lit("+2.")), F.lit(",AA\r")),
+        F.lit('"StartTimestamp","Interval_Length"'),
+    )
+    rows = table(spark, sf_dir, "nation").select(text(r).alias("file"), n.alias("n"), F.posexplode(lines).alias("k", "value"))
+    entries = interval_log.parsed(rows.select("file", "value", (F.col("n") * 10 + F.col("k")).cast("bigint").alias("line_no"))).where("kind <> 'ignored'")
+    placed = interval_log.placed_in_time(entries)
+    seconds = lambda c: (F.col(c) * 1_000_000_000).cast("bigint")
+    return placed.select("line_no", "tag", seconds("start_sec").alias("start_ns"), "max", "payload", seconds("unix_sec").alias("unix_ns"), seconds("since_start").alias("since_ns"))
+
+
+def empty_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks of a histogram without samples: rows of their first steps, with quantiles that are not a number."""
+    rows = table(spark, sf_dir, "part").where("p_size < 0").select(F.col("p_size").cast("bigint").alias("v"))
+    h = H.record(rows, "v", Geometry(4, 64, 1))
+    out = None
+    for name, walk in (("all", I.every_bin(h)), ("linear", I.linear(h, 2)), ("log", I.logarithmic(h, 10, 2.0)), ("recorded", I.recorded(h)), ("quantiles", I.quantile_steps(h, 5))):
+        part = walk.select(F.lit(name).alias("walk"), "value", F.isnan("quantile").alias("undefined"), "count_at_value", "count_since_last")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bins made, encoded and decoded by SQL functions."""
+    sql.register(spark, G, "lat")
+    table(spark, sf_dir, "events").select("event_type", cents("value").alias("v")).createOrReplaceTempView("lat_events")
+    return spark.sql("""
+        with b as (select event_type, lat_index(v) as bin, count(*) as cnt from lat_events group by all),
+        p as (select event_type, collect_list(struct(bin, cnt)) as bins from b group by all),
+        e as (select event_type, payload from p, lateral lat_encode(bins))
+        select event_type, d.bin, d.cnt, lat_low(d.bin) as low, lat_high(d.bin) as high, lat_median(d.bin) as median, lat_width(d.bin) as width
+        from e, lateral lat_decode(payload) d""")
+
+
+def written_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlapping windows of weighted samples that saturate."""
+    rows = table(spark, sf_dir, "events").select("ts", cents("value").alias("v"), (F.col("user_id") % 3).alias("w"))
+    h = windows.windowed(rows, "v", Geometry(1, 10_000, 2), "ts", "10 days", slide="5 days", weight="w", saturate=True)
+    return S.summary(h).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "total", "max")
+
+
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("ts", "event_type", cents("value").alias("v"))
+    h = windows.windowed(rows, "v", G, "ts", None, ["event_type"], gap="2 hours")
+    return S.summary(h).select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "total", "max")
+
+
+def taken_away(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writers that record all line items and take those returned away again."""
+    rows = table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag", cents("l_extendedprice").alias("v"))
+    both = rows.withColumn("less", F.lit(False)).union(rows.where("l_returnflag = 'R'").withColumn("less", F.lit(True)))
+    return windows.written(both, "v", G, ["l_linestatus"], minus=F.col("less")).bins
+
+
+FINE = 1.002
+
+
+def fine_levels() -> list[int]:
+    reach, out = 1000.0, [999]
+    while out[-1] < 10_000_000:
+        reach *= FINE
+        out.append(int(reach) - 1)
+    return out
+
+
+def log_sql(levels: list[int]) -> str:
+    rows = ", ".join(f"({k}, {x}, {levels[k - 1] if k else 'null'})" for k, x in enumerate(levels))
+    return f"""select event_type, k, level, pos from m, (select k, cast(level as bigint) as level, {bin_sql('cast(level as bigint)')} as pos, coalesce({bin_sql('cast(prev as bigint)')}, -1) as before from (values {rows}) l(k, level, prev)) where before < top"""
+
+
+LOG_LEVELS = [99, *(100 * 2**k - 1 for k in range(1, 57))]
 TICKS = [t for t in I.quantile_ticks(5)]
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -242,7 +356,7 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
     ),
     "iter_log": (
         lambda s, d: I.logarithmic(events(s, d), 100, 2.0),
-        steps_sql(EV, "event_type", f"""select event_type, k, level, pos from m, (select k, level, {bin_sql('level')} as pos, coalesce({bin_sql('prev')}, -1) as before from (values {', '.join(f'({k}, cast({x} as bigint), cast({LOG_LEVELS[k - 1] if k else 'null'} as bigint))' for k, x in enumerate(LOG_LEVELS[:40]))}) l(k, level, prev)) where before < top"""),
+        steps_sql(EV, "event_type", log_sql(LOG_LEVELS[:40])),
     ),
     "iter_quantiles": (
         lambda s, d: I.quantile_steps(events(s, d), 5),
@@ -291,7 +405,80 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
         f"with {bins_sql(OR, 'o_orderpriority')} select o_orderpriority, cast(sum(cnt) as bigint) as total, {low_sql('min(bin)')} as min, {high_sql('max(bin)')} as max, {low_sql('min(bin) filter (where bin > 0)')} as min_nz from b group by 1",
     ),
     "ilog_roundtrip": (ilog_roundtrip, f"with {bins_sql(EV, 'event_type')} select * from b"),
-    "report": (report_lines, None),
+    "iter_log_fine": (lambda s, d: I.logarithmic(events(s, d), 1000, FINE), steps_sql(EV, "event_type", log_sql(fine_levels()))),
+    "iter_empty": (
+        empty_walks,
+        f"""select 'all' as walk, (case when i < 32 then i else ((i % 16 + 16) << cast(i // 16 - 1 as integer)) end) * 4 + (case when i < 32 then 1 else cast(1 as bigint) << cast(i // 16 - 1 as integer) end) * 4 - 1 as value,
+        true as undefined, cast(0 as bigint) as count_at_value, cast(0 as bigint) as count_since_last from (select range as i from range({Geometry(4, 64, 1).bins}))
+        union all select 'linear', v, true, 0, 0 from (values (1), (3)) x(v) union all select 'log', 9, true, 0, 0""",
+    ),
+    "record_n_correct": (
+        corrected_lineitem,
+        f"with {bins_sql(f'select l_returnflag, unnest(case when v > 1000000 then generate_series(1000000 + v % 1000000, v, 1000000) else [v] end) as v, w from ({LI})', 'l_returnflag', 'w')} select * from b",
+    ),
+    "set_to": (
+        lambda s, d: H.set_to(events(s, d), events(s, d, Geometry(1, 2**40, 2))).bins,
+        f"""with {bins_sql(f"select event_type, {low_sql('bin', 2)} as v from (select event_type, {bin_sql('v', 2)} as bin from ({EV}))", 'event_type')} select * from b""",
+    ),
+    "set_to_corrected": (
+        lambda s, d: H.set_to_corrected(events(s, d, saturate=True), events(s, d), INTERVAL).bins,
+        f"with {bins_sql(omission_sql(f'select event_type, {high_sql("bin")} as v from (select event_type, {bin_sql("v")} as bin from ({EV}))', 'event_type'), 'event_type')} select * from b",
+    ),
+    "clear_then_add": (lambda s, d: H.add(H.cleared(events(s, d)), events(s, d), H.new_from(events(s, d))).bins, f"with {bins_sql(EV, 'event_type')} select * from b"),
+    "auto_resize": (
+        grown,
+        f"select o_orderpriority, cast(2 as integer) as sigfig, cast(1 as bigint) as low, (cast(1 as bigint) << length(bin(max(v) | 255))) - 1 as high, count(*) as total from ({OR}) group by 1",
+    ),
+    "range_errors": (
+        in_range,
+        f"select distinct v, {bin_sql('v', 2)} < {Geometry(1, 5000, 2).bins} as held, case when {bin_sql('v', 2)} < {Geometry(1, 5000, 2).bins} then v else 5000 end as clamped from ({EV})",
+    ),
+    "number_lines": (number_lines, f"with {bins_sql(OR, '')} select * from b"),
+    "log_lines": (
+        log_lines,
+        """select unnest(['#[Histogram log format version 1.2]', '#one', '#two', '#[StartTime: 12.500 (seconds since epoch)]', '#[BaseTime: 7.250 (seconds since epoch)]', '#[MaxValueDivisor: 8.000]',
+        '"StartTimestamp","Interval_Length","Interval_Max","Interval_Compressed_Histogram"']) as value
+        union all select case when n_regionkey > 0 then 'Tag=r' || n_regionkey || ',' else '' end || n_nationkey || '.125,1.500,' || printf('%.3f', n_nationkey * 1001 / 8.0) || ',' || base64(encode(n_name)) from nation""",
+    ),
+    "log_placed": (
+        log_placed,
+        """with x as (select *, cast(n_nationkey as bigint) * 1000000000 + 127890123 as start_ns, case when n_regionkey % 2 = 0 then cast(n_nationkey as bigint) * 10000000000 + 250000000 else 0 end as base_ns from nation)
+        select cast(n_nationkey * 10 + 2 as bigint) as line_no, case when n_nationkey % 2 = 0 then 'n' || n_nationkey end as tag, start_ns, case when n_nationkey % 3 = 0 then 1000.0 else 2.0 end as max, 'AA' as payload,
+        base_ns + start_ns as unix_ns, base_ns + start_ns - cast(n_regionkey as bigint) * 1000000000 - 500000000 as since_ns from x""",
+    ),
+    "sql_functions": (
+        in_sql,
+        f"with {bins_sql(EV, 'event_type')} select event_type, bin, cnt, {low_sql('bin')} as low, {high_sql('bin')} as high, {median_sql('bin')} as median, {high_sql('bin')} + 1 - {low_sql('bin')} as width from b",
+    ),
+    "written_windows": (
+        written_windows,
+        f"""with r as (select strftime(time_bucket(interval 5 days, ts, timestamp '1970-01-01') - to_days(5 * k), '%Y-%m-%d') as day, {CENTS.format('value')} as v, user_id % 3 as w from events, (values (0), (1)) x(k)),
+        z as (select day, w, case when {bin_sql('v', 2)} >= {Geometry(1, 10_000, 2).bins} then 10000 else v end as v from r where w > 0), {bins_sql('select * from z', 'day', 'w', 2)}
+        select day, cast(sum(cnt) as bigint) as total, {high_sql('max(bin)', 2)} as max from b group by 1""",
+    ),
+    "session_windows": (
+        sessions,
+        f"""with e as (select event_type, epoch_us(ts) as t, {CENTS.format('value')} as v from events), f as (select *, case when t - lag(t) over (partition by event_type order by t) < 7200000000 then 0 else 1 end as new from e),
+        g as (select *, sum(new) over (partition by event_type order by t) as k from f)
+        select event_type, min(t) as start_us, max(t) + 7200000000 as end_us, count(*) as total, {high_sql(f"max({bin_sql('v')})")} as max from g group by event_type, k""",
+    ),
+    "written_minus": (taken_away, f"""with {bins_sql(f"select * from ({LI}) where l_returnflag <> 'R'", 'l_linestatus')} select * from b"""),
+    "report": (
+        report_lines,
+        f"""with {bins_sql(EV, 'event_type')}, {cum_sql('event_type')}, t(t) as (values {', '.join(f'(cast({t!r} as double))' for t in I.quantile_ticks(2))}),
+        p as (select event_type, t, min(bin) as bin from c, t where cast(cum as double) / cast(total as double) >= t group by 1, 2), m as (select event_type, max(bin) as top from b group by 1),
+        f as (select event_type, min(t) as first from p join m using (event_type) where bin = top group by 1),
+        r as (select p.event_type, t, bin from p join f using (event_type) where t <= first union all select event_type, 1.0, top from f join m using (event_type) where first < 1.0),
+        x as (select r.event_type, t, row_number() over (partition by r.event_type order by t) as line_no, {high_sql('r.bin')} as value, cum, cast(cum as double) / cast(total as double) as q from r join c on c.event_type = r.event_type and c.bin = r.bin),
+        a as (select event_type, cast(sum({median_sql('bin')} * cast(cnt as hugeint)) as double) / cast(sum(cnt) as double) as mean, cast(sum(cnt) as bigint) as n, max(bin) as top from b group by 1),
+        z as (select event_type, max(mean) as mean, sqrt(sum((cast({median_sql('bin')} as double) - mean) ** 2 * cnt) / max(n)) as stdev, max(n) as n, max(top) as top from b join a using (event_type) group by 1)
+        select event_type, cast(line_no as integer) as line_no, printf('%12d %1.6f %1.6f %10d ', value, q, t, cum) || case when t < 1.0 then printf('%14.2f', 1.0 / (1.0 - t)) else lpad('∞', 14, ' ') end as line from x
+        union all select event_type, -1, '       Value QuantileValue QuantileIteration TotalCount 1/(1-Quantile)' from z
+        union all select event_type, 0, '' from z
+        union all select event_type, 1073741824, printf('#[Mean       = %12.2f, StdDeviation   = %12.2f]', mean, stdev) from z
+        union all select event_type, 1073741825, printf('#[Max        = %12d, Total count    = %12d]', {high_sql('top')}, n) from z
+        union all select event_type, 1073741826, printf('#[Buckets    = %12d, SubBuckets     = %12d]', {G.buckets}, {G.bins}) from z""",
+    ),
 }
 
 

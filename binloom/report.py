@@ -9,33 +9,53 @@ from __future__ import annotations
 import argparse
 import sys
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import bins as B
 from .geometry import Geometry
-from .operators.hist import Histograms, record
+from .operators.hist import Histograms, record, with_named_keys
 from .operators.iterate import quantile_steps
 from .operators.stats import summary
 
 
+def _lines(precision: int):
+    """Lines of ticks. Numbers are written from their exact values, exact halves to even."""
+
+    @F.pandas_udf("string")
+    def run(value: pd.Series, quantile: pd.Series, iterated: pd.Series, count: pd.Series) -> pd.Series:
+        def line(v: int, q: float, t: float, n: int) -> str:
+            left = f"{1 / (1 - t):14.2f}" if t < 1 else f"{'∞':>14}"
+            return f"{v:12d} {q:1.{precision}f} {t:1.{precision}f} {n:10d} {left}"
+
+        return pd.Series([line(int(v), float(q), float(t), int(n)) for v, q, t, n in zip(value, quantile, iterated, count, strict=True)])
+
+    return run
+
+
+@F.pandas_udf("string")
+def _moments(mean: pd.Series, stdev: pd.Series) -> pd.Series:
+    return pd.Series([f"#[Mean       = {m:12.2f}, StdDeviation   = {s:12.2f}]" for m, s in zip(mean, stdev, strict=True)])
+
+
+@with_named_keys
 def quantile_lines(h: Histograms, ticks: int = 5, precision: int = 20) -> DataFrame:
-    """(keys, line_no, line): header, ticks, footer. Digits beyond what a double holds are those of its exact value's rounding."""
+    """(keys, line_no, line): header, ticks, footer."""
     width = precision + 2
     by = Window.partitionBy(*h.keys).orderBy("quantile_iterated_to", "value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = quantile_steps(h, ticks).withColumn("cum", F.sum("count_since_last").over(by)).withColumn("line_no", F.row_number().over(by.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    left = F.when(F.col("quantile_iterated_to") < 1.0, F.format_string("%14.2f", 1.0 / (1.0 - F.col("quantile_iterated_to")))).otherwise(F.lpad(F.lit("∞"), 14, " "))
-    line = F.concat(F.format_string(f"%12d %1.{precision}f %1.{precision}f %10d ", "value", "quantile", "quantile_iterated_to", F.col("cum").cast("bigint")), left)
+    rows = quantile_steps(h, ticks).withColumn("cum", F.sum("count_since_last").over(by)).withColumn("line_no", F.row_number().over(by))
+    line = _lines(precision)(B.unsigned("value"), "quantile", "quantile_iterated_to", F.col("cum").cast("decimal(20,0)"))
     body = rows.select(*h.keys, "line_no", line.alias("line"))
     s = summary(h)
     head = f"{'Value':>12} {'QuantileValue':>{width}} {'QuantileIteration':>{width}} {'TotalCount':>10} {'1/(1-Quantile)':>14}"
     g = h.geometry
     foot = [
-        F.format_string("#[Mean       = %12.2f, StdDeviation   = %12.2f]", "mean", "stdev"),
         F.format_string("#[Max        = %12d, Total count    = %12d]", "max", F.col("total").cast("bigint")),
         F.format_string("#[Buckets    = %12d, SubBuckets     = %12d]", F.lit(g.buckets), F.lit(g.bins)),
     ]
-    frame = F.array(F.struct(F.lit(-1).alias("n"), F.lit(head).alias("t")), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), *[F.struct(F.lit(2**30 + i).alias("n"), t.alias("t")) for i, t in enumerate(foot)])
-    rest = s.select(*h.keys, F.explode(frame).alias("r")).select(*h.keys, F.col("r.n").alias("line_no"), F.col("r.t").alias("line"))
+    frame = F.array(F.struct(F.lit(-1).alias("n"), F.lit(head).alias("t")), F.struct(F.lit(0).alias("n"), F.lit("").alias("t")), F.struct(F.lit(2**30).alias("n"), F.col("moments").alias("t")), *[F.struct(F.lit(2**30 + i).alias("n"), t.alias("t")) for i, t in enumerate(foot, 1)])
+    rest = s.withColumn("moments", _moments("mean", "stdev")).select(*h.keys, F.explode(frame).alias("r")).select(*h.keys, F.col("r.n").alias("line_no"), F.col("r.t").alias("line"))
     return body.unionByName(rest)
 
 

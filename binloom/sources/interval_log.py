@@ -8,17 +8,19 @@ encoded histogram in base64. Readers need no payload to select intervals: it sta
 from __future__ import annotations
 
 import base64
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_EVEN, Decimal
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import errors
 
+#: Fixed: the legend and the first line of the format.
 LEGEND = '"StartTimestamp","Interval_Length","Interval_Max","Interval_Compressed_Histogram"'
 FORMAT = "#[Histogram log format version 1.2]"
 SECONDS = r"(\d+)\.(\d+)"
@@ -54,6 +56,8 @@ class Header:
 def interval_line(start: Decimal, duration: Decimal, largest: int, payload: bytes, tag: str | None = None, max_divisor: float = 1.0) -> str:
     if tag is not None and re.search(r"[, \r\n]", tag):
         raise errors.LogError("a tag has no comma, space or line end")
+    if not (max_divisor and math.isfinite(largest / max_divisor)):
+        raise errors.MaxValueNotFormattable(f"{largest} over {max_divisor}")
     head = f"Tag={tag}," if tag is not None else ""
     return f"{head}{three_digits(start)},{three_digits(duration)},{three_digits(largest / max_divisor)},{base64.b64encode(payload).decode()}"
 
@@ -71,12 +75,15 @@ def interval_lines(df: DataFrame, max_divisor: float = 1.0) -> DataFrame:
 
 
 def write_log(df: DataFrame, path: str, header: Header | None = None) -> None:
-    """Write intervals as one ordered log: a single part file that starts with the header."""
+    """Write intervals as one ordered log: a single part file that starts with the header.
+
+    Histograms are encoded where they are; only the lines move to the one task that writes them.
+    """
     header = header or Header()
     spark = df.sparkSession
     lines = interval_lines(df, header.max_divisor).select("start_sec", "tag", "value", F.lit(1).alias("part"), F.lit(0).alias("at"))
     top = spark.createDataFrame([(None, None, line, 0, i) for i, line in enumerate(header.lines())], "start_sec decimal(29,9), tag string, value string, part int, at int")
-    top.unionByName(lines).coalesce(1).sortWithinPartitions("part", "at", "start_sec", F.col("tag").asc_nulls_first()).select("value").write.mode("overwrite").text(path)
+    top.unionByName(lines).repartition(1).sortWithinPartitions("part", "at", "start_sec", F.col("tag").asc_nulls_first()).select("value").write.mode("overwrite").text(path)
 
 
 def _seconds(line: Column, pattern: str, group: int) -> Column:
@@ -125,9 +132,13 @@ def placed_in_time(entries: DataFrame) -> DataFrame:
 
     With a base time a start is relative to it; without one, to the epoch. A later header replaces an earlier one.
     """
-    by = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = lambda kind: F.last(F.when(F.col("kind") == kind, F.col("start_sec")), ignorenulls=True).over(by)
-    out = entries.withColumn("start_time", last("start")).withColumn("base_time", last("base")).where("kind = 'interval'")
+    heads = entries.where("kind in ('start', 'base')").groupBy("file")
+    heads = heads.agg(F.array_sort(F.collect_list(F.struct("line_no", "kind", "start_sec"))).alias("heads")).withColumnRenamed("file", "of")
+    # a row for each file that has headers; the intervals stay where they are read
+    out = entries.where("kind = 'interval'").join(heads, F.col("file") == F.col("of"), "left")
+    before = lambda kind: F.filter("heads", lambda x: (x["kind"] == kind) & (x["line_no"] < F.col("line_no")))
+    last = lambda kind: F.get(before(kind), F.size(before(kind)) - 1)["start_sec"]
+    out = out.withColumn("start_time", last("start")).withColumn("base_time", last("base")).drop("heads", "of")
     unix = (F.coalesce("base_time", F.lit(0)) + F.col("start_sec")).cast("decimal(29,9)")
     return out.withColumn("unix_sec", unix).withColumn("since_start", (unix - F.coalesce("start_time", F.lit(0))).cast("decimal(29,9)"))
 

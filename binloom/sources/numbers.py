@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 
 def read_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(value BIGINT). Blank lines are skipped; anything else that isn't a number from 0 on fails the job."""
-    text = spark.read.text(path).select(F.trim("value").alias("value")).where("value <> ''")
+    """(value BIGINT) of text files, a number a line. Blank lines are skipped; anything else that isn't a number from 0 on fails the job."""
+    return numbers_in(spark.read.text(path))
+
+
+def numbers_in(lines: DataFrame, line: str = "value") -> DataFrame:
+    """The same of a table of lines."""
+    text = lines.select(F.trim(line).alias("value")).where("value <> ''")
     wide = F.col("value").cast("decimal(20,0)")
     bad = F.raise_error(F.concat(F.lit("not a whole number: "), F.col("value"))).cast("bigint")
     small = F.col("value").cast("decimal(20,0)") < F.lit(Decimal(1 << 63))

@@ -2,6 +2,7 @@ import math
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from binloom.geometry import U64, Geometry
 from binloom.operators import hist as H
@@ -138,7 +139,7 @@ def test_random_walks_agree_with_the_model(spark):
         qs = [0.0, 0.1, 0.5, 0.9, 0.999, 1.0, 1.5, -0.5]
         assert {r.quantile: r.value for r in S.value_at_quantiles(h, qs).collect()} == {q: m.quantile(q) if q != -0.5 else m.high(min(m.counts)) for q in qs}
         start = rng.randint(1, 50)
-        levels = I.logarithmic_levels(start, 3.0, 2**40)
+        levels = [int(x) for _, part in zip(range(2), I.logarithmic_levels(start, 3.0)) for x in part]
         assert by_value(I.logarithmic(h, start, 3.0)) == m.walk(lambda k: levels[k])
         i = rng.choice([1, 7, 1000, 50_000])
         n = Model(g)
@@ -226,9 +227,93 @@ def test_strict_quantiles_stop_at_a_descent(spark):
 
 
 def test_logarithmic_walk_with_a_base_near_one(spark):
-    assert I.logarithmic_levels(1, 1.0001, 2**62)[-1] >= 2**62
-    h = H.record(spark.createDataFrame([(3,), (2**61,)], "v bigint"), "v", Geometry(low=1, high=2**62, sigfig=1))
+    """Far more levels than a plan could hold, made one after another as the walk of one process would."""
+    g = Geometry(low=1, high=2**62, sigfig=1)
+    h = H.record(spark.createDataFrame([("a", 3), ("b", 2**61), ("b", 5)], "k string, v bigint"), "v", g, ["k"])
     rows = I.logarithmic(h, 1, 1.0002)
-    assert rows.agg({"count_since_last": "sum"}).first()[0] == 2
-    with pytest.raises(ValueError):
-        I.logarithmic_levels(1, 1 + 1e-12, 2**62)
+    assert {(r.k, r.n) for r in rows.groupBy("k").agg({"count_since_last": "sum"}).withColumnRenamed("sum(count_since_last)", "n").collect()} == {("a", 1), ("b", 2)}
+    reach, want = 1.0, [0]
+    while g.index(want[-1]) < g.index(2**61):
+        reach *= 1.0002
+        want.append(int(reach) - 1)
+    assert [r.value for r in rows.where("k = 'b'").orderBy("value", "quantile").collect()] == want and len(want) > 200_000
+
+
+def test_walks_at_the_end_of_the_range(spark):
+    h = H.record(values(spark, [-1, 1]), "v", Geometry.auto(3))
+    rows = I.logarithmic(h, 1, 2.0).collect()
+    assert len(rows) == 65 and sum(r.count_since_last for r in rows) == 2
+
+
+def test_walks_of_an_empty_histogram(spark):
+    for g, steps in ((Geometry(1, 4095, 3), 1), (Geometry(16, 4095, 3), 4)):
+        empty = H.record(values(spark, [1]).limit(0), "v", g)
+        rows = I.every_bin(empty).collect()
+        assert len(rows) == g.bins and all(math.isnan(r.quantile) and r.count_at_value == 0 for r in rows)
+        rows = I.logarithmic(empty, 100, 2.0).collect()
+        assert [(r.value, r.count_since_last) for r in rows] == [(99, 0)] and math.isnan(rows[0].quantile_iterated_to)
+        rows = I.linear(empty, 4).collect()
+        assert len(rows) == steps and all(math.isnan(r.quantile) for r in rows)
+        assert I.recorded(empty).count() == 0 and I.quantile_steps(empty, 5).count() == 0
+    assert I.every_bin(H.record(values(spark, [1]).limit(0), "v", Geometry.auto(3))).count() == 2048
+    keyed = H.record(spark.createDataFrame([], "k string, v bigint"), "v", G, ["k"])
+    assert I.every_bin(keyed).count() == 0 and I.logarithmic(keyed, 1, 2.0).count() == 0
+
+
+#: Names that operators use or have used for columns of their own.
+NAMES = ["low", "high", "v", "w", "several", "r", "m", "first", "top", "by_term", "j", "median", "size", "mean2", "lo", "hi", "nz", "q0", "s0", "cum", "before", "next", "end", "i", "q", "is_last",
+         "hit", "tick", "since", "_k", "_level", "_at", "_kind", "_own", "_found", "_top", "_low", "_first", "_end", "_w", "_v", "less", "fewer", "lvl", "_key0", "a.b", "with space", "BINS"]
+
+
+def test_keys_of_any_name(spark):
+    """All names as keys of one table, against a key k."""
+    rows = [("x", 7), ("x", 1234), ("y", 8), (None, 250)]
+    plain = spark.createDataFrame(rows, "k string, value_of bigint")
+    df = plain.select(*[F.col("k").alias(n) for n in NAMES], "value_of")
+    h, want = H.record(df, "value_of", G, NAMES), H.record(plain, "value_of", G, ["k"])
+
+    def table(t, keys):
+        rest = sorted(c for c in t.columns if c not in keys)
+        assert t.columns[: len(keys)] == list(keys) or set(keys) <= set(t.columns)
+        out = []
+        for r in t.collect():
+            of = {r[t.columns.index(k)] for k in keys}
+            assert len(of) == 1
+            out.append((str(of.pop()), *(str(r[t.columns.index(c)]) for c in rest)))
+        return sorted(out)
+
+    same = lambda f: table(f(h, df, NAMES), NAMES) == table(f(want, plain, ["k"]), ["k"])
+    assert same(lambda h, df, k: H.record_correct(df, "value_of", G, 100, k).bins)
+    assert same(lambda h, *_: H.add(h, H.corrected(h, 100)).bins) and same(lambda h, *_: H.subtract(H.add(h, h), h).bins)
+    assert same(lambda h, *_: S.summary(h)) and same(lambda h, *_: H.rebin(h, Geometry(1, 10**9, 2)).bins)
+    assert same(lambda h, *_: I.linear(h, 100)) and same(lambda h, *_: I.logarithmic(h, 1, 2.0)) and same(lambda h, *_: I.quantile_steps(h, 2))
+    assert same(lambda h, *_: S.value_at_quantiles(h, [0.5])) and same(lambda h, *_: S.shares_below(h, [10])) and same(lambda h, *_: I.recorded(h))
+
+
+def test_reserved_names(spark):
+    df = spark.createDataFrame([("x", 7)], "bin string, v bigint")
+    with pytest.raises(ValueError, match="bin"):
+        H.record(df, "v", G, ["bin"])
+    with pytest.raises(ValueError, match="mean"):
+        S.summary(H.record(df.withColumnRenamed("bin", "mean"), "v", G, ["mean"]))
+
+
+def test_set_to_clear_and_mixed_counters(spark):
+    a, b = H.record(values(spark, [1, 5, 1000]), "v", G), H.record(values(spark, [7, 7, 90_000]), "v", Geometry(1, 10**6, 2))
+    assert bins(H.set_to(a, b)) == bins(H.rebin(b, G)) and H.set_to(a, b).geometry == G
+    assert bins(H.set_to_corrected(a, b, 1000)) == bins(H.corrected(H.rebin(b, G), 1000))
+    for empty in (H.cleared(a), H.new_from(a)):
+        assert bins(empty) == {} and bins(H.add(empty, a)) == bins(a)
+    with pytest.raises(Exception, match="OtherAddendValueExceedsRange"):
+        H.set_to(H.record(values(spark, [1]), "v", Geometry(1, 100, 3)), b).bins.collect()
+    capped = H.record(weighted(spark, [(1, 300), (2, 3)]), "v", G, weight="w", counter="u8")
+    free = H.record(weighted(spark, [(1, 10), (2, 5)]), "v", G, weight="w")
+    assert {r["bin"]: (int(r["cnt"]), int(r["n"])) for r in H.add(capped, free).bins.collect()} == {1: (255, 310), 2: (8, 8)}
+    assert bins(H.add(free, capped)) == {1: 265, 2: 8}
+
+
+def test_weighted_corrections(spark):
+    m, pairs = Model(G), [(1000, 3), (55_555, 2), (7, 1)]
+    for v, n in pairs:
+        m.correct(v, 1000, n)
+    assert bins(H.record_correct(weighted(spark, [*pairs, (5, 0)]), "v", G, 1000, weight="w")) == m.counts
