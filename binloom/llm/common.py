@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.names import fresh  # noqa: F401
+
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,18 +35,6 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def fresh(taken, *names: str) -> list[str]:
-    """The names, each after as many underscores as it takes to differ from the taken ones (cases aside) and from each other."""
-    used, out = {t.lower() for t in taken}, []
-    for name in names:
-        name = "_" + name
-        while name.lower() in used:
-            name = "_" + name
-        used.add(name.lower())
-        out.append(name)
-    return out
-
-
 def settle(df: DataFrame, name: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and lost executors cost nothing upstream.
 
