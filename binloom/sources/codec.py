@@ -3,22 +3,24 @@
 Plain, big-endian: cookie, payload length, normalizing offset 0 (32 bits each), significant digits (32), low, high (64
 each), ratio 1.0 (64-bit float), then counts up to the largest bin. A count is a zig-zag number in 7-bit groups, low
 groups first, the ninth byte whole; a negative one stands for that many empty bins, a single empty bin is 0. Compressed:
-another cookie, length, a zlib stream of the plain form.
+another cookie, length, a zlib stream of the plain form. The numbers of many histograms are written and read at once.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
+from decimal import Decimal
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import errors
 from ..geometry import U64, Geometry
-from ..operators.hist import CAPS, Histograms, packed
+from ..operators.hist import CAPS, Histograms, packed, renamed
 
 #: Fixed: the cookies of the two forms.
 PLAIN, COMPRESSED = 0x1C849313, 0x1C849314
@@ -64,30 +66,79 @@ def read_varint(data: bytes, at: int) -> tuple[int, int]:
     raise AssertionError
 
 
-def encode(bins: Iterable[tuple[int, int]], geometry: Geometry, compress: bool = False, level: int = -1) -> bytes:
-    """bins: (bin, count) in order, none of them empty."""
-    payload, at = bytearray(), 0
-    for i, count in bins:
-        gap = i - at
-        if gap == 1:
-            payload += b"\0"
-        elif gap:
-            payload += varint(zigzag(-gap))
-        if count > 2**63 - 1:
-            raise errors.CountNotSerializable(f"count {count} exceeds 63 bits")
-        payload += varint(zigzag(count))
-        at = i + 1
-    if not at:
-        payload += b"\0"
-    plain = HEADER.pack(PLAIN, len(payload), 0, geometry.sigfig, geometry.low, geometry.high, 1.0) + payload
+def _groups(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all numbers (64 bits, unsigned), one after another, and how many each has."""
+    size = 1 + sum((n >= np.uint64(1 << 7 * k)).astype(np.int64) for k in range(1, 9))
+    start = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(int(size.max(initial=0))):
+        at = np.flatnonzero(size > k)
+        byte = n[at] >> np.uint64(7 * k)
+        if k < 8:
+            byte = byte & np.uint64(0x7F) | np.where(size[at] > k + 1, np.uint64(0x80), np.uint64(0))
+        out[start[at] + k] = byte
+    return out, size
+
+
+def payloads(bins: np.ndarray, counts: np.ndarray, many: np.ndarray) -> list[bytes]:
+    """The counts of several histograms, with so many bins each, none of them empty: bins in order, counts below 2^63."""
+    first = np.zeros(len(bins), bool)
+    first[(np.cumsum(many) - many)[many > 0]] = True
+    gap = bins - np.where(first, 0, np.concatenate([[0], bins[:-1] + 1])[: len(bins)])
+    numbers = np.empty(2 * len(bins), np.uint64)
+    numbers[::2] = np.where(gap == 1, 0, 2 * gap - 1)
+    numbers[1::2] = counts.astype(np.uint64) << np.uint64(1)
+    there = np.ones(len(numbers), bool)
+    there[::2] = gap > 0
+    data, size = _groups(numbers[there])
+    of = np.repeat(np.repeat(np.arange(len(many)), many), 2)[there]
+    ends = np.cumsum(np.bincount(of, size, len(many)).astype(np.int64)).tolist()
+    whole = data.tobytes()
+    return [whole[a:b] or b"\0" for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+def _framed(payload: bytes, g: Geometry, compress: bool, level: int = -1) -> bytes:
+    plain = HEADER.pack(PLAIN, len(payload), 0, g.sigfig, g.low, g.high, 1.0) + payload
     if not compress:
         return plain
     body = zlib.compress(plain, level)
     return struct.pack(">II", COMPRESSED, len(body)) + body
 
 
-def decode(data: bytes, counter: str = "u64") -> tuple[Geometry, list[tuple[int, int]]]:
-    """Geometry and the bins that aren't empty, of either form."""
+def encode(bins: Iterable[tuple[int, int]], geometry: Geometry, compress: bool = False, level: int = -1) -> bytes:
+    """bins: (bin, count) in order, none of them empty."""
+    pairs = [*bins]
+    for _, count in pairs:
+        if count > 2**63 - 1:
+            raise errors.CountNotSerializable(f"count {count} exceeds 63 bits")
+    at, counts = (np.array([p[k] for p in pairs], np.int64) for k in (0, 1))
+    return _framed(payloads(at, counts, np.array([len(pairs)]))[0], geometry, compress, level)
+
+
+def numbers_of(data: bytes) -> np.ndarray:
+    """All signed numbers of a payload."""
+    x = np.frombuffer(data, np.uint8)
+    ends = np.flatnonzero(x < 0x80)
+    size = np.diff(ends, prepend=-1)
+    if not len(x):
+        return np.empty(0, np.int64)
+    if size.max(initial=0) > 8 or not len(ends) or ends[-1] + 1 < len(x):
+        # a ninth byte ends a number whatever it is
+        out, at = [], 0
+        while at < len(data):
+            n, at = read_varint(data, at)
+            out.append(n)
+        n = np.array(out, np.uint64)
+    else:
+        start, n = ends - size + 1, np.zeros(len(ends), np.uint64)
+        for k in range(int(size.max())):
+            at = np.flatnonzero(size > k)
+            n[at] |= (x[start[at] + k].astype(np.uint64) & np.uint64(0x7F)) << np.uint64(7 * k)
+    return (n >> np.uint64(1)).view(np.int64) ^ -(n & np.uint64(1)).view(np.int64)
+
+
+def decode_arrays(data: bytes, counter: str = "u64") -> tuple[Geometry, np.ndarray, np.ndarray]:
+    """Geometry, and bins and counts of those that aren't empty, of either form."""
     if len(data) < 8:
         raise errors.Truncated("no header")
     cookie, length = struct.unpack_from(">II", data)
@@ -114,62 +165,73 @@ def decode(data: bytes, counter: str = "u64") -> tuple[Geometry, list[tuple[int,
     payload = data[HEADER.size : HEADER.size + length]
     if len(payload) < length:
         raise errors.Truncated("the counts are cut off")
-    at, i, out = 0, 0, []
-    while at < length:
-        n, at = read_varint(payload, at)
-        count = unzigzag(n)
-        if count < 0:
-            i += -count
-            if i > g.bins:
-                raise errors.EncodedArrayTooLong(f"more than {g.bins} bins")
-            continue
-        if count > CAPS[counter]:
-            raise errors.UnsuitableCounterType(f"count {count} exceeds {counter}")
-        if i >= g.bins:
-            raise errors.EncodedArrayTooLong(f"more than {g.bins} bins")
-        if count:
-            out.append((i, count))
-        i += 1
-    return g, out
+    n = numbers_of(payload)
+    # a negative number skips bins, any other is the next bin's count
+    step = np.where(n < 0, np.where(n < -g.bins, g.bins + 1, -n), 1)
+    after = np.cumsum(step)
+    large, beyond = n > min(CAPS[counter], 2**63 - 1), after > g.bins
+    wrong = np.flatnonzero(large | beyond)
+    if len(wrong):
+        if large[wrong[0]]:
+            raise errors.UnsuitableCounterType(f"count {n[wrong[0]]} exceeds {counter}")
+        raise errors.EncodedArrayTooLong(f"more than {g.bins} bins")
+    there = n > 0
+    return g, after[there] - 1, n[there]
+
+
+def decode(data: bytes, counter: str = "u64") -> tuple[Geometry, list[tuple[int, int]]]:
+    """Geometry and the bins that aren't empty, of either form."""
+    g, bins, counts = decode_arrays(data, counter)
+    return g, [*zip(bins.tolist(), counts.tolist(), strict=True)]
 
 
 def encoded(h: Histograms, compress: bool = False, column: str = "payload") -> DataFrame:
     """One row per key with the histogram's bytes. An automatic geometry is written as it has grown."""
     g = h.geometry
 
-    @F.pandas_udf("binary")
-    def run(bins: pd.Series) -> pd.Series:
-        def one(rows) -> bytes:
-            pairs = [(r["bin"], int(r["cnt"])) for r in rows]
-            grown = g.resized(g.highest(g.value_of(pairs[-1][0]))) if g.auto_resize and pairs else g
-            return encode(pairs, grown, compress)
-
-        return bins.map(one)
+    @F.arrow_udf("binary")
+    def run(bins: pa.Array) -> pa.Array:
+        many = np.diff(bins.offsets.to_numpy())
+        flat = bins.flatten()
+        at, counts = (np.asarray(flat.field(k)).astype(np.int64) for k in (0, 1))
+        last = at[np.cumsum(many) - 1].tolist()
+        grown = [g.resized(g.highest(g.value_of(top))) if g.auto_resize and n else g for top, n in zip(last, many.tolist(), strict=True)]
+        return pa.array([_framed(x, own, compress) for x, own in zip(payloads(at, counts, many), grown, strict=True)], pa.binary())
 
-    df = packed(h)
-    return df.select(*h.keys, run(F.transform("bins", lambda b: F.struct(b["bin"].alias("bin"), b["cnt"].cast("string").alias("cnt")))).alias(column))
+    p = h.plain()
+    fits = F.when(F.col("b.cnt") < F.lit(Decimal(1 << 63)), F.col("b.cnt")).otherwise(F.raise_error(F.lit("CountNotSerializable: a count exceeds 63 bits")).cast("decimal(20,0)"))
+    checked = p if h.counter != "u64" else p.with_bins(p.bins.select(F.struct(*p.bins.columns).alias("b")).select(*[F.col(f"b.{k}") for k in p.keys], "b.bin", fits.alias("cnt"), "b.n"))
+    df = packed(checked)
+    payload = run(F.transform("bins", lambda b: F.struct(b["bin"].alias("bin"), b["cnt"].cast("bigint").alias("cnt"))))
+    return df.select(*[F.col(q).alias(k) for q, k in zip(p.keys, h.keys, strict=True)], payload.alias(column))
 
 
 def decoded(payload: str | Column, counter: str = "u64") -> Column:
     """A payload (BINARY) to a struct of low, high, sigfig, total and bins. A bad payload fails the job with the error's name."""
-
-    @F.pandas_udf(DECODED)
-    def run(data: pd.Series) -> pd.DataFrame:
-        def rows() -> Iterator[tuple]:
-            from decimal import Decimal
-
-            for x in data:
-                if x is None:
-                    yield None, None, None, None, None
-                    continue
-                try:
-                    g, bins = decode(bytes(x), counter)
-                except errors.DeserializeError as bad:
-                    raise errors.DeserializeError(f"{type(bad).__name__}: {bad}") from bad
-                total = min(U64, sum(c for _, c in bins))
-                yield Decimal(g.low), Decimal(g.high), g.sigfig, Decimal(total), [{"bin": i, "cnt": Decimal(c)} for i, c in bins]
-
-        return pd.DataFrame(list(rows()), columns=["low", "high", "sigfig", "total", "bins"])
+    number = pa.decimal128(20, 0)
+
+    @F.arrow_udf(DECODED)
+    def run(data: pa.Array) -> pa.Array:
+        heads, bins, counts, many = [], [], [], []
+        for x in data.to_pylist():
+            if x is None:
+                heads.append((None, None, None, None))
+                many.append(0)
+                continue
+            try:
+                g, at, n = decode_arrays(x, counter)
+            except errors.DeserializeError as bad:
+                raise errors.DeserializeError(f"{type(bad).__name__}: {bad}") from bad
+            heads.append((Decimal(g.low), Decimal(g.high), g.sigfig, Decimal(min(U64, sum(n.tolist())))))
+            bins.append(at)
+            counts.append(n)
+            many.append(len(at))
+        none = np.empty(0, np.int64)
+        flat = pa.StructArray.from_arrays([pa.array(np.concatenate([none, *bins]), pa.int32()), pa.array(np.concatenate([none, *counts])).cast(number)], ["bin", "cnt"])
+        missing = np.array([h[0] is None for h in heads], bool)
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]).astype(np.int32)), flat, mask=pa.array(missing))
+        columns = [pa.array([h[k] for h in heads], kind) for k, kind in enumerate((number, number, pa.int32(), number))]
+        return pa.StructArray.from_arrays([*columns, lists], ["low", "high", "sigfig", "total", "bins"])
 
     return run(F.col(payload) if isinstance(payload, str) else payload)
 
@@ -177,8 +239,9 @@ def decoded(payload: str | Column, counter: str = "u64") -> Column:
 def decoded_histograms(df: DataFrame, geometry: Geometry, payload: str = "payload", keys=()) -> Histograms:
     """Payloads that share a geometry, as one table of histograms; several of a key are added up."""
     keys = tuple(keys)
-    rows = df.select(*keys, decoded(payload).alias("d")).select(*keys, "d.low", "d.sigfig", F.explode("d.bins").alias("b"))
+    plain = [f"_key{i}" for i in range(len(keys))]
+    rows = df.select(*renamed(keys), decoded(payload).alias("d")).select(*plain, "d.low", "d.sigfig", F.explode("d.bins").alias("b"))
     fits = (F.col("low") == geometry.low) & (F.col("sigfig") == geometry.sigfig)
     at = F.when(fits, F.col("b.bin")).otherwise(F.raise_error(F.lit("UnsupportedFeature: payloads of another geometry")).cast("int"))
-    bins = rows.select(*keys, at.alias("bin"), F.col("b.cnt").cast("bigint").alias("cnt")).groupBy(*keys, "bin").agg(F.sum("cnt").alias("cnt"))
-    return Histograms(bins, geometry, keys)
+    bins = rows.select(*plain, at.alias("bin"), F.col("b.cnt").cast("bigint").alias("cnt")).groupBy(*plain, "bin").agg(F.sum("cnt").alias("cnt"))
+    return Histograms(bins, geometry, tuple(plain)).named(keys)

@@ -48,6 +48,26 @@ def test_round_trips():
             assert codec.decode(codec.encode(bins, g, compress)) == (g, bins)
 
 
+def test_many_numbers_at_once():
+    rng = random.Random(5)
+    for top in (7, 20, 56, 63):
+        lists = [[(i, rng.getrandbits(rng.randint(1, top)) or 1) for i in sorted(rng.sample(range(3000), rng.choice([0, 1, 5, 40])))] for _ in range(30)]
+        flat = [p for x in lists for p in x]
+        got = codec.payloads(*(codec.np.array([p[k] for p in flat], codec.np.int64) for k in (0, 1)), codec.np.array([len(x) for x in lists]))
+        for x, data in zip(lists, got, strict=True):
+            want, at = b"", 0
+            for i, n in x:
+                want += (b"" if i == at else b"\0" if i == at + 1 else codec.varint(codec.zigzag(at - i))) + codec.varint(codec.zigzag(n))
+                at = i + 1
+            assert data == (want or b"\0")
+            signed = codec.numbers_of(data).tolist()
+            assert [n for n in signed if n > 0] == [n for _, n in x]
+    extremes = [U64, 0, 1, 1 << 63, (1 << 63) - 1, 127, 128]
+    assert codec.numbers_of(b"".join(map(codec.varint, extremes))).tolist() == [codec.unzigzag(n) for n in extremes]
+    with pytest.raises(errors.Truncated):
+        codec.numbers_of(b"\x05\x80")
+
+
 def test_bad_payloads():
     good = codec.encode([(3, 300)], Geometry(1, 2047, 3))
     for data, error in (
@@ -71,6 +91,13 @@ def test_columns(spark):
     for compress in (False, True):
         back = codec.decoded_histograms(codec.encoded(h, compress), h.geometry, keys=["k"])
         assert H.same(h, back)
+    huge = spark.createDataFrame([(1, 2**62)] * 4, "v bigint, w bigint")
+    with pytest.raises(Exception, match="CountNotSerializable"):
+        codec.encoded(H.record(huge, "v", Geometry.auto(3), weight="w", counter="u64")).collect()
+    capped = H.record(huge, "v", Geometry.auto(3), weight="w", counter="u16")
+    assert codec.encoded(capped).select(codec.decoded("payload", "u16").alias("d")).first().d.total == 65535
+    nothing = spark.createDataFrame([(None,), (bytes(codec.encode([], WIDE)),)], "payload binary").select(codec.decoded("payload").alias("d")).collect()
+    assert [(r.d.total, r.d.bins) for r in nothing] == [(None, None), (0, [])]
     auto = H.record(df, "v", Geometry.auto(3))
     d = codec.encoded(auto).select(codec.decoded("payload").alias("d")).first().d
     assert d.high >= 70_000 and d.total == 3
@@ -134,6 +161,42 @@ def test_write_and_read_back(spark, tmp_path):
     assert [(r.kind, r.tag, r.payload, r["max"]) for r in rows] == [("start", None, None, None), ("interval", None, "eg==", 6.0), ("interval", "a", "eHk=", 7.0)]
 
 
+def test_placing_many_headers(spark, tmp_path):
+    """The last header of each kind before a line counts, in each file by itself."""
+    rng = random.Random(6)
+    for f in "abc":
+        (tmp_path / f"{f}.log").write_text("".join(rng.choice([f"#[StartTime: {k}.0 (s\n", f"#[BaseTime: {k}.5 (s\n", f"{k}.25,1.0,1.0,AA\n", "# c\n"]) for k in range(40)))
+    got = {(r.file[-5:], str(r.start_sec)): (float(r.unix_sec), float(r.since_start)) for r in interval_log.placed_in_time(interval_log.read_log(spark, str(tmp_path) + "/*.log")).collect()}
+    seen = 0
+    for f in "abc":
+        start = base = 0.0
+        for entry in interval_log.entries_of((tmp_path / f"{f}.log").read_text()):
+            start, base = float(entry[2]) if entry[0] == "start" else start, float(entry[2]) if entry[0] == "base" else base
+            if entry[0] == "interval":
+                assert got[f"{f}.log", str(entry[2].quantize(Decimal("0.000000001")))] == (base + float(entry[2]), base + float(entry[2]) - start)
+                seen += 1
+    assert seen == len(got) > 10
+
+
+def test_maximum_that_cant_be_written():
+    with pytest.raises(errors.MaxValueNotFormattable):
+        interval_log.interval_line(Decimal(1), Decimal(1), 5, b"", None, 0.0)
+
+
+def test_sql_functions(spark):
+    from binloom.functions import sql
+
+    for g in (Geometry(1, U64, 3), Geometry(1000, 2**40, 2), Geometry.auto(0)):
+        names = sql.register(spark, g, "t")
+        xs = [0, 1, 999, 2047, 2048, 4097, 10**6, 2**40 - 1, 2**62]
+        spark.createDataFrame([(x,) for x in xs], "v bigint").createOrReplaceTempView("t_values")
+        for r in spark.sql("select v, t_index(v) as i, t_low(t_index(v)) as low, t_high(t_index(v)) as high, t_median(t_index(v)) as median, t_width(t_index(v)) as width from t_values").collect():
+            assert (r.i, r.low, r.high, r.median, r.width) == (g.index(r.v), g.lowest(r.v), g.highest(r.v), g.median(r.v), g.width(r.v))
+        assert len(names) == 7
+    back = spark.sql("select d.* from (select e.payload from values (array(named_struct('bin', 3, 'cnt', 5L), named_struct('bin', 1, 'cnt', 2L))) x(bins), lateral t_encode(bins) e), lateral t_decode(payload) d").collect()
+    assert sorted((r["bin"], r.cnt) for r in back) == [(1, 2), (3, 5)]
+
+
 def test_numbers_source(spark, tmp_path):
     (tmp_path / "n.txt").write_text(f"1\n\n 22 \n{U64}\n")
     assert sorted(r.value for r in read_numbers(spark, str(tmp_path / "n.txt")).collect()) == [-1, 1, 22]
