@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import re
 import tempfile
 import uuid
 
@@ -27,29 +28,54 @@ def partitions(spark: SparkSession) -> int:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share. Only where the session names none is a local one set, as in tests."""
+    """The folder that all executors share. Only where the session names none and is on one machine, as in tests, a local one is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="binloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
-def settle(df: DataFrame, name: str = "t") -> DataFrame:
+#: Paths of settled tables that haven't been freed, and whether they outlast a scratch().
+_held: dict[str, tuple[SparkSession, bool]] = {}
+
+
+def _discard_held(among: set[str] | None = None) -> None:
+    for path in [*_held] if among is None else among & _held.keys():
+        discard(_held[path][0], path)
+
+
+atexit.register(_discard_held)
+
+
+@contextlib.contextmanager
+def scratch():
+    """What is settled inside and isn't lasting is freed at the end, so a result that reads it must be written inside."""
+    before = {*_held}
+    try:
+        yield
+    finally:
+        _discard_held({path for path, (_, lasting) in _held.items() if not lasting} - before)
+
+
+def settle(df: DataFrame, name: str = "t", lasting: bool = False) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage is cut, and lost executors cost nothing upstream.
 
-    The files go when the driver ends.
+    The files go with drop_settled, at the end of a scratch() that the table doesn't outlast, or when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/binloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(discard, spark, path)
+    _held[path] = spark, lasting
     out = spark.read.schema(df.schema).parquet(path)
     out.binloom_path = path
     return out
 
 
 def discard(spark: SparkSession, path: str) -> None:
+    _held.pop(path, None)
     with contextlib.suppress(Exception):
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -113,20 +139,26 @@ def components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(centres)
 
 
-def tidied(run):
-    """A map over Arrow batches that gives back what memory it held: idle Python processes stay beside running ones."""
+def give_back() -> None:
+    """Give the system what memory a Python process has freed: idle ones stay beside running ones."""
+    import ctypes
 
-    def outer(batches):
-        import ctypes
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
 
-        import pyarrow as pa
 
+def tidied(run):
+    """A map over Arrow batches that gives back what memory it held."""
+
+    def outer(batches):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(AttributeError, OSError):
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return outer
 

@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import components, drop_settled, fresh, no_more_than, partitions, read, settle, swept, tidied
+from .common import components, drop_settled, fresh, give_back, no_more_than, partitions, read, settle, swept, tidied
 
 #: Frequent shingles that are placed by frequency; the order of the others is as good for exactness.
 FREQUENT = 200_000
@@ -182,6 +182,22 @@ def sets_of(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     return out
 
 
+def tidied_groups(run):
+    """A function of groups of sets, as pandas frames, after which their memory is given back."""
+
+    def one(key, rows):
+        out = run(key, rows)
+        give_back()
+        return out
+
+    def two(key, rows, others):
+        out = run(key, rows, others)
+        give_back()
+        return out
+
+    return two if run.__code__.co_argcount == 3 else one
+
+
 def near(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     """Whether two sorted sets are similar enough."""
     shared = len(np.intersect1d(s, t, assume_unique=True))
@@ -213,7 +229,7 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     dealt = settle(dealt.select("a", "b", F.pmod(F.xxhash64("b", "part"), F.lit(bins)).alias("bin")), "dealt")
     asked = settle(dealt.select("bin", F.col("a").alias("c")).union(dealt.select("bin", F.col("b").alias("c"))).distinct(), "asked")
     there = sets.join(no_more_than(asked, SENT // 2), "c").select("bin", "c", "set")
-    out = there.groupBy("bin").cogroup(dealt.withColumnRenamed("bin", "of").groupBy("of")).applyInPandas(_verified(percent), "a bigint, b bigint")
+    out = there.groupBy("bin").cogroup(dealt.withColumnRenamed("bin", "of").groupBy("of")).applyInPandas(tidied_groups(_verified(percent)), "a bigint, b bigint")
     out = settle(out, "links")
     drop_settled(dealt, asked)
     return out
@@ -314,7 +330,7 @@ def _met(mixed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     others = others.select(F.col("large").alias("l"), F.col("part").alias("p"), salt.alias("s"), "key", "id", "n")
     spread = lists.join(settle(others.select("l", "p", "s").distinct(), "asked"), (F.col("large") == F.col("l")) & (F.col("part") == F.col("p")))
     spread = spread.select("large", "part", F.col("s").alias("salt"), "key", "ids", "ns")
-    near_large = spread.groupBy("large", "part", "salt").cogroup(others.groupBy("l", "p", "s")).applyInPandas(_against_large(percent), "large bigint, id bigint")
+    near_large = spread.groupBy("large", "part", "salt").cogroup(others.groupBy("l", "p", "s")).applyInPandas(tidied_groups(_against_large(percent)), "large bigint, id bigint")
     near_large = settle(near_large.distinct(), "near_large")
     drop_settled(lists)
     return small, near_large
@@ -439,7 +455,7 @@ def link_counts(held: DataFrame, of: DataFrame, sets: DataFrame, percent: int) -
     dealt = sets.join(no_more_than(members.drop("n"), SENT // 4), "c")
     dealt = dealt.select("c", "set", "component", "w", "m", block.alias("block"), part.alias("part"), F.explode(meets).alias("q"))
     dealt = dealt.withColumn("i", F.least("part", "q")).withColumn("j", F.greatest("part", "q")).drop("q")
-    found = settle(dealt.groupBy("block", "i", "j").applyInPandas(_counted(percent), "c bigint, other bigint, w bigint"), "counts")
+    found = settle(dealt.groupBy("block", "i", "j").applyInPandas(tidied_groups(_counted(percent)), "c bigint, other bigint, w bigint"), "counts")
     drop_settled(members)
 
     beside = found.where("other is null").groupBy("c").agg(F.sum("w").alias("near"))
@@ -549,7 +565,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     rest = pairs.select(F.col("a").alias("c")).union(pairs.select("b")).union(blocks.select("c")).distinct().join(fetched, "c", "left_anti")
     more = sets_of(docs, classes.join(rest, "c", "left_semi").select("c", "id", "sig"), width)
     sets = sets.union(more)
-    found = sets.join(no_more_than(blocks, SENT // 4), "c").groupBy("large", "p", "q").applyInPandas(_first_links(percent), "a bigint, b bigint")
+    found = sets.join(no_more_than(blocks, SENT // 4), "c").groupBy("large", "p", "q").applyInPandas(tidied_groups(_first_links(percent)), "a bigint, b bigint")
     found = verified(pairs, sets, percent).union(settle(found, "links"))
     links = labelled.where("c != comp").select(F.col("c").alias("a"), F.col("comp").alias("b")).union(found)
     drop_settled(pairs, blocks)

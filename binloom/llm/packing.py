@@ -16,7 +16,6 @@ table gives an empty table.
 from __future__ import annotations
 
 import json
-import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -33,18 +32,26 @@ END = 1
 #: Pieces of one length that are ranked in one task.
 RANKED = 1024
 ROUNDS = 45
-#: Bytes of text that are tokenized at once, bytes of ids that go out at once, and words whose ids a task keeps (about 40 MB).
-CHUNK, OUT, KEPT_WORDS = 4_000_000, 16_000_000, 200_000
+#: Bytes of text that are tokenized at once; a task keeps the ids of a word for each KEPT bytes of them (200,000 words, about 35 MB).
+#: LITTLE: the same where ids go on with their pieces, in executors that have much else to hold. Bytes of ids that go out at once.
+CHUNK, LITTLE, KEPT, OUT = 4_000_000, 1_000_000, 20, 8_000_000
+#: Runs that are gathered at once.
+RUNS = 100_000
 #: Punctuation at the end of a word, after a letter or digit; it is a token of its own. (U+0130 ends in a mark in lower case.)
-TAILED = re.compile(r"(.*[A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])([!-/:-@\[-`{-~]+)", re.DOTALL).fullmatch
+TAILED = r"(?s)^(?P<stem>.*[A-Za-z0-9\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{12f}\x{131}-\x{24f}])(?P<tail>[!-/:-@\[-`{-~]+)\z"
 #: From here on characters may compose with the letter before them, in another way if that is lower-cased first.
 COMPOSING = r"[^\x{0}-\x{2ff}]"
 
 
 def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     """The runs flat[start : start + size], one after another."""
-    before = np.cumsum(size) - size
-    return flat[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+    out, at = np.empty(int(size.sum()), flat.dtype), 0
+    for i in range(0, len(size), RUNS):
+        n = size[i : i + RUNS]
+        many = int(n.sum())
+        out[at : at + many] = flat[np.repeat(start[i : i + RUNS] - (np.cumsum(n) - n), n) + np.arange(many)]
+        at += many
+    return out
 
 
 def word_by_word(tokenizer: dict) -> bool:
@@ -67,6 +74,7 @@ class Words:
 
         with open(path, encoding="utf-8") as f:
             self.apart = word_by_word(json.load(f))
+        self.most = CHUNK // KEPT
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
@@ -107,6 +115,15 @@ class Words:
             self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(size) - size])
             self.size, self.flat = np.concatenate([self.size, size]), np.concatenate([self.flat, *ids])
 
+    def numbers(self, words: pa.Array) -> np.ndarray:
+        """The numbers of distinct words; those that aren't known are learned."""
+        words = words.to_pylist()
+        at = [*map(self.known.get, words)]
+        if None in at:
+            self.learn([w for w, k in zip(words, at, strict=True) if k is None])
+            at = map(self.known.__getitem__, words)
+        return np.fromiter(at, np.int64, len(words))
+
     def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in turn, end after each, and the number of each text's."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -118,17 +135,18 @@ class Words:
         many = np.diff(words.offsets.to_numpy())
         coded = words.flatten().dictionary_encode()
         plain = pc.if_else(pc.match_substring_regex(coded.dictionary, COMPOSING), coded.dictionary, pc.ascii_lower(coded.dictionary)).dictionary_encode()
-        stems, tails = [], []
-        for w in plain.dictionary.to_pylist():
-            found = None if w.isalpha() else TAILED(w)
-            stems.append(found[1] if found else w)
-            tails.append(found[2] if found else "")
-        if len(self.known) > KEPT_WORDS:
+        tailed = pc.match_substring_regex(plain.dictionary, TAILED)
+        cut = pc.extract_regex(plain.dictionary.filter(tailed), TAILED)
+        tailed = tailed.to_numpy(zero_copy_only=False)
+        stems = pa.concat_arrays([plain.dictionary.filter(pa.array(~tailed)), cut.field("stem")]).dictionary_encode()
+        tails = cut.field("tail").dictionary_encode()
+        if len(self.known) > self.most:
             self.forget()
-        self.learn([*{*stems, *tails}.difference(self.known)])
-        both = np.empty(2 * len(stems), np.int64)
-        both[::2] = np.fromiter(map(self.known.__getitem__, stems), np.int64, len(stems))
-        both[1::2] = np.fromiter(map(self.known.__getitem__, tails), np.int64, len(tails))
+        stem, tail = self.numbers(stems.dictionary), self.numbers(tails.dictionary)
+        both = np.zeros(2 * len(tailed), np.int64)
+        stem = stem[stems.indices.to_numpy()]
+        both[2 * np.flatnonzero(~tailed)], both[2 * np.flatnonzero(tailed)] = np.split(stem, [len(stem) - int(tailed.sum())])
+        both[2 * np.flatnonzero(tailed) + 1] = tail[tails.indices.to_numpy()]
         # each distinct word's ids, and the end's, one after another
         flat = np.concatenate([gathered(self.flat, self.start[both], self.size[both]), last])
         size = np.append(self.size[both[::2]] + self.size[both[1::2]], 1)
@@ -152,7 +170,7 @@ def _kept_tokenizer(path: str) -> Words:
     return at.__dict__[path]
 
 
-def _cut(path: str, limit: int, end: int):
+def _cut(path: str, limit: int, end: int, chunk: int):
     def cut(words: Words, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         ids, n = words.ids(texts, end)
         parts = -(-n // limit)
@@ -172,24 +190,26 @@ def _cut(path: str, limit: int, end: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _kept_tokenizer(path)
+        words.most = chunk // KEPT
         try:
             for batch in batches:
                 size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
                 i = 0
                 while i < batch.num_rows:
-                    j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + CHUNK, "right")))
+                    j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + chunk, "right")))
                     yield from cut(words, batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i))
                     i = j
+                batch = None  # before the next one comes
         finally:
             words.forget()
 
     return run
 
 
-def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end: int = END) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end: int = END, chunk: int = CHUNK) -> DataFrame:
     """(key, piece, start, length, ids): the token ids of every text and the end token, cut every `limit`. ids: little-endian 32-bit."""
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    out = docs.mapInArrow(tidied(_cut(tokenizer, limit, end)), "key bigint, piece int, start bigint, length bigint, ids binary")
+    out = docs.mapInArrow(tidied(_cut(tokenizer, limit, end, chunk)), "key bigint, piece int, start bigint, length bigint, ids binary")
     return out.withColumnRenamed("key", key)
 
 
@@ -360,9 +380,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, derived: dict[str, Column] |
 
     None keeps the ids themselves; texts are then tokenized twice rather than their ids stored in between.
     """
-    cut = pieces(docs, tokenizer, limit=limit)
     if derived is None:
-        return pack(cut, limit)
+        return pack(pieces(docs, tokenizer, limit=limit, chunk=LITTLE), limit)
+    cut = pieces(docs, tokenizer, limit=limit)
     cut = cut.select("doc_id", "piece", "start", "length", *[c.alias(name) for name, c in derived.items()])
     return pack(settle(cut, "pieces"), limit)
 

@@ -1,7 +1,8 @@
 """Near-duplicate vectors by product quantisation.
 
-Vectors are scaled to length 1. A coarse quantiser deals them into inverted lists; what is left to the list's centre is
-coded by a centre of each of M subspaces. Every vector probes the lists with the nearest centres: table-lookup distances
+Vectors are scaled to length 1. A coarse quantiser deals them into inverted lists, as many as the rows ask for: each of at
+most COARSE centres, and of many rows each sum of one of them and one of at most FINE centres of what is left to them. What
+is left to the list's centre is coded by a centre of each of M subspaces. Every vector probes the lists with the nearest centres: table-lookup distances
 between the vector and the codes select candidates, none of them lost to coding, as each code's error is kept and added
 to the limit; candidates are reranked by their cosine in double precision. A pair that both ends probe counts once.
 
@@ -11,8 +12,11 @@ edges to the smallest vector that it reaches within the block, not pairs.
 
 Quantisers are fitted on at most SAMPLE distinct vectors (those of lowest hash); all vectors are indexed and probe.
 
+Vectors of the LENGTHS most frequent lengths have quantisers of their own; others are compared with all of their length, part
+by part, in one plan.
+
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
-different lengths don't either. Repeated rows are vectors of their own; a null id has no component and links with nothing.
+different lengths don't either. Components count in double precision if the column has it. Repeated rows are vectors of their own; a null id has no component and links with nothing.
 """
 
 from __future__ import annotations
@@ -24,7 +28,8 @@ from pyspark.sql import functions as F
 from .common import components, read, settle
 
 SAMPLE = 16384
-PER_LIST, MOST_LISTS, NPROBE = 128, 1024, 24
+PER_LIST, COARSE, FINE, NPROBE = 128, 1024, 256, 24
+LENGTHS = 4
 SUBSPACES, CODES = 16, 64
 PART, PROBES = 1024, 8192
 
@@ -48,16 +53,25 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 class Quantiser:
-    def __init__(self, sample: np.ndarray, lists: int, seed: int = 5):
+    def __init__(self, sample: np.ndarray, lists: int, fine: int = 1, seed: int = 5):
         rng = np.random.default_rng(seed)
         x = unit(sample).astype(np.float32)
         self.d = x.shape[1]
         self.width = -(-self.d // SUBSPACES)
         self.m = -(-self.d // self.width)
-        self.centres = k_means(x, lists, 10, rng)
-        rest = self.padded(x - self.centres[nearest(x, self.centres)])
+        self.coarse = k_means(x, lists, 10, rng)
+        left = x - self.coarse[nearest(x, self.coarse)]
+        self.fine = k_means(left, fine, 10, rng) if fine > 1 else np.zeros((1, self.d), np.float32)
+        rest = self.padded(x - self.centre(self.probes(x, 1)[:, 0]))
         self.books = [k_means(np.ascontiguousarray(rest[:, j]), CODES, 10, rng) for j in range(self.m)]
 
+    @property
+    def centres(self) -> np.ndarray:
+        return self.centre(np.arange(len(self.coarse) * len(self.fine)))
+
+    def centre(self, cell: np.ndarray | int) -> np.ndarray:
+        return self.coarse[cell // len(self.fine)] + self.fine[cell % len(self.fine)]
+
     def padded(self, x: np.ndarray) -> np.ndarray:
         """Rows split into subspaces, zeros after the last dimension."""
         out = np.zeros((len(x), self.m * self.width), np.float32)
@@ -66,20 +80,36 @@ class Quantiser:
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes and the distance from each vector to what its code stands for."""
-        rest = self.padded(x - self.centres[home])
+        rest = self.padded(x - self.centre(home))
         codes = np.stack([nearest(rest[:, j], self.books[j]) for j in range(self.m)], axis=1)
         back = np.stack([self.books[j][codes[:, j]] for j in range(self.m)], axis=1)
         return codes.astype(np.uint8), np.sqrt(((rest - back) ** 2).sum(axis=(1, 2)))
 
     def tables(self, x: np.ndarray, cell: int) -> list[np.ndarray]:
         """Of each subspace, squared distances from the rows' residuals to all codes."""
-        rest = self.padded(x - self.centres[cell])
+        rest = self.padded(x - self.centre(cell))
         return [((rest[:, j, None, :] - self.books[j][None]) ** 2).sum(axis=2) for j in range(self.m)]
 
     def probes(self, x: np.ndarray, n: int) -> np.ndarray:
-        score = x @ self.centres.T - 0.5 * (self.centres**2).sum(axis=1)
+        """The lists with the nearest centres, those of the nearest coarse centres being looked at, in order of their numbers; of n = 1 the nearest."""
+        return np.concatenate([self._probes(x[i : i + 1024], n) for i in range(0, len(x), 1024)] or [np.empty((0, 1), np.int64)])
+
+    def _probes(self, x: np.ndarray, n: int) -> np.ndarray:
+        score = x @ self.coarse.T - 0.5 * (self.coarse**2).sum(axis=1)
+        many = len(self.fine)
+        wide = min(max(n, NPROBE), score.shape[1])
+        if many == 1:
+            at = np.argpartition(-score, min(n, wide) - 1, axis=1)[:, : min(n, wide)]
+            return np.sort(at, axis=1)
+        near = np.argpartition(-score, wide - 1, axis=1)[:, :wide]
+        cells = (near[:, :, None] * many + np.arange(many)).reshape(len(x), -1)
+        # |x - a - b|^2 without |x|^2: what the coarse centre has, then the fine one's, then their product
+        fine = x @ self.fine.T - 0.5 * (self.fine**2).sum(axis=1)
+        score = np.take_along_axis(score, near, axis=1)[:, :, None] + fine[:, None, :] - (self.coarse @ self.fine.T)[near]
+        score = score.reshape(len(x), -1)
         n = min(n, score.shape[1])
-        return np.sort(np.argpartition(-score, n - 1, axis=1)[:, :n], axis=1)
+        at = np.argpartition(-score, n - 1, axis=1)[:, :n]
+        return np.sort(np.take_along_axis(cells, at, axis=1), axis=1)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -98,7 +128,7 @@ def _assign(held, nprobe: int):
             if not len(pdf):
                 continue
             x = unit(np.stack(pdf["vec"].to_numpy())).astype(np.float32)
-            home = nearest(x, q.centres)
+            home = q.probes(x, 1)[:, 0]
             codes, error = q.encode(x, home)
             probes = [sorted({*p, h}) for p, h in zip(q.probes(x, nprobe).tolist(), home.tolist(), strict=True)]
             yield pd.DataFrame({"id": pdf["id"], "m": pdf["m"], "vec": pdf["vec"], "home": home.astype(np.int32), "code": [c.tobytes() for c in codes], "error": error.astype(float), "probes": probes})
@@ -106,8 +136,10 @@ def _assign(held, nprobe: int):
     return run
 
 
-def _linked(q: Quantiser, cell: int, xq: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, least: float) -> np.ndarray:
-    """Matrix of the pairs (query, listed) with cosine >= least; xq and x in double precision."""
+def _linked(q: Quantiser | None, cell: int, xq: np.ndarray, x: np.ndarray, codes: np.ndarray, error: np.ndarray, least: float) -> np.ndarray:
+    """Matrix of the pairs (query, listed) with cosine >= least; xq and x in double precision. Without a quantiser all pairs are ranked."""
+    if q is None:
+        return np.concatenate([xq[i : i + 512] @ x.T >= least for i in range(0, len(xq), 512)] or [np.zeros((0, len(x)), bool)])
     limit = (np.sqrt(2 - 2 * least) + error + 1e-4) ** 2
     out = np.zeros((len(xq), len(x)), bool)
     for i in range(0, len(xq), 512):
@@ -149,7 +181,7 @@ def _block(held, least: float):
         if not len(mine):
             return none
         x, ids, m = unit(np.stack(mine["vec"].to_numpy())), mine["id"].to_numpy(), mine["m"].to_numpy()
-        codes = np.frombuffer(b"".join(mine["code"]), np.uint8).reshape(len(mine), -1)
+        codes = np.frombuffer(b"".join(mine["code"]), np.uint8).reshape(len(mine), -1) if q else None
         probes = [frozenset(p) for p in mine["probes"]]
         out = []
         rounds = [mine] if chunk == 0 else []
@@ -180,14 +212,27 @@ def _block(held, least: float):
     return run
 
 
-def _of_one_length(vectors: DataFrame, least: float, nprobe: int, lists: int | None) -> DataFrame:
+def _of_one_length(vectors: DataFrame, kind: str, least: float, nprobe: int, lists: int | None, fine: int | None) -> DataFrame:
     """Distinct vectors (id, m, vec) of one length to (id, links, edge) rows."""
     spark = vectors.sparkSession
     n = vectors.count()
     sample = np.array([r["vec"] for r in vectors.select("id", "vec").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()])
-    q = spark.sparkContext.broadcast(Quantiser(sample, lists or max(1, min(MOST_LISTS, n // PER_LIST))))
-    schema = "id bigint, m bigint, vec array<float>, home int, code binary, error double, probes array<int>"
-    listed = settle(vectors.select("id", "m", F.col("vec").cast("array<float>")).mapInPandas(_assign(q, nprobe), schema), "lists")
+    coarse = lists or max(1, min(COARSE, n // PER_LIST))
+    q = spark.sparkContext.broadcast(Quantiser(sample, coarse, fine or max(1, min(FINE, n // (PER_LIST * coarse)))))
+    schema = f"id bigint, m bigint, vec array<{kind}>, home int, code binary, error double, probes array<int>"
+    listed = settle(vectors.select("id", "m", "vec").mapInPandas(_assign(q, nprobe), schema), "lists")
+    return _compared(listed, q, least)
+
+
+def _of_other_lengths(vectors: DataFrame, least: float) -> DataFrame:
+    """The same for vectors of rare lengths: a length is a list."""
+    none = [F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("error")]
+    listed = vectors.select("id", "m", "vec", F.size("vec").alias("home"), *none, F.array(F.size("vec")).alias("probes"))
+    return _compared(listed, vectors.sparkSession.sparkContext.broadcast(None), least)
+
+
+def _compared(listed: DataFrame, q, least: float) -> DataFrame:
+    """Vectors in their lists with those that probe these."""
     # one row for each list
     sizes = listed.groupBy(F.col("home").alias("cell")).agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))
     asked = listed.select(F.explode("probes").alias("cell")).groupBy("cell").agg(F.ceil(F.count("*") / PROBES).cast("int").alias("chunks"))
@@ -214,9 +259,10 @@ def _of_one_length(vectors: DataFrame, least: float, nprobe: int, lists: int | N
     return rows.groupBy("cell", "part", "chunk").applyInPandas(_block(q, least), "id bigint, links bigint, edge bigint")
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, nprobe: int = NPROBE, lists: int | None = None) -> DataFrame:
-    """One row for each row of vectors: key, n_links, component_id, kept."""
-    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast("array<float>").alias("vec"))
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, nprobe: int = NPROBE, lists: int | None = None, fine: int | None = None) -> DataFrame:
+    """One row for each row of vectors: key, n_links, component_id, kept. lists and fine: numbers of centres, by default what the rows ask for."""
+    kind = "float" if vectors.schema[vector].dataType.simpleString() == "array<float>" else "double"
+    rows = vectors.select(F.col(f"`{key}`").cast("bigint").alias("id"), F.col(f"`{vector}`").cast(f"array<{kind}>").alias("vec"))
     sound = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     good = F.col("id").isNotNull() & F.col("vec").isNotNull() & F.forall("vec", sound) & F.exists("vec", lambda x: x != 0)
     rows = rows.withColumn("vec", F.when(good, F.col("vec")))
@@ -224,9 +270,12 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     same = named.where("hash is not null").groupBy("hash").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("vec").alias("vec"))
     same = settle(same, "distinct")
     found = None
-    for r in same.groupBy(F.size("vec").alias("d")).count().collect():
-        part = _of_one_length(same.where(F.size("vec") == r["d"]).select("id", "m", "vec"), least, nprobe, lists)
+    lengths = [r["d"] for r in same.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(LENGTHS + 1).collect()]
+    for d in lengths[:LENGTHS]:
+        part = _of_one_length(same.where(F.size("vec") == d).select("id", "m", "vec"), kind, least, nprobe, lists, fine)
         found = part if found is None else found.union(part)
+    if len(lengths) > LENGTHS:
+        found = found.union(_of_other_lengths(same.where(~F.size("vec").isin(lengths[:LENGTHS])).select("id", "m", "vec"), least))
     if found is None:
         found = rows.sparkSession.createDataFrame([], "id bigint, links bigint, edge bigint")
     found = settle(found, "links")

@@ -24,7 +24,8 @@ from .common import read
 KEPT_HEADERS = ["connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "trailer", "transfer-encoding", "upgrade"]
 #: Fixed: query parameters that don't name a resource.
 TRACKING = r"(?:utm_[a-z]+|gclid|fbclid|sessionid|phpsessid|jsessionid)"
-SPAN_SECONDS = 3600
+#: A URL's records of so long a time are in one task.
+SPAN_SECONDS = 300
 
 
 def canonical(url: Column) -> Column:
@@ -54,19 +55,22 @@ def resolve(records: DataFrame) -> DataFrame:
     """
     headers = _lowered(F.coalesce("headers", F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))))
     r = records.where("kind in ('response', 'revisit')").select("record_id", "kind", canonical(F.col("url")).alias("canonical_url"), "at", "digest", headers.alias("headers"))
-    r = r.withColumn("span", F.floor(F.unix_seconds("at") / SPAN_SECONDS))
+    # what has no URL or no time meets nothing, and isn't gathered under a null
+    named = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
+    lone = r.where(~named & (F.col("kind") == "revisit"))
+    r = r.where(named).withColumn("span", F.floor(F.unix_seconds("at") / SPAN_SECONDS))
     full = F.when(F.col("kind") == "response", F.struct("at", "record_id", "digest", "headers"))
     # by time; at one time revisits come first, so that a response isn't earlier than they are
     by = Window.partitionBy("canonical_url", "span").orderBy("at", F.col("kind").desc(), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     here = r.withColumn("found", F.last(full, ignorenulls=True).over(by)).where("kind = 'revisit'")
-    last = r.where("kind = 'response' and canonical_url is not null and at is not null").groupBy("canonical_url", "span").agg(F.max_by(F.struct("at", "record_id", "digest", "headers"), F.struct("at", "record_id")).alias("end"))
+    last = r.where("kind = 'response'").groupBy("canonical_url", "span").agg(F.max_by(F.struct("at", "record_id", "digest", "headers"), F.struct("at", "record_id")).alias("end"))
     # of each span that has revisits, the last response of the spans before
     spans = last.unionByName(r.where("kind = 'revisit'").select("canonical_url", "span").distinct(), allowMissingColumns=True).groupBy("canonical_url", "span").agg(F.first("end", ignorenulls=True).alias("end"))
     ahead = Window.partitionBy("canonical_url").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     before = spans.select("canonical_url", "span", F.last("end", ignorenulls=True).over(ahead).alias("before"))
     out = here.join(before, ["canonical_url", "span"], "left")
-    named = F.col("canonical_url").isNotNull() & F.col("at").isNotNull()
-    out = out.withColumn("found", F.when(named, F.coalesce("found", "before")))
+    out = out.withColumn("found", F.coalesce("found", "before"))
+    out = out.unionByName(lone, allowMissingColumns=True)
 
     tag = lambda h: F.regexp_replace(F.trim(h["etag"]), "^W/", "")
     pairs = [(tag(F.col("headers")), tag(F.col("found.headers"))), (F.trim(F.col("headers")["last-modified"]), F.trim(F.col("found.headers")["last-modified"])), (F.col("digest"), F.col("found.digest"))]
