@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm import jaccard, langid, mixing, packing, secrets
-from binloom.llm.common import read, settle
+from binloom.llm.common import drop_settled, read, scratch, settle
 from binloom.llm.lattice import crc_remainder
 
 #: Documents whose best language has less probability than this are rejected, as are those without a letter.
@@ -52,7 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """Each stage's result is written before the next one reads it; what a stage has written besides goes with it."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = settle(stage(spark, docs, sf_dir), name, lasting=True)
+        if before is not None:
+            drop_settled(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
