@@ -35,6 +35,38 @@ def test_components_of_random_graphs(spark):
     assert common.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_scratch_tables_are_freed(spark):
+    import os
+
+    at = lambda df: df.binloom_path.removeprefix("file://")
+    with common.scratch():
+        a, b = common.settle(spark.range(3)), common.settle(spark.range(4), lasting=True)
+        c = common.settle(spark.range(5))
+        common.drop_settled(c)
+        assert os.path.exists(at(a)) and not os.path.exists(at(c))
+    assert not os.path.exists(at(a)) and b.count() == 4
+    common.drop_settled(b)
+    assert not os.path.exists(at(b))
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        conf, sparkContext = {}, Context()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        common.shared_dir(Session())
+
+
+def test_names_that_are_free():
+    assert common.fresh(["a", "_n", "__N"], "n", "n", "a") == ["___n", "____n", "_a"]
+
+
 # -- Jaccard join --
 
 
@@ -310,6 +342,62 @@ def test_codes_lose_nothing():
         assert (links == (u @ u[mine].T >= 0.6)).all()
 
 
+def near_the_limit(n, d, seed):
+    """Pairs of unit vectors whose cosines are 0.9 but for some 1e-12."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for k in range(n):
+        a, b = rng.standard_normal(d), rng.standard_normal(d)
+        a /= np.linalg.norm(a)
+        b -= (a @ b) * a
+        b /= np.linalg.norm(b)
+        c = 0.9 + (1e-12 if k % 2 else -1e-12)
+        out += [a, c * a + np.sqrt(1 - c * c) * b]
+    return out
+
+
+def test_op6_double_precision_and_many_lengths(spark, monkeypatch):
+    monkeypatch.setattr(quantised, "LENGTHS", 2)
+    x = near_the_limit(40, 24, 20)
+    x += [v * 1e300 for v in near_the_limit(2, 24, 21)]  # beyond what floats hold
+    rng = np.random.default_rng(22)
+    for d in (3, 5, 5, 5, 7, 7, 9):
+        v = rng.standard_normal(d)
+        x += [v, v * 3, -v]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {r.vec_id: r for r in quantised.near_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()}
+    for k in range(42):
+        assert (got[2 * k].n_links, got[2 * k + 1].n_links) == ((1, 1) if k % 2 else (0, 0))
+    unit = [v / np.linalg.norm(v) for v in x[84:]]
+    for i, v in enumerate(unit, 84):
+        assert got[i].n_links == sum(len(v) == len(w) and v @ w >= 0.9 for w in unit) - 1
+    assert got[85].component_id == 84 and len({len(v) for v in unit}) == 4
+
+
+def test_op6_recall_with_two_levels_of_lists(spark):
+    rng = np.random.default_rng(23)
+    centres = rng.standard_normal((300, 32))
+    x = np.concatenate([c + rng.standard_normal((10, 32)) * 0.2 for c in centres]).astype(np.float32)
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    for fine in (4, 16):
+        got = quantised.near_vectors(vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)]), lists=60, fine=fine).collect()
+        recall = sum(r.n_links for r in got) / ((u @ u.T >= 0.9).sum() - len(x))
+        assert 0.9 <= recall <= 1
+
+
+def test_op6_recall_on_the_embeddings_table(spark):
+    """Links found with production parameters, against all pairs."""
+    sf = "/root/testdata/sf0.01"
+    table = spark.read.parquet(sf + "/embeddings.parquet").select("vec_id", "embedding").toPandas()
+    x = np.stack([np.asarray(v, float) for v in table["embedding"]])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = u @ u.T >= 0.9
+    np.fill_diagonal(link, False)
+    got = {r.vec_id: r.n_links for r in quantised.op6_product_quantisation(spark, sf).collect()}
+    want = dict(zip(table["vec_id"].tolist(), link.sum(axis=1).tolist(), strict=True))
+    assert all(got[i] <= want[i] for i in want) and sum(got.values()) >= 0.9 * sum(want.values())
+
+
 def test_vectors_empty_and_recall_with_few_probes(spark):
     assert quantised.near_vectors(vectors(spark, [])).count() == 0
     rng = np.random.default_rng(10)

@@ -466,11 +466,11 @@ def ids_of(words, texts):
     return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
-def test_words_equal_the_tokenizer(monkeypatch):
-    monkeypatch.setattr(packing, "KEPT_WORDS", 20)
+def test_words_equal_the_tokenizer():
     rng = random.Random(9)
     w = packing.Words(packing.tokenizer_path())
     assert w.apart
+    w.most = 20
     for _ in range(10):
         texts = [text_of(rng, 30), "ab. " * 5, None]
         assert ids_of(w, texts) == plain_ids(w.tokenizer, texts)
@@ -496,11 +496,10 @@ def test_other_tokenizers_take_whole_texts(spark, docs_of):
 def test_very_long_text_of_many_chunks(spark, docs_of, monkeypatch):
     rng = random.Random(62)
     texts = [text_of(rng, 300_000), "short", text_of(rng, 5000)]
-    monkeypatch.setattr(packing, "CHUNK", 1000)
     monkeypatch.setattr(packing, "OUT", 4 * 4096 * 3)
     w = packing.Words(packing.tokenizer_path())
     table = pa.table({"key": pa.array([0, 1, 2]), "text": texts}).to_batches()
-    got = [r for b in packing._cut(packing.tokenizer_path(), 4096, 1)(iter(table)) for r in b.to_pylist()]
+    got = [r for b in packing._cut(packing.tokenizer_path(), 4096, 1, 1000)(iter(table)) for r in b.to_pylist()]
     for i, want in enumerate(plain_ids(w.tokenizer, texts)):
         mine = [r for r in got if r["key"] == i]
         assert [r["start"] for r in mine] == [*range(0, len(want), 4096)] and [r["piece"] for r in mine] == [*range(len(mine))]
