@@ -5,6 +5,7 @@ Prices and values become whole cents first. The geometry is 1 upwards, three dig
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -262,7 +263,8 @@ def written_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("ts", "event_type", cents("value").alias("v"))
     h = windows.windowed(rows, "v", G, "ts", None, ["event_type"], gap="2 hours")
-    return S.summary(h).select("event_type", F.unix_micros("start").alias("start_us"), F.unix_micros("end").alias("end_us"), "total", "max")
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS")
+    return S.summary(h).select("event_type", text("start").alias("begins"), text("end").alias("ends"), "total", "max")
 
 
 def taken_away(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -272,6 +274,45 @@ def taken_away(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.written(both, "v", G, ["l_linestatus"], minus=F.col("less")).bins
 
 
+def stream_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events sent through a stream to a running histogram, read once the stream has taken them all in."""
+    schema = table(spark, sf_dir, "events").schema
+    sent = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    h = windows.merged_stream(sent.select("event_type", cents("value").alias("v")), "v", G, ["event_type"])
+    name = f"merged_{uuid.uuid4().hex}"
+    query = h.bins.writeStream.outputMode("complete").format("memory").queryName(name).start()
+    try:
+        if not windows.refresh(query, 600):
+            raise TimeoutError("the stream hasn't taken in all events")
+        # a table of bins, whatever the number of events
+        return spark.createDataFrame(spark.table(name).toPandas(), h.bins.schema)
+    finally:
+        query.stop()
+
+
+def log_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("ts", "event_type", cents("value").alias("v"))
+    lines = windows.intervals(windows.windowed(rows, "v", G, "ts", "1 day", ["event_type"]), "event_type")
+    of = lambda c: F.col(c).cast("bigint").alias(c)
+    # as a day, which doesn't depend on the session's time zone as seconds do
+    day = F.date_format(F.timestamp_seconds("start_sec"), "yyyy-MM-dd").alias("day")
+    return lines.select("tag", day, of("duration_sec"), "max", (F.octet_length("payload") > 8).alias("framed"))
+
+
+def tags_and_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    since = B.epoch_seconds(F.col("ts").cast("timestamp")) - B.epoch_seconds(F.to_timestamp(F.lit("2024-01-01")))
+    return rows.select("event_id", B.valid_tag("event_type").alias("type_is_tag"), B.valid_tag("props").alias("props_is_tag"), F.round(since, 3).alias("seconds"))
+
+
+SHAPES = [(1, 2, 0), (1, 3_600_000_000, 3), (1, 2**62, 5), (512, 10**6, 2), (1000, 10**12, 3), (1 << 20, 1 << 40, 1), (4, 64, 1)]
+
+
+def geometry_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(low, high, sigfig, (g := Geometry(low, high, sigfig)).unit_bits, g.sub_count, g.buckets, g.bins) for low, high, sigfig in SHAPES]
+    return spark.createDataFrame(rows, "low bigint, high bigint, sigfig int, unit_bits int, sub_count int, buckets int, distinct_values int")
+
+
 FINE = 1.002
 
 
@@ -460,7 +501,24 @@ CATALOGUE: dict[str, tuple[Query, str | None]] = {
         sessions,
         f"""with e as (select event_type, epoch_us(ts) as t, {CENTS.format('value')} as v from events), f as (select *, case when t - lag(t) over (partition by event_type order by t) < 7200000000 then 0 else 1 end as new from e),
         g as (select *, sum(new) over (partition by event_type order by t) as k from f)
-        select event_type, min(t) as start_us, max(t) + 7200000000 as end_us, count(*) as total, {high_sql(f"max({bin_sql('v')})")} as max from g group by event_type, k""",
+        select event_type, strftime(make_timestamp(min(t)), '%Y-%m-%d %H:%M:%S.%f') as begins, strftime(make_timestamp(max(t) + 7200000000), '%Y-%m-%d %H:%M:%S.%f') as ends, count(*) as total, {high_sql(f"max({bin_sql('v')})")} as max from g group by event_type, k""",
+    ),
+    "stream_merged": (stream_merged, f"with {bins_sql(EV, 'event_type')} select * from b"),
+    "log_intervals": (
+        log_intervals,
+        f"""with r as (select event_type, date_trunc('day', ts) as day, {CENTS.format('value')} as v from events)
+        select event_type as tag, strftime(day, '%Y-%m-%d') as day, cast(86400 as bigint) as duration_sec, {high_sql(f"max({bin_sql('v')})")} as max, true as framed from r group by event_type, day""",
+    ),
+    "tags_and_times": (
+        tags_and_times,
+        "select event_id, not regexp_matches(event_type, '[, \\r\\n]') as type_is_tag, not regexp_matches(props, '[, \\r\\n]') as props_is_tag, round(epoch_us(ts) / 1e6 - 1704067200, 3) as seconds from events",
+    ),
+    "geometry_facts": (
+        geometry_facts,
+        f"""with x(low, high, sigfig) as (values {', '.join(f'(cast({a} as bigint), cast({b} as bigint), cast({c} as integer))' for a, b, c in SHAPES)}),
+        y as (select *, cast(length(bin(low)) - 1 as integer) as unit_bits, length(bin(2 * cast(pow(10, sigfig) as bigint) - 1)) as bits from x),
+        z as (select *, cast(greatest(1, length(bin(high)) - bits - unit_bits + 1) as integer) as buckets from y)
+        select low, high, sigfig, unit_bits, cast(1 << bits as integer) as sub_count, buckets, cast((buckets + 1) * (1 << (bits - 1)) as integer) as distinct_values from z""",
     ),
     "written_minus": (taken_away, f"""with {bins_sql(f"select * from ({LI}) where l_returnflag <> 'R'", 'l_linestatus')} select * from b"""),
     "report": (
