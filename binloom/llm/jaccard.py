@@ -49,11 +49,11 @@ FREQUENT = 200_000
 #: Shingles that the first look lists: the lowest hashes, be they frequent or not, so that near copies meet there.
 SHORT = 8
 #: Of these, as many that two must have in common to be tried in the first look, and its turns.
-ALIKE, TURNS = 4, 4
+ALIKE, TURNS = 4, 3
 #: Groups from which on a component is large, members in an array, parts of those that meet it.
 LARGE, MEMBERS, SALTS = 24, 2048, 8
 #: Pairs, and shingles of both ends, that are verified at once, and pairs of one centre among them.
-PAIRS, PAIR_SHINGLES, STAR = 4096, 2_000_000, 512
+PAIRS, PAIR_SHINGLES, STAR = 4096, 1_000_000, 512
 #: Classes and shingles of a part of a component, when links are counted; shingles of more sets than RARE are multiplied as dense columns.
 PART, PART_SHINGLES, RARE, COLUMNS = 1024, 1_000_000, 16, 4096
 #: Rows, ids of 64 bits, up to which a table is sent to all executors; a larger one is joined by a shuffle.

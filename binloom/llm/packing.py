@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, read, settle, tidied
+from .common import fresh, give_back, read, settle, tidied
 
 LIMIT = 4096
 END = 1
@@ -54,32 +54,38 @@ def gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarra
     return out
 
 
-def word_by_word(tokenizer: dict) -> bool:
-    """Whether a text's ids are its words' ids in turn, whatever case ASCII letters have, by the tokenizer's own file.
+def word_by_word(tokenizer) -> bool:
+    """Whether a text's ids are its words' ids in turn, whatever case ASCII letters have.
 
     So it is if the text is composed and lower-cased, and split into runs without white space that end in </w>.
     """
+    state = lambda x: json.loads(x.__getstate__()) if x is not None else {"type": ""}
     parts = lambda x: x.get("normalizers") or x.get("pretokenizers") or [x]
-    changes = [x["type"] for x in parts(tokenizer.get("normalizer") or {"type": ""})]
-    first = parts(tokenizer.get("pre_tokenizer") or {"type": ""})[0]
+    changes = [x["type"] for x in parts(state(tokenizer.normalizer))]
+    first = parts(state(tokenizer.pre_tokenizer))[0]
     runs = first["type"] == "Split" and first.get("invert") and first.get("behavior") == "Removed" and r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in (first.get("pattern") or {}).get("Regex", "")
-    return changes == ["NFC", "Replace", "Lowercase"] and bool(runs) and tokenizer["model"].get("end_of_word_suffix") == "</w>"
+    return changes == ["NFC", "Replace", "Lowercase"] and bool(runs) and getattr(tokenizer.model, "end_of_word_suffix", None) == "</w>"
+
+
+def ending(tokenizer) -> np.ndarray:
+    """Which tokens end a word, one bit each."""
+    vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    return np.packbits(ends)
 
 
 class Words:
     """Ids of texts from the ids of their words, for tokenizers that word_by_word holds for. Words are looked up once a chunk."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ends: np.ndarray | None = None):
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            self.apart = word_by_word(json.load(f))
         self.most = CHUNK // KEPT
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.apart = word_by_word(self.tokenizer)
+        self.ends = np.unpackbits(ending(self.tokenizer) if ends is None else ends).astype(bool)
         self.forget()
 
     def forget(self) -> None:
@@ -159,18 +165,21 @@ class Words:
         return gathered(flat, start[at], each), np.diff(total[np.concatenate([[0], ends + np.arange(1, len(ends) + 1)])])
 
 
-def _kept_tokenizer(path: str) -> Words:
+def _kept_tokenizer(path: str, ends: np.ndarray | None = None) -> Words:
     """A process's tokenizer, which doesn't change; what a task has learned goes with the task."""
     import sys
     import types
 
     at = sys.modules.setdefault("_binloom_tokenizers", types.ModuleType("_binloom_tokenizers"))
     if path not in at.__dict__:
-        setattr(at, path, Words(path))
+        setattr(at, path, Words(path, ends))
+        give_back()
     return at.__dict__[path]
 
 
-def _cut(path: str, limit: int, end: int, chunk: int):
+def _cut(path: str, limit: int, end: int, chunk: int, ends: np.ndarray | None = None):
+    """ends: what ending() says, so that executors needn't have the vocabulary as Python objects."""
+
     def cut(words: Words, keys: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
         ids, n = words.ids(texts, end)
         parts = -(-n // limit)
@@ -189,7 +198,7 @@ def _cut(path: str, limit: int, end: int, chunk: int):
             yield pa.RecordBatch.from_arrays([keys.take(pa.array(row[part])), *ints, data], ["key", "piece", "start", "length", "ids"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _kept_tokenizer(path)
+        words = _kept_tokenizer(path, ends)
         words.most = chunk // KEPT
         try:
             for batch in batches:
@@ -208,8 +217,10 @@ def _cut(path: str, limit: int, end: int, chunk: int):
 
 def pieces(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT, end: int = END, chunk: int = CHUNK) -> DataFrame:
     """(key, piece, start, length, ids): the token ids of every text and the end token, cut every `limit`. ids: little-endian 32-bit."""
+    from tokenizers import Tokenizer
+
     docs = docs.select(F.col(f"`{key}`").cast("bigint").alias("key"), F.col(f"`{text}`").alias("text"))
-    out = docs.mapInArrow(tidied(_cut(tokenizer, limit, end, chunk)), "key bigint, piece int, start bigint, length bigint, ids binary")
+    out = docs.mapInArrow(tidied(_cut(tokenizer, limit, end, chunk, ending(Tokenizer.from_file(tokenizer)))), "key bigint, piece int, start bigint, length bigint, ids binary")
     return out.withColumnRenamed("key", key)
 
 
