@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..geometry import Geometry
+from ..sources.codec import decode, encode
 
 
 def _index(g: Geometry) -> str:
@@ -43,8 +44,6 @@ class Decode:
     """A payload to its bins."""
 
     def eval(self, payload: bytes) -> Iterator[tuple[int, int]]:
-        from ..sources.codec import decode
-
         if payload is not None:
             yield from decode(bytes(payload))[1]
 
@@ -54,8 +53,6 @@ def encoder(g: Geometry) -> type:
         """An array of (bin, cnt), in any order, to a payload."""
 
         def eval(self, bins: list) -> Iterator[tuple[bytes]]:
-            from ..sources.codec import encode
-
             pairs = sorted((int(b[0]), int(b[1])) for b in bins or [] if b[1])
             grown = g.resized(g.highest(g.value_of(pairs[-1][0]))) if g.auto_resize and pairs else g
             yield (encode(pairs, grown),)

@@ -24,7 +24,8 @@ from ..operators.hist import CAPS, Histograms, packed, renamed
 
 #: Fixed: the cookies of the two forms.
 PLAIN, COMPRESSED = 0x1C849313, 0x1C849314
-HEADER = struct.Struct(">IIIIQQd")
+HEADER = ">IIIIQQd"
+HEADER_SIZE = struct.calcsize(HEADER)
 BINS = "array<struct<bin:int,cnt:decimal(20,0)>>"
 DECODED = f"low decimal(20,0), high decimal(20,0), sigfig int, total decimal(20,0), bins {BINS}"
 
@@ -98,7 +99,7 @@ def payloads(bins: np.ndarray, counts: np.ndarray, many: np.ndarray) -> list[byt
 
 
 def _framed(payload: bytes, g: Geometry, compress: bool, level: int = -1) -> bytes:
-    plain = HEADER.pack(PLAIN, len(payload), 0, g.sigfig, g.low, g.high, 1.0) + payload
+    plain = struct.pack(HEADER, PLAIN, len(payload), 0, g.sigfig, g.low, g.high, 1.0) + payload
     if not compress:
         return plain
     body = zlib.compress(plain, level)
@@ -153,16 +154,16 @@ def decode_arrays(data: bytes, counter: str = "u64") -> tuple[Geometry, np.ndarr
             raise errors.InvalidCookie("no plain form inside the compressed one")
     elif cookie != PLAIN:
         raise errors.InvalidCookie(hex(cookie))
-    if len(data) < HEADER.size:
+    if len(data) < HEADER_SIZE:
         raise errors.Truncated("no header")
-    _, length, offset, sigfig, low, high, ratio = HEADER.unpack_from(data)
+    _, length, offset, sigfig, low, high, ratio = struct.unpack_from(HEADER, data)
     if offset != 0 or ratio != 1.0:
         raise errors.UnsupportedFeature("normalizing offset or conversion ratio")
     try:
         g = Geometry(low, high, sigfig)
     except errors.CreationError as bad:
         raise errors.InvalidParameters(str(bad)) from bad
-    payload = data[HEADER.size : HEADER.size + length]
+    payload = data[HEADER_SIZE : HEADER_SIZE + length]
     if len(payload) < length:
         raise errors.Truncated("the counts are cut off")
     n = numbers_of(payload)
