@@ -178,21 +178,21 @@ def predict(net: ByteConv | None, texts: list[str | None]) -> tuple[list[str], n
     return label, score
 
 
-def identify(docs: DataFrame, net: ByteConv | None, text: str = "text", keep: list[str] | None = None, least: float | None = None) -> DataFrame:
-    """The columns to keep (by default all) with lang_pred and score; with least, only rows that have a language at that score."""
+def identify(docs: DataFrame, net: ByteConv | None, text: str = "text", keep: list[str] | None = None, least: float | None = None, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns to keep (by default all) with lang_pred and score, or as out calls them; with least, only rows that have a language at that score."""
     held = docs.sparkSession.sparkContext.broadcast(net)
-    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in out]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for i in range(0, whole.num_rows, 500):
                 batch = whole.slice(i, 500)
                 label, score = predict(held.value, batch.column(len(names)).to_pylist())
-                out = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(label, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
-                yield out if least is None else out.filter(pa.array([x != "und" and s >= least for x, s in zip(label, score, strict=True)]))
+                told = pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(label, pa.string()), pa.array(score)], [*names, *out])
+                yield told if least is None else told.filter(pa.array([x != "und" and s >= least for x, s in zip(label, score, strict=True)]))
 
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in names), f"`{out[0]}` string", f"`{out[1]}` double"])
     (whole_text,) = fresh(names, "text")
     return docs.select(*[F.col(f"`{c}`") for c in names], F.col(f"`{text}`").alias(whole_text)).mapInArrow(tidied(run), schema)
 
