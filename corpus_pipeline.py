@@ -11,21 +11,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from binloom.llm import jaccard, langid, mixing, packing, secrets
-from binloom.llm.common import drop_settled, read, scratch, settle
+from binloom.llm.common import drop_settled, fresh, read, scratch, settle
 from binloom.llm.lattice import crc_remainder
 
 #: Documents whose best language has less probability than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.35
+#: Texts that go to a Python process at once, in bytes: executors that run one stage after another have little to spare.
+ARROW = ("spark.sql.execution.arrow.maxBytesPerBatch", 8_000_000)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound of an Arrow batch to that of this pipeline, for what its stages run from now on."""
+    key, most = ARROW
+    now = spark.conf.get(key).rstrip("bB")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; training leaves out a quarter of the rows, as the operator's query does."""
+    small_batches(spark)
     net = langid.fit(docs, crc_remainder("doc_id", 4) != 2)
-    return langid.identify(docs, net, least=LEAST_LANGUAGE_SCORE).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = langid.identify(docs, net, least=LEAST_LANGUAGE_SCORE, out=tuple(fresh(docs.columns, "lang", "score")))
+    return found.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest doc_id."""
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
@@ -42,6 +55,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of the pieces, and where each goes."""
+    small_batches(spark)
     return packing.pack_documents(docs, packing.tokenizer_path())
 
 
