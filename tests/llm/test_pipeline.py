@@ -1,7 +1,8 @@
 import random
 from collections import Counter
 
-import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from binloom.llm import packing, secrets
@@ -36,15 +37,48 @@ def test_stages_take_effect_one_after_the_other(spark, docs_of, tmp_path):
     assert max(times.values()) <= 2 and set(times) <= set(ids[3])
     assert abs(sum(size[i] * k for i, k in times.items()) / sum(size.values()) - 1.5) < 0.05
     # what was packed is the mixed texts, token by token
-    known = packing.WordIds(packing.tokenizer_path())
+    known = packing.Words(packing.tokenizer_path())
     texts = {r.doc_id: r.text for r in seen[4].collect()}
     want = Counter()
     for i, k in times.items():
-        want[(i, known.ids([texts[i]])[0] + np.array([1], "<u4").tobytes())] += k
+        want[(i, known.ids(pa.array([texts[i]]), 1)[0].astype("<u4").tobytes())] += k
     got = Counter((r.doc_id, bytes(r.ids)) for r in seen[5].collect())
     assert got == want
 
 
+#: Names of columns that the stages add or have added while they work.
+NAMES = ["score", "lang_pred", "_lang", "_score", "_text", "_gone", "gone", "_row", "c0", "size", "source_size", "target", "copies", "whole", "exact", "_key", "_nth", "secrets", "_spans", "_base", "_m", "id", "n", "sig", "key"]
+
+
+def test_other_columns_pass_through_all_stages(spark, docs_of, tmp_path):
+    """Extra columns under any name, null ids, null and empty texts, repeated rows and a long text: nothing crashes, nothing else changes."""
+    extra = [(None, "the tion ing was er the ing", "en", "s0"), (None, None, None, None), (700, "", "en", None), (701, "the tion " * 30_000, "en", "s2"), (1, rows()[1][1], "en", "s1"), (1, rows()[1][1], "en", "s1")]
+    docs = docs_of(rows() + extra)
+    for c in NAMES:
+        docs = docs.withColumn(c, F.concat(F.lit(c), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, None).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert now.columns == docs.columns
+        found = now.collect()
+        assert found and all(r[c] == f"{c}{'-' if r.doc_id is None else r.doc_id}" for r in found for c in NAMES)
+    assert {701, None} <= {r.doc_id for r in found}
+    assert corpus_pipeline.pack(spark, now, None).agg(F.sum("length")).first()[0] > 60_000
+
+
+def test_arrow_batches_are_only_lowered(spark):
+    key, most = corpus_pipeline.ARROW
+    before = spark.conf.get(key)
+    try:
+        for now, then in (("67108864b", most), ("64m", most), ("1000", 1000)):
+            spark.conf.set(key, now)
+            corpus_pipeline.small_batches(spark)
+            assert int(spark.conf.get(key).rstrip("b")) == then
+    finally:
+        spark.conf.set(key, before)
+
+
 def test_run_equals_the_stages(spark, docs_of, tmp_path):
     docs_of(rows()).coalesce(2).write.parquet(str(tmp_path / "documents.parquet"))
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
