@@ -34,6 +34,8 @@ CANDIDATE = r"[A-Za-z0-9+/_-]{12,}={0,2}"
 RUN = 20
 #: Characters of a neighbouring word that a stretch may reach into without taking it.
 TOUCH = 2
+#: Share of the next character that doesn't depend on the one before it.
+BACKED = 0.1
 #: A letter and a digit with no separator between them; words and numbers that separators part aren't one string.
 MIXED = r"[A-Za-z]\+*[0-9]|[0-9]\+*[A-Za-z]"
 STRETCH = "array<struct<from:int,to:int,score:double>>"
@@ -75,10 +77,11 @@ def labelled_samples(spark: SparkSession, n: int = 4000) -> DataFrame:
     )
 
 
-def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
+def train(samples: DataFrame, smoothing: float = 0.5, backed: float = BACKED) -> list[float]:
     """Log-likelihood ratio of each pair of characters, random over ordinary, row by row over ALPHABET and one class for the rest.
 
-    At most 2 * 65 * 65 counted rows reach the driver, whatever the number of samples. Null samples are ignored.
+    A share of what follows a character is drawn whatever it follows, so that pairs of words that the samples lack are
+    rare, not impossible. At most 2 * 65 * 65 counted rows reach the driver, whatever the number of samples. Null samples are ignored.
     """
     k = len(ALPHABET) + 1
     at = lambda i: F.expr(f"instr('{ALPHABET}', substring(sample, {i}, 1))")
@@ -92,8 +95,12 @@ def train(samples: DataFrame, smoothing: float = 0.5) -> list[float]:
     counts = {True: [smoothing] * (k * k), False: [smoothing] * (k * k)}
     for r in rows:
         counts[r.random][r.x * k + r.y] += r["count"]
-    total = {label: [sum(c[x * k : (x + 1) * k]) for x in range(k)] for label, c in counts.items()}
-    return [math.log(counts[True][i] / total[True][i // k]) - math.log(counts[False][i] / total[False][i // k]) for i in range(k * k)]
+    log_p = {}
+    for label, c in counts.items():
+        after = [sum(c[x * k + y] for x in range(k)) for y in range(k)]
+        total = [sum(c[x * k : (x + 1) * k]) for x in range(k)]
+        log_p[label] = [math.log((1 - backed) * c[i] / total[i // k] + backed * after[i % k] / sum(after)) for i in range(k * k)]
+    return [x - y for x, y in zip(log_p[True], log_p[False], strict=True)]
 
 
 def pair_ratios(string: Column, model: list[float]) -> Column:
