@@ -27,7 +27,10 @@ def bins(h):
 
 @pytest.fixture(scope="module")
 def stall(spark):
-    """A hundred seconds of good answers, then a stall of a hundred seconds."""
+    """A hundred seconds of good answers, then a stall of a hundred seconds.
+
+    Fixed values: this data set, and what the tests below expect of it (numbers of samples, bins and steps, quantiles).
+    """
     rows = weighted(spark, [(1000, 10_000), (100_000_000, 1)])
     raw = H.record(rows, "v", G, weight="w")
     return raw, H.record_correct(rows, "v", G, 10_000, weight="w"), H.corrected(raw, 10_000)

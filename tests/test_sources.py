@@ -13,6 +13,7 @@ from binloom.sources import codec, interval_log
 from binloom.sources.numbers import read_numbers
 
 WIDE = Geometry(1, U64, 3)
+#: The encoded lines and bytes in these tests are those of the format.
 LINE = "1.235,5.670,100.000,HISTEwAAAAMAAAAAAAAAAwAAAAAAAAAB//////////8/8AAAAAAAAM8PAg=="
 
 
