@@ -127,11 +127,11 @@ def _spread(rows: DataFrame, g: Geometry, keys: tuple, interval: int, counter: s
     out = out.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), steps)).alias("_j"))
     term = F.when(F.col("_several"), F.col("_r") + (F.col("_j") + 1) * interval).otherwise(F.col("_v"))
     at = F.when(F.col("_by_term"), B.bin_index(term, g)).otherwise((F.col("_first") + F.col("_j")).cast("int"))
-    out = out.withColumn("bin", at).withColumn("_low", B.bin_low("bin", g)).withColumn("_high", B.bin_high("bin", g))
     # by bins: terms are r + j * interval, 1 <= j <= m; those up to the bin's end less those before it
-    last = F.expr(f"case when _high < _r then 0 else least(_m, (_high - _r) div {interval}) end")
-    before = F.expr(f"case when _low - 1 < _r then 0 else least(_m, (_low - 1 - _r) div {interval}) end")
-    n = F.when(F.col("_by_term"), F.lit(1)).otherwise(last - before)
+    i, r, m = (F.col("_first") + F.col("_j")).cast("int"), F.col("_r"), F.col("_m")
+    up_to = lambda x: F.when(x < r, F.lit(0)).otherwise(F.least(m, F.call_function("div", x - r, F.lit(interval))))
+    n = F.when(F.col("_by_term"), F.lit(1)).otherwise(up_to(B.bin_high(i, g)) - up_to(B.bin_low(i, g) - 1))
+    out = out.withColumn("bin", at)
     out = out.select(*keys, "bin", (n * F.col("_w")).alias("_w")).where("_w > 0")
     return Histograms(_summed(out, keys, F.col("_w"), counter), g, keys, counter)
 
