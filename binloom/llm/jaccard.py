@@ -8,10 +8,12 @@ more share a shingle among the first n - ceil(t n) + 1 of each (the prefix).
 2. A first look lists the few shingles of lowest hash. In each turn every component so far asks for one pair: with the
    centre of the list that it shares most with. It need not be complete; what it verifies becomes components, so that
    thousands of near copies are one component before any list is paired.
-3. The prefixes of all groups are listed by shingle. Lists within one component are done with. In the others every pair of
-   groups of different components is a candidate, with its number of common prefix shingles; the bound on the overlap
-   that this number and the rest of the sets allow drops most. Who may be near to a member of a large component is not
-   paired with each of its members.
+3. The prefixes of all groups are listed by shingle. Lists within one component are done with. In the others two groups of
+   different components meet where what follows the shingle in both, itself included, is enough for the overlap that their
+   two sizes need (near ones do at their first common shingle), and not where one of the two listed shingles before it is
+   common too, as they have met there. Of each pair that has met, all common prefix shingles are counted; the bound on the
+   overlap that this number and the rest of the sets allow drops most. Who may be near to a member of a large component is
+   not paired with each of its members.
 4. Group pairs are expanded to class pairs and verified on the whole sets; members of large components and those that may
    be near to one are compared part by part, by a sparse product. Links of 2 and 4 give the components.
 
@@ -301,23 +303,48 @@ def _against_large(percent: int):
     return run
 
 
+def _first_meetings(held: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the groups (id, n, alone, comp, ats, keys ascending), for each place where they may have their first common key.
+
+    The shingles of a near pair that follow its first common key, itself included, hold all that it has in common. A key is
+    not the first if one of the two before it is common: then the pair stands at that key, or at an earlier one.
+    """
+    place = F.transform("keys", lambda k, i: F.struct(k.alias("key"), F.get("ats", i).alias("at"), F.get("keys", i - 1).alias("p"), F.get("keys", i - 2).alias("q")))
+    rows = held.select("id", "n", "alone", "comp", F.inline(place))
+    sized = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
+    left = " and ".join(f"{100 + percent} * ({z}.n - {z}.at) >= {percent} * (x.n + y.n)" for z in "xy")
+    met = "coalesce(x.p in (y.p, y.q) or x.q in (y.p, y.q), false)"
+    apart = "x.alone or y.alone or x.comp != y.comp"
+    found = rows.alias("x").join(rows.alias("y"), F.expr(f"x.key = y.key and x.id < y.id and {sized} and ({apart}) and {left} and not {met}"))
+    return found.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+
+
+def _met_small(rows: DataFrame, percent: int) -> DataFrame:
+    """_met of components that aren't large: (a, b, c), settled."""
+    held = rows.groupBy("id", "n", "alone", "comp").agg(F.array_sort(F.collect_list(F.struct("at", "key"))).alias("l"))
+    held = settle(held.select("id", "n", "alone", "comp", F.col("l.at").alias("ats"), F.col("l.key").alias("keys")), "held")
+    pairs = settle(_first_meetings(held, percent).distinct(), "meetings")
+    of = lambda end, n, keys: held.select(F.col("id").alias(end), F.col("n").alias(n), F.col("keys").alias(keys))
+    both = pairs.join(of("a", "m", "ka"), "a").join(of("b", "k", "kb"), "b")
+    both = both.select("a", "b", "m", "k", F.size(F.array_intersect("ka", "kb")).cast("bigint").alias("c"))
+    out = settle(both.where(_enough(F.col("c"), F.col("m"), F.col("k"), percent)).select("a", "b", "c"), "met")
+    drop_settled(held, pairs)
+    return out
+
+
 def _met(mixed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Of the lists (key, id, n, alone, comp), pairs (a, b) of different components with c, their common lists, where c is enough;
-    and (large, id): who may be near to a member of a large component.
+    """Of the lists (key, at: the key's place in the prefix, id, n, alone, comp), pairs (a, b) of different components with c, their
+    common lists, where c is enough; and (large, id): who may be near to a member of a large component.
 
     What is alone is in no component; its comp isn't looked at.
 
-    Small components are paired by a join. Of large ones the members stand as arrays, at most about MEMBERS of them, so
+    Small components are paired by a join, at about one key a pair; the common keys are counted for what has met. Of large ones the members stand as arrays, at most about MEMBERS of them, so
     that a document which shares many lists with a large component costs a row a list, not one for each member.
     """
     sizes = mixed.where("not alone").groupBy("comp").agg(F.approx_count_distinct("id").alias("size")).where(F.col("size") >= LARGE)
     sizes = settle(sizes.select(F.col("comp").alias("large"), F.ceil(F.col("size") / MEMBERS).cast("int").alias("parts")), "large")
     rows = mixed.join(sizes, ~F.col("alone") & (F.col("comp") == F.col("large")), "left")
-    x, y = rows.where("large is null").alias("x"), rows.where("large is null").alias("y")
-    sized = f"100 * x.n >= {percent} * y.n and 100 * y.n >= {percent} * x.n"
-    small = x.join(y, F.expr(f"x.key = y.key and x.id < y.id and {sized} and (x.alone or y.alone or x.comp != y.comp)"))
-    small = small.groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.n").alias("m"), F.col("y.n").alias("k")).agg(F.count("*").alias("c"))
-    small = settle(small.where(_enough(F.col("c"), F.col("m"), F.col("k"), percent)).select("a", "b", "c"), "met")
+    small = _met_small(rows.where("large is null"), percent)
 
     part = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     lists = rows.where("large is not null").select("large", part.alias("part"), "key", "id", F.col("n").cast("bigint").alias("n"))
@@ -537,15 +564,15 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     swept(docs.sparkSession)
 
     # what lies between the components so far
-    listed = settle(_between(heavy.select("gid", F.explode("prefix").alias("key")), "gid", "gid"), "listed")
+    listed = settle(_between(heavy.select("gid", F.posexplode("prefix").alias("at", "key")), "gid", "gid"), "listed")
     ends = settle(heavy.select("gid", "n", F.element_at("prefix", -1).alias("end"), F.size("prefix").alias("p")).distinct(), "ends")
     drop_settled(sketches)
     swept(docs.sparkSession)
     spread = labelled.groupBy("gid").agg(F.first("n").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     # a group stands in a list once for each task that met it
-    listed_of = listed.distinct().join(spread, "gid").select("key", "gid", "n", "lo", "hi")
+    listed_of = listed.distinct().join(spread, "gid").select("key", "at", "gid", "n", "lo", "hi")
     # a group with classes of several components stands alone
-    mixed = _between(listed_of, "lo", "hi").select("key", F.col("gid").alias("id"), "n", (F.col("lo") != F.col("hi")).alias("alone"), F.col("lo").alias("comp"))
+    mixed = _between(listed_of, "lo", "hi").select("key", "at", F.col("gid").alias("id"), "n", (F.col("lo") != F.col("hi")).alias("alone"), F.col("lo").alias("comp"))
     mixed = settle(mixed, "mixed")
     drop_settled(listed)
     met, near_large = _met(mixed, percent)

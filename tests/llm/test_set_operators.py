@@ -175,6 +175,43 @@ def test_op8_groups_of_several_components_and_negative_ids(spark, sf_dir, monkey
     assert got == brute_force(rows) == {5: -6, 7: 7, -6: -6}
 
 
+def join_rows(spark, run):
+    """The most rows that a join made while run() went, besides its result."""
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {store.executionsList().apply(i).executionId() for i in range(store.executionsList().size())}
+    before = ids()
+    out, most = run(), 0
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for i in ids() - before:
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for k in range(nodes.size()):
+            metrics = nodes.apply(k).metrics()
+            if nodes.apply(k).name().startswith("SortMergeJoin") or "HashJoin" in nodes.apply(k).name():
+                for j in range(metrics.size()):
+                    if metrics.apply(j).name() == "number of output rows":
+                        got = values.get(metrics.apply(j).accumulatorId())
+                        most = max(most, int(got.get().replace(",", "")) if got.isDefined() else 0)
+    return out, most
+
+
+def test_op8_texts_that_are_nearly_near_are_not_paired_by_each_common_shingle(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    rng = random.Random(21)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    passage = " ".join(word() for _ in range(300))
+    # a passage of most of each text, yet of too little; edits of a text, some of them near
+    texts = [passage + " " + " ".join(word() for _ in range(90)) for _ in range(60)]
+    for k in range(4):
+        base = " ".join(word() for _ in range(400))
+        texts += [edited(rng, base, rng.randint(4, 18)) for _ in range(15)]
+    rows = list(enumerate(texts))
+    got, most = join_rows(spark, lambda: {r.doc_id: r.component_id for r in jaccard.op8_jaccard_join(spark, sf_dir(rows)).collect()})
+    assert got == brute_force(rows)
+    assert len({*got.values()}) > 64
+    # lists of prefixes have about 100 rows a text; paired by each common shingle, 2,190 pairs made 26,469 rows
+    assert most < 12_500
+
+
 def test_op8_empty_and_one_of_each(spark, sf_dir, docs_of):
     assert jaccard.op8_jaccard_join(spark, sf_dir([])).count() == 0
     rng = random.Random(4)
